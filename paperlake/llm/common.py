@@ -40,6 +40,12 @@ def cut_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _digest(df: DataFrame) -> tuple[int, int]:
+    """Count and an order-free checksum of the rows."""
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node can reach over undirected edges.
 
@@ -53,26 +59,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    while True:
+    seen = _digest(links)
+    while seen[0]:
         both = links.union(links.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: every larger neighbour is tied to the least of the neighbourhood
-        large = (
-            both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
-        )
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # small star: a node and its smaller neighbours are tied to the least of them
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(low, "hi")
-        small = (
-            joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(joined.select("hi", F.col("m").alias("lo")))
-            .filter("hi != lo")
-            .distinct()
-        )
-        after = cut(small)
-        same = after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty()
-        links = after
-        if same:
+        joined = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(joined.select("hi", F.col("m").alias("lo")))
+        links = cut(small.filter("hi != lo").distinct())
+        before, seen = seen, _digest(links)
+        if before == seen:
             break
     roots = links.groupBy("hi").agg(F.min("lo").alias("r"))
     return (

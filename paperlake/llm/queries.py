@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import language, media, mixing, nearest
+from paperlake.llm import language, media, mixing, nearest, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest_neighbours": _table("embeddings", nearest.nearest_query),
         "op4_language_id": _table("documents", language.language_query),
         "op5_source_mixing": _table("documents", mixing.mixing_query),
+        "op6_simhash": _table("documents", simhash.simhash_query),
     }
 
 
