@@ -154,15 +154,14 @@ def _signed(x: int) -> int:
 
 def _keys(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
     """(part, key, fp, ...): a part's own bits, or with probes all within its threshold."""
-    entries = []
-    for i, (part, t) in enumerate(zip(plan.parts, plan.thresholds, strict=True)):
-        if t < 0:
-            continue
-        mask = F.lit(_signed(sum(1 << b for b in part)))
+
+    def entry(i: int, part: tuple[int, ...], t: int) -> Column:
+        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in part))))
         flips = [sum(1 << b for b in c) for k in range((t if probes else 0) + 1) for c in itertools.combinations(part, k)]
-        own = F.col("fp").bitwiseAND(mask)
-        keys = F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), lambda x, own=own: own.bitwiseXOR(x))
-        entries.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).cast("int").alias("part"), k.alias("key"))))
+        near = F.array(*[F.lit(_signed(x)).cast("long") for x in flips])
+        return F.transform(near, lambda x: F.struct(F.lit(i).cast("int").alias("part"), own.bitwiseXOR(x).alias("key")))
+
+    entries = [entry(i, part, t) for i, (part, t) in enumerate(zip(plan.parts, plan.thresholds, strict=True)) if t >= 0]
     return nodes.withColumn("e", F.explode(F.concat(*entries))).select("e.part", "e.key", *nodes.columns)
 
 

@@ -88,3 +88,14 @@ def test_allocation_is_optimal_and_sums_up():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_query(df).collect() == []
+
+
+def test_probe_keys_are_the_balls_of_the_parts(spark):
+    plan = simhash.Plan(((0, 5, 63), (1, 2)), (1, 0))
+    fp = -(1 << 63) + 0b100111
+    nodes = spark.createDataFrame([(fp,)], "fp long")
+    data = {(r["part"], r["key"] & (1 << 64) - 1) for r in simhash._keys(nodes, plan, False).collect()}
+    own = (1 << 63) | 0b100001
+    assert data == {(0, own), (1, 0b110)}
+    probes = {(r["part"], r["key"] & (1 << 64) - 1) for r in simhash._keys(nodes, plan, True).collect()}
+    assert probes == {(0, own), (0, own ^ 1), (0, own ^ 32), (0, own ^ 1 << 63), (1, 0b110)}
