@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,21 +48,34 @@ def _digest(df: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node can reach over undirected edges.
+#: Up to so many links (16 bytes each) one task finds the components; beyond, star rounds do.
+ONE_TASK_LINKS = 500_000
 
-    ``nodes``: one column ``node``; ``edges``: ``a``, ``b`` (both among the nodes; self
-    loops and repeats are harmless).  Alternating large-star and small-star rounds on the
-    edges alone; nodes without an edge are their own root.  Every round aggregates a
-    minimum with map-side combining, so hubs cost no skewed list.
-    """
-    links = cut(
-        edges.filter("a != b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    seen = _digest(links)
-    while seen[0]:
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of the links (hi, lo) with the smallest node of its component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["hi", "r"])
+
+
+def _stars(links: DataFrame, seen: tuple[int, int]) -> DataFrame:
+    """(hi, r) by alternating large-star and small-star rounds on the links."""
+    while True:
         both = links.union(links.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: every larger neighbour is tied to the least of the neighbourhood
@@ -71,9 +86,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = cut(small.filter("hi != lo").distinct())
         before, seen = seen, _digest(links)
         if before == seen:
-            break
-    roots = links.groupBy("hi").agg(F.min("lo").alias("r"))
-    return (
-        nodes.join(roots, nodes["node"] == roots["hi"], "left")
-        .select("node", F.coalesce("r", "node").alias("root"))
-    )
+            return links.groupBy("hi").agg(F.min("lo").alias("r"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(node, root): the smallest node that each node can reach over undirected edges.
+
+    ``nodes``: one column ``node`` (long); ``edges``: ``a``, ``b`` among the nodes; self
+    loops and repeats are harmless.  Few links (checked against ``one_task``) go to one
+    task's union-find; more take distributed star rounds, in which every round aggregates a
+    minimum with map-side combining, so hubs cost no skewed list.  Nodes without an edge
+    are their own root.
+    """
+    links = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    seen = _digest(links)
+    if seen[0] <= one_task:
+        roots = links.coalesce(1).mapInArrow(_union, "hi long, r long")
+    else:
+        roots = _stars(links, seen)
+    return nodes.join(roots, nodes["node"] == roots["hi"], "left").select("node", F.coalesce("r", "node").alias("root"))

@@ -36,6 +36,8 @@ from paperlake.llm.common import components, cut, cut_table
 SHINGLE, TAU, SEED = 4, 4, 42
 #: Fingerprints in the sample that bit groups and thresholds are planned on.
 PLAN_SAMPLE = 2048
+#: Keys that a part may be probed with for each fingerprint.
+MOST_PROBES = 4096
 
 
 def words(data: bytes) -> list[bytes]:
@@ -130,6 +132,7 @@ def make_plan(sample: np.ndarray, n: int, tau: int = TAU, most_parts: int = 8) -
     if len(bits) < 2:
         bits = np.vstack([bits, np.zeros((2 - len(bits), 64), np.float32)])
     best: tuple[float, Plan] | None = None
+    n = max(n, 1000)
     for m in range(1, min(most_parts, tau + 1) + 1):
         parts, costs = group_bits(bits, m), []
         for part in parts:
@@ -140,7 +143,7 @@ def make_plan(sample: np.ndarray, n: int, tau: int = TAU, most_parts: int = 8) -
             for t in range(tau + 1):
                 ball = sum(math.comb(len(part), k) for k in range(min(t, len(part)) + 1))
                 share = max((apart <= t).mean(), ball / 2.0 ** len(part))
-                row.append(20.0 * n * ball + n * n / 2 * share)
+                row.append(20.0 * n * ball + n * n / 2 * share if ball <= MOST_PROBES else math.inf)
             costs.append(row)
         cost, chosen = allocate(costs, tau)
         if best is None or cost < best[0]:
@@ -175,13 +178,12 @@ def link(nodes: DataFrame, tau: int = TAU) -> DataFrame:
     sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()
     plan = make_plan(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), n, tau)
     roots = nodes.select("fp", F.col("fp").alias("root"))
-    # leaders: the bucket's most frequent fingerprint, then one drawn by a hash
-    for leader in (F.max(F.struct("n", "fp"))["fp"], F.min(F.struct(F.xxhash64("fp", F.lit(1)), "fp"))["fp"]):
-        own = _keys(nodes, plan, probes=False)
-        lead = own.groupBy("part", "key").agg(leader.alias("lead"))
-        star = own.join(lead, ["part", "key"]).filter((F.col("fp") != F.col("lead")) & (_apart("fp", "lead") <= tau)).select("fp", "lead").distinct()
-        a, b = roots.withColumnsRenamed({"root": "a"}), roots.withColumnsRenamed({"fp": "lead", "root": "b"})
-        roots = _merge(roots, star.join(a, "fp").join(b, "lead").select("a", "b"))
+    # leaders: the bucket's most frequent fingerprint, and one drawn by a hash
+    own = _keys(nodes, plan, probes=False)
+    lead = own.groupBy("part", "key").agg(F.max(F.struct("n", "fp"))["fp"].alias("x"), F.min(F.struct(F.xxhash64("fp", F.lit(1)), "fp"))["fp"].alias("y"))
+    star = own.join(lead, ["part", "key"]).select("fp", F.explode(F.array("x", "y")).alias("lead"))
+    star = star.filter((F.col("fp") != F.col("lead")) & (_apart("fp", "lead") <= tau))
+    roots = _merge(roots, star.toDF("a", "b"))
     data = _keys(nodes.select("fp").join(roots, "fp"), plan, probes=False)
     probe = _keys(nodes.select("fp").join(roots, "fp"), plan, probes=True).toDF("part", "key", "fp2", "root2")
     # a bucket's largest component so far is not compared with itself
