@@ -1,25 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the caller."""
+"""The corpus pipeline: five stages over ``documents``, each calling one operator.
+
+A caller may write each stage's rows as Parquet and read them again as the next one's docs.
+All stages but the last return the columns of ``documents``.
+
+Defined results: rows without a letter are rejected by the first stage; repeated rows are
+near-duplicates of each other; null texts have no language and go; an empty table passes
+through every stage as an empty table; further columns of the input are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperlake.llm import language
+from paperlake.llm import language, mixing, pieces, pii, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised; rejected ones go."""
-    model = language.train(docs, language.held_out() == False)  # noqa: E712
-    return language.predict(docs, model, keep=COLUMNS, text="text").filter("not rejected").select(*COLUMNS)
+    """Documents whose language is recognised; those that the classifier rejects go."""
+    model = language.train(docs, ~language.held_out())
+    return language.predict(docs, model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one of smallest id."""
+    found = simhash.near_duplicates(docs)
+    # equal rows may share the smallest id; one of them stays
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root").dropDuplicates(["root"])
+    kept = simhash.fingerprints(docs, keep=COLUMNS)
+    return kept.join(stays, kept["doc_id"].eqNullSafe(stays["doc_id"]) & (kept["fp"] == stays["fp"]), "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and n_chars brought up to date."""
+    model = pii.train(docs)
+    return pii.redact(docs.select(*COLUMNS), model).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    mixed = mixing.mix(docs, keep=COLUMNS)
+    return mixed.withColumn("copy", F.explode(F.expr("array_repeat(0, repeats)"))).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their piece ids; every text must decode to itself."""
+    model = pieces.Pieces.load()
+    x = pieces.decode(pieces.encode(docs.select(*COLUMNS), model), model)
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.SPACE), F.lit(" ")))
+    checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("a text does not decode to itself")).cast("array<int>"))
+    return x.select(*COLUMNS, checked.alias("ids"), F.size("ids").cast("long").alias("n_tokens"))
+
 
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("source_mixing", mix_sources),
+    ("sentence_pieces", encode_pieces),
+]
 
-STAGES = [("language_id", identify_language)]
+#: No stage can be expressed in SQL; tests/llm compares them with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -88,19 +88,20 @@ def fit_budget(hist: list[tuple[int, int]], budget: int) -> dict[int, int]:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 7,
-        row_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken): repeats of each document.
+        row_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, size, source_size, target, repeats, taken): how often each document is taken.
 
     Collected to the driver: one row per source, as a mixture's weights are.  The histogram
     by size is fitted in one task per source; it has one row per distinct size.
     """
+    h = F.xxhash64(F.col(row_id), F.lit(seed))
     rows = docs.select(
-        F.col(row_id).alias("doc_id"), F.col(source).alias("source"),
+        F.struct(*keep).alias("kept"),
+        # null sources get a key that no text has
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("-")).alias("key"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(row_id), F.lit(seed)).alias("h"),
+        F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"), h.alias("h"), F.col(row_id).alias("row_id"),
     )
-    # null sources get a key that no text has
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     buckets = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     hist = buckets.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sizes = {r["key"]: int(r["words"]) for r in hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     )
     placed = rows.join(quota, ["key", "size", "bucket"])
     whole = placed.filter("quota = 0 or quota = n").withColumn("extra", (F.col("quota") > 0).cast("int"))
-    rank = Window.partitionBy("key", "size", "bucket").orderBy("h", "doc_id")
+    rank = Window.partitionBy("key", "size", "bucket").orderBy("h", "row_id")
     split = placed.filter("quota > 0 and quota < n").withColumn("extra", (F.row_number().over(rank) <= F.col("quota")).cast("int"))
     facts = [(k, sizes[k], float(want[k])) for k in sizes]
     known = docs.sparkSession.createDataFrame(facts, "key string, source_size long, target double")
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
         whole.unionByName(split)
         .join(F.broadcast(known), "key")
         .withColumn("repeats", F.col("passes") + F.col("extra"))
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+        .select(*(F.col("kept")[c].alias(c) for c in keep), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import language, media, mixing, nearest, pii, simhash
+from paperlake.llm import language, media, mixing, nearest, pieces, pii, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": _table("documents", language.language_query),
         "op5_source_mixing": _table("documents", mixing.mixing_query),
         "op6_simhash": _table("documents", simhash.simhash_query),
+        "op7_sentence_pieces": _table("documents", pieces.pieces_query),
         "op9_personal_data": _table("documents", pii.pii_query),
     }
 
