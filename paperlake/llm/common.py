@@ -48,6 +48,13 @@ def _digest(df: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a task holds few texts as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 #: Up to so many links (16 bytes each) one task finds the components; beyond, star rounds do.
 ONE_TASK_LINKS = 500_000
 

@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.llm.common import sliced
+
 DIMENSIONS = 1 << 14
 MAX_TRAIN = 1600
 CENTROIDS = 4
 #: A text is rejected below this share of the least training cosine of its centroid.
 MARGIN = 0.5
+#: Grams from which on a text's distance is taken in full; shorter texts get slack in proportion.
+FULL = 300
 UNDETERMINED = "und"
 
 
@@ -57,14 +61,14 @@ def grams(text: str | None) -> np.ndarray | None:
 
 
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Dampened counts (rows x DIMENSIONS, float32) and which rows have a letter."""
-    out, some = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
+    """Dampened counts (rows x DIMENSIONS, float32) and each row's number of grams."""
+    out, total = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         ids = grams(t)
         if ids is not None:
-            some[i] = True
+            total[i] = len(ids)
             out[i] = np.log1p(np.bincount(ids, minlength=DIMENSIONS))
-    return out, some
+    return out, total
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -82,19 +86,21 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Labels, cosines in 0..1 and whether each text is rejected."""
-        tf, some = counts(texts)
+        tf, total = counts(texts)
+        some = total > 0
         if not self.labels:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = _unit(tf * self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         label = [self.labels[self.owner[b]] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
-        return label, np.where(some, score, 0.0), ~some | (score < MARGIN * self.reach[best])
+        return label, np.where(some, score, 0.0), ~some | (score < MARGIN * self.reach[best] * np.minimum(1.0, total / FULL))
 
 
 def fit(texts: list[str], labels: list[str], k: int = CENTROIDS, rounds: int = 10) -> Model:
     """Several spherical k-means centroids for each label."""
-    tf, some = counts(texts)
+    tf, total = counts(texts)
+    some = total >= min(FULL, total.max(initial=0))
     rows, names = tf[some], np.array([x for x, s in zip(labels, some, strict=True) if s], object)
     found = sorted(set(names.tolist()))
     if not found:
@@ -142,7 +148,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(len(keep)).to_pylist()
             label: list[str] = []
             score, rejected = [], []

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.llm.common import sliced
+
 BLOCK, HOP, RATE = 576, 288, 8000
 PEAKS, ZONE = 2, 2
 MIN_MAGNITUDE = 16.0
@@ -99,7 +101,7 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """(*keep, payload_len, media): every whole text stored as a WAV in a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             payloads = [x or b"" for x in b.column(len(keep)).to_pylist()]
             media = pa.array([to_wav(pad(x)) for x in payloads], pa.binary())
             sizes = pa.array([len(x) for x in payloads], pa.int64())
@@ -121,7 +123,7 @@ def features(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "payload_len"
     pair = pa.struct([("t", pa.int32()), ("code", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in range(6)]
             ts, cs, ends = [], [], [0]
             for m in b.column(len(keep)).to_pylist():

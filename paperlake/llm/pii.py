@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.llm.common import sliced
+
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
 
@@ -240,7 +242,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(described(t, c) for c in candidates(t))
@@ -280,7 +282,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, bool] = {}
-        for b in batches:
+        for b in sliced(batches):
             found = [[{"kind": c.kind, "start": c.start, "end": c.end, "base": c.base} for c in spans(t, shared.value, known)] for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, pa.list_(span))], [*keep, "spans"])
 
@@ -307,7 +309,7 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, bool] = {}
-        for b in batches:
+        for b in sliced(batches):
             cols = [pa.array([clean(t, known) for t in c.to_pylist()], c.type) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import components, cut, cut_table
+from paperlake.llm.common import components, cut, cut_table, sliced
 
 SHINGLE, TAU, SEED = 4, 4, 42
 #: Fingerprints in the sample that bit groups and thresholds are planned on.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE, text: str = "text", keep: tu
     """(*keep, fp): the fingerprint of every whole text as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw = b"".join(fingerprint(x or b"", n) for x in b.column(len(keep)).to_pylist())
             fp = pa.array(np.frombuffer(raw, ">i8").astype(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), fp], [*keep, "fp"])

@@ -20,6 +20,7 @@ def test_fold_is_the_library(text):
     lib = _cache.setdefault("lib", sentencepiece.SentencePieceProcessor(model_file=P.MODEL))
     p = _cache.setdefault("p", P.Pieces.load())
     assert [i for u in P.units(text, p) for i in p.fold(u)] == lib.encode(text)
+    assert all(p._merged(u) == p._merged_short(u) for u in P.units(text, p))
 
 
 _cache: dict = {}
@@ -35,6 +36,9 @@ def test_query(spark):
     for i, t in enumerate(TEXTS):
         assert got[i]["ids"] == (None if t is None else lib.encode(t))
         assert got[i]["round_trip"] is True
+    p = P.Pieces.load()
+    back = P.decode(P.encode(df.select("doc_id", "text"), p, known={}), p).collect()
+    assert all(r["decoded"] == (r["text"] and r["text"].replace(P.SPACE, " ")) for r in back)
 
 
 def brute_path(unit, table, lowest):
