@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperlake.llm import language, mixing, pieces, pii, simhash
 
@@ -26,11 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one of smallest id."""
-    found = simhash.near_duplicates(docs)
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    found = simhash.near_duplicates(marked, keep=("mark",))
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark", "root").dropDuplicates(["root"]).drop("root")
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["doc_id"]) & (marked["mark"] == stays["mark"]), "left_semi")
     # equal rows may share the smallest id; one of them stays
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root").dropDuplicates(["root"])
-    kept = simhash.fingerprints(docs, keep=COLUMNS)
-    return kept.join(stays, kept["doc_id"].eqNullSafe(stays["doc_id"]) & (kept["fp"] == stays["fp"]), "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
+    first = Window.partitionBy("doc_id", "mark").orderBy(F.lit(0))
+    return kept.withColumn("row", F.row_number().over(first)).filter("row = 1").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

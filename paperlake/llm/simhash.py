@@ -203,15 +203,15 @@ def _merge(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(roots.join(new.toDF("root", "new"), "root").select("fp", F.col("new").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, tau: int = TAU, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row_id, fp, root, component_id): root is the component's least fingerprint and
-    component_id its smallest row id."""
-    prints = cut_table(fingerprints(docs, n, text, (row_id,)), "fingerprints")
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, tau: int = TAU, text: str = "text", row_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, fp, root, component_id): root is the component's least fingerprint
+    and component_id its smallest row id."""
+    prints = cut_table(fingerprints(docs, n, text, (row_id, *keep)), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("least")))
     roots = link(nodes.select("fp", "n"), tau)
     least = nodes.select("fp", "least").join(roots, "fp")
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(roots.join(names, "root"), "fp").select(row_id, "fp", "root", "component_id")
+    return prints.join(roots.join(names, "root"), "fp").select(row_id, *keep, "fp", "root", "component_id")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
