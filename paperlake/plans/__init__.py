@@ -1,0 +1,11 @@
+"""Registered queries over the standard tables."""
+
+from paperlake.plans import registry, scalar_queries  # noqa: F401
+
+
+def queries() -> dict:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
