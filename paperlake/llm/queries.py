@@ -29,8 +29,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_nearest_neighbours": """
 WITH ok AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-              AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
