@@ -34,9 +34,9 @@ from paperlake.llm.common import cut_table, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose folded ids are broadcast, and the longest of them in characters.
-DICTIONARY, LONGEST_UNIT = 1 << 16, 48
+DICTIONARY, LONGEST_UNIT = 1 << 17, 48
 #: Units that a task remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -92,6 +92,21 @@ class Pieces:
             return [hit[0]]
         return [self.bytes_[b] for b in segment.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
+    @cached_property
+    def pairs(self) -> set[str]:
+        """All two adjacent characters inside pieces."""
+        return {p[i : i + 2] for p in self.table for i in range(len(p) - 1)}
+
+    def split(self, unit: str) -> list[str]:
+        """The unit cut wherever no piece can reach across."""
+        pairs, out, start = self.pairs, [], 0
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in pairs:
+                out.append(unit[start:i])
+                start = i
+        out.append(unit[start:])
+        return out
+
     @cached_property
     def costs(self) -> dict[str, float]:
         return {p: -s for p, (_, s) in self.table.items()}
@@ -281,6 +296,9 @@ class _Memory(dict):
         self.known, self.pieces = known, pieces
 
     def __missing__(self, unit: str) -> bytes:
+        parts = self.pieces.split(unit)
+        if len(parts) > 1:  # only its parts are remembered
+            return b"".join([self[x] for x in parts])
         if len(self) > REMEMBERED:
             self.clear()
             self.update(self.known)

@@ -20,6 +20,7 @@ def test_fold_is_the_library(text):
     lib = _cache.setdefault("lib", sentencepiece.SentencePieceProcessor(model_file=P.MODEL))
     p = _cache.setdefault("p", P.Pieces.load())
     assert [i for u in P.units(text, p) for i in p.fold(u)] == lib.encode(text)
+    assert [i for u in P.units(text, p) for x in p.split(u) for i in p.fold(x)] == lib.encode(text)
     assert all(p._merged(u) == p._merged_short(u) for u in P.units(text, p))
 
 
