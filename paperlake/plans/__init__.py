@@ -1,6 +1,6 @@
 """Registered queries over the standard tables."""
 
-from paperlake.plans import registry, scalar_queries  # noqa: F401
+from paperlake.plans import registry, scalar_queries, search_queries  # noqa: F401
 
 
 def queries() -> dict:
