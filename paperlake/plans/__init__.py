@@ -1,6 +1,6 @@
 """Registered queries over the standard tables."""
 
-from paperlake.plans import aggregate_queries, join_queries, registry, scalar_queries, search_queries  # noqa: F401
+from paperlake.plans import aggregate_queries, join_queries, record_queries, registry, scalar_queries, search_queries, source_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:
