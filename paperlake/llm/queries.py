@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import language, media, mixing, nearest, pieces, pii, repeats, simhash
+from paperlake.llm import language, media, mixing, nearest, passages, pieces, pii, repeats, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": _table("documents", media.media_query),
+        "op2_near_passages": _table("documents", passages.passages_query),
         "op3_nearest_neighbours": _table("embeddings", nearest.nearest_query),
         "op4_language_id": _table("documents", language.language_query),
         "op5_source_mixing": _table("documents", mixing.mixing_query),
