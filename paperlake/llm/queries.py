@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import language, media, mixing, nearest, passages, pieces, pii, repeats, simhash
+from paperlake.llm import katz, language, media, mixing, nearest, passages, pieces, pii, repeats, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": _table("documents", mixing.mixing_query),
         "op6_simhash": _table("documents", simhash.simhash_query),
         "op7_sentence_pieces": _table("documents", pieces.pieces_query),
+        "op8_katz_backoff": _table("documents", katz.katz_query),
         "op9_personal_data": _table("documents", pii.pii_query),
         "op10_repeat_removal": _table("documents", repeats.repeats_query),
     }
