@@ -2,8 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams; every language
 is described by several centroids from spherical k-means; a text takes the language of the
-centroid with the largest cosine and is rejected if it lies further from that centroid than
-any training text of it, with a margin.
+centroid with the largest cosine and is rejected if it lies much further from that centroid
+than nearly all training texts of the language.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_train`` in total, the
 rows of least id hash in each language); prediction covers every row and whole texts and
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from paperlake.llm.common import sliced
 
 DIMENSIONS = 1 << 14
-MAX_TRAIN = 1600
+MAX_TRAIN = 800
 CENTROIDS = 4
-#: A text is rejected below this share of the least training cosine of its centroid.
-MARGIN = 0.5
+#: A text is rejected below MARGIN times the cosine that all but a share INNER of its
+#: language's training texts reach; smaller clusters than a share RARE are dropped.
+MARGIN, INNER, RARE = 0.6, 0.02, 0.02
 #: Grams from which on a text's distance is taken in full; shorter texts get slack in proportion.
 FULL = 300
 UNDETERMINED = "und"
@@ -105,23 +106,25 @@ def fit(texts: list[str], labels: list[str], k: int = CENTROIDS, rounds: int = 1
     found = sorted(set(names.tolist()))
     if not found:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+    del tf
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit = _unit(rows * idf)
+    rows *= idf  # in place: the driver holds these rows once
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.where(norms > 0, norms, 1)
+    unit = rows
     centroids, owner, reach = [], [], []
     for n, name in enumerate(found):
         x = unit[names == name]
-        c = x[[0]]
-        while len(c) < min(k, len(x)):  # the row furthest from the chosen ones is next
-            c = np.vstack([c, x[[(x @ c.T).max(axis=1).argmin()]]])
+        c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]  # rows come in hash order
         for _ in range(rounds):
             near = (x @ c.T).argmax(axis=1)
             c = _unit(np.stack([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
-        near = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (near == j).any():
-                centroids.append(c[j])
-                owner.append(n)
-                reach.append(float((x[near == j] @ c[j]).min()))
+        size = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+        c = c[size >= min(size.max(), max(2, RARE * len(x)))]  # a few odd texts are no cluster
+        inner = float(np.quantile((x @ c.T).max(axis=1), INNER))
+        centroids += list(c)
+        owner += [n] * len(c)
+        reach += [inner] * len(c)
     return Model(found, idf, np.stack(centroids).astype(np.float32), np.array(owner), np.array(reach))
 
 
