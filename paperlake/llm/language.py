@@ -32,9 +32,9 @@ MAX_TRAIN = 800
 CENTROIDS = 4
 #: A text is rejected below MARGIN times the cosine that all but a share INNER of its
 #: language's training texts reach; smaller clusters than a share RARE are dropped.
-MARGIN, INNER, RARE = 0.6, 0.02, 0.02
+MARGIN, INNER, RARE = 0.45, 0.02, 0.02
 #: Grams from which on a text's distance is taken in full; shorter texts get slack in proportion.
-FULL = 300
+FULL = 600
 UNDETERMINED = "und"
 
 
