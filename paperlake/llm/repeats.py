@@ -145,23 +145,33 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iter
 
 
 def anchor_table(docs: DataFrame, uid: str = "uid", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(gram, context, uid, at, first, last): every anchor of every whole text."""
+    """(gram, context, uid, more, at, first, last): every anchor of every whole text.
+
+    Equal texts that a task reads together give one row for each anchor, with the other
+    ids in ``more``: a large group of copies is gathered before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 4096):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            others: list = []
+            texts: dict[bytes, list[int]] = {}
             for u, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if data is None or len(data) < length:
-                    continue
+                if data is not None and len(data) >= length:
+                    texts.setdefault(data, []).append(u)
+            for data, (u, *more) in texts.items():
                 h, a, s, e = anchors(data, length, gram)
                 reach = [(x, *_context(data, x, length, gram)) for x in a.tolist()]
                 ctx = np.array([xxhash.xxh64_intdigest(data[lo:hi], x - lo) for x, lo, hi in reach], np.uint64).view(np.int64)
                 for col, v in zip(cols, (h, ctx, np.full(len(a), u, np.int64), a, s, e), strict=True):
                     col.append(v)
+                others += [more or None] * len(a)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "context", "uid", "at", "first", "last"])
+                made = [*(pa.array(np.concatenate(c)) for c in cols), pa.array(others, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, ["gram", "context", "uid", "at", "first", "last", "more"])
 
-    return docs.select(uid, F.col(text).cast("binary").alias("_data")).mapInArrow(run, "gram long, context long, uid long, at long, first long, last long")
+    rows = docs.select(uid, F.col(text).cast("binary").alias("_data"))
+    return rows.mapInArrow(run, "gram long, context long, uid long, at long, first long, last long, more array<bigint>")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, uid: str, text: str, length: int, gram: int) -> DataFrame:
@@ -228,11 +238,12 @@ def repeated_starts(docs: DataFrame, uid: str = "uid", text: str = "text", lengt
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before, after = F.lag("context").over(same), F.lead("context").over(same)
     x = table.select("*", before.alias("before"), after.alias("after"), (F.first("context").over(whole) != F.last("context").over(whole)).alias("several"))
-    twin = F.col("before").eqNullSafe(F.col("context")) | F.col("after").eqNullSafe(F.col("context"))
-    x = x.filter("before is not null or after is not null").select(
-        "gram", "uid", "at", "first", "last", twin.alias("twin"), (F.col("several") & ~F.col("before").eqNullSafe(F.col("context"))).alias("ask"))
+    twin = F.col("more").isNotNull() | F.col("before").eqNullSafe(F.col("context")) | F.col("after").eqNullSafe(F.col("context"))
+    x = x.filter("before is not null or after is not null or more is not null").select(
+        "gram", "uid", "more", "at", "first", "last", twin.alias("twin"), (F.col("several") & ~F.col("before").eqNullSafe(F.col("context"))).alias("ask"))
     x = cut_table(x, "anchors")
-    return x.filter("twin").select("uid", "first", "last").unionByName(compared(_contexts(docs, x.filter("ask"), uid, text, length, gram), length))
+    twins = x.filter("twin").withColumn("uid", F.explode(F.concat(F.array("uid"), F.coalesce("more", F.array().cast("array<bigint>")))))
+    return twins.select("uid", "first", "last").unionByName(compared(_contexts(docs, x.filter("ask"), uid, text, length, gram), length))
 
 
 def _remove(data: bytes, ranges: list, length: int) -> tuple[int, int, str]:
