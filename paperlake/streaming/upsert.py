@@ -23,7 +23,7 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 def upsert_stream(source: DataFrame, table: str, key: str, order: str, checkpoint: str):
     """Starts a stream that folds each micro-batch into versions of ``table``.
 
-    Every batch writes a new version and then names it in ``_current``, so readers never see
+    Every batch writes a new version and then names it in ``CURRENT``, so readers never see
     half a table; a batch that runs again writes the same rows.
     """
 
@@ -41,12 +41,12 @@ def write_version(rows: DataFrame, table: str) -> str:
     spark, name = rows.sparkSession, f"v-{uuid.uuid4().hex}"
     rows.write.parquet(f"{table}/{name}")
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{table}/_current.tmp")
+    path = jvm.org.apache.hadoop.fs.Path(f"{table}/CURRENT.tmp")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(path, True)
     out.write(bytearray(name.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{table}/_current")
+    target = jvm.org.apache.hadoop.fs.Path(f"{table}/CURRENT")
     fs.delete(target, False)
     if not fs.rename(path, target):
         raise OSError(f"cannot publish {name}")
@@ -55,8 +55,8 @@ def write_version(rows: DataFrame, table: str) -> str:
 
 def read_table(spark, table: str) -> DataFrame | None:
     """The current version, or None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_current")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/CURRENT")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    name = spark.read.text(f"{table}/_current").first()[0]
+    name = spark.read.text(f"{table}/CURRENT").first()[0]
     return spark.read.parquet(f"{table}/{name}")
