@@ -36,8 +36,11 @@ from paperlake.llm.common import sliced
 
 #: Counts above this are taken as they are.
 DISCOUNTED = 5
-#: Tokens that a task packs at a time, and bytes of text for each partition.
-CHUNK, PARTITION_BYTES = 2_000_000, 24_000_000
+#: Tokens that a task packs at a time, bytes of text for each partition of histories,
+#: partitions that one task evaluates, and partitions of histories for each one of words.
+CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 2_000_000, 8_000_000, 4, 12
+#: Documents whose sums a task gathers before it sends them on.
+GATHERED = 1_000_000
 START, END = np.uint64(0x5A17D3C1B2E49F61), np.uint64(0xE3D9C5A7F1B08642)
 _W56 = ~np.uint64(0xFF)
 
@@ -90,7 +93,7 @@ class Chunk:
         self.docs.append((row_id, held_out, len(words)))
         self.size += len(words)
 
-    def rows(self, block: int, parts: int) -> Iterator[tuple[int, int, str, bytes]]:
+    def rows(self, block: int, parts: int, word_parts: int) -> Iterator[tuple[int, int, str, bytes]]:
         """(part, block, kind, payload): documents d, words u and bigrams b."""
         hashes = np.array([0, *(xxhash.xxh64_intdigest(w) for w in list(self.ids)[1:])], np.uint64)
         hashes[0] = END
@@ -102,8 +105,8 @@ class Chunk:
         order = np.argsort(hashes)
         counts = np.bincount(w, weights=train, minlength=len(hashes)).astype(np.uint32)[order]
         sorted_hashes = hashes[order]
-        cuts = np.searchsorted(part_of(sorted_hashes, parts), np.arange(parts + 1, dtype=np.uint64))
-        for p in range(parts):
+        cuts = np.searchsorted(part_of(sorted_hashes, word_parts), np.arange(word_parts + 1, dtype=np.uint64))
+        for p in range(word_parts):
             s = slice(cuts[p], cuts[p + 1])
             if s.start < s.stop:
                 yield p, block, "u", _pack(sorted_hashes[s], counts[s])
@@ -133,14 +136,14 @@ class Chunk:
                 yield p, block, "b", _pack(hk, hn.astype(np.uint32), _short(uw[a:b]), mult[a:b], seen[a:b].astype(np.uint32), spots[ends[a] : ends[b]])
 
 
-def scan(docs: DataFrame, held: Column, parts: int, row_id: str, text: str) -> DataFrame:
+def scan(docs: DataFrame, held: Column, parts: int, word_parts: int, row_id: str, text: str) -> DataFrame:
     """(part, block, kind, payload) of all documents, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, chunk = TaskContext.get().partitionId(), 0, Chunk()
 
         def out(c: Chunk) -> Iterator[pa.RecordBatch]:
-            for p, b, k, data in c.rows(task << 24 | number, parts):
+            for p, b, k, data in c.rows(task << 24 | number, parts, word_parts):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int64()), pa.array([k]), pa.array([data], pa.binary())], ["part", "block", "kind", "payload"])
 
         for batch in sliced(batches):
@@ -153,7 +156,7 @@ def scan(docs: DataFrame, held: Column, parts: int, row_id: str, text: str) -> D
             yield from out(chunk)
 
     rows = docs.select(F.col(row_id).alias("id"), held.alias("held"), F.col(text).cast("binary").alias("data"))
-    return rows.mapInArrow(run, "part int, block long, kind string, payload binary").repartition(parts, "part")
+    return rows.mapInArrow(run, "part int, block long, kind string, payload binary")
 
 
 def _bigrams(payloads: list[bytes]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,12 +218,53 @@ def backoff_table(h: np.ndarray, count: np.ndarray, p1: np.ndarray, d: np.ndarra
     return np.log10(p), alpha[g]
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of sums for each block of all that a task has made of it."""
+    held: dict[int, np.ndarray] = {}
+    total, size = 0.0, 0
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.float64()), strict=True)], ["block", "kind", "payload", "total"])
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for block, sums in held.items():
+            at = np.flatnonzero(sums.any(axis=0))
+            rows.append((block, "s", _pack(at.astype(np.uint32), sums[0, at], sums[1, at], sums[2, at].astype(np.uint32)), total))
+        held.clear()
+        return out(rows)
+
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            block, kind, payload, total = row
+            if kind == "d":
+                yield out([row])
+                continue
+            at, *sums = _unpack(payload)
+            have = held.get(block)
+            if have is None or have.shape[1] <= int(at[-1]):
+                more = np.zeros((3, int(at[-1]) + 1))
+                if have is not None:
+                    more[:, : have.shape[1]] = have
+                    size -= have.shape[1]
+                have = held[block] = more
+                size += more.shape[1]
+            for i in range(3):
+                have[i, at] += sums[i]
+            if size > GATHERED:
+                yield flush()
+                size = 0
+    yield flush()
+
+
 def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "text", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(row_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(4, math.ceil(size / partition_bytes))
+    word_parts, tasks = max(2, parts // PER_WORDS), max(4, parts // PER_TASK)
     # used three times as it is, so that the plan has one scan and one exchange of it
-    packed = scan(docs, held, parts, row_id, text)
+    packed = scan(docs, held, parts, word_parts, row_id, text).repartition(tasks, "part")
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Words that a partition wants counts of, and its share of the statistics."""
@@ -233,12 +277,12 @@ def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "te
             _, _, _, w, count, _ = _bigrams(grams)
             stats[: DISCOUNTED + 2] = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
             w = np.unique(w)
-            cuts = np.searchsorted(part_of(w, parts), np.arange(parts + 1, dtype=np.uint64))
-            rows = [(q, int(key[0]), _short(w[cuts[q] : cuts[q + 1]]).tobytes(), None) for q in range(parts) if cuts[q] < cuts[q + 1]]
+            cuts = np.searchsorted(part_of(w, word_parts), np.arange(word_parts + 1, dtype=np.uint64))
+            rows = [(q, int(key[0]), _short(w[cuts[q] : cuts[q + 1]]).tobytes(), None) for q in range(word_parts) if cuts[q] < cuts[q + 1]]
         rows.append((-1, int(key[0]), b"", stats.tolist()))
         return pd.DataFrame(rows, columns=["part", "asker", "payload", "stats"])
 
-    asked = packed.groupBy("part").applyInPandas(ask, "part int, asker int, payload binary, stats array<double>").repartition(parts, "part")
+    asked = packed.groupBy("part").applyInPandas(ask, "part int, asker int, payload binary, stats array<double>").repartition(tasks, "part")
 
     def answer(_: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         """Training counts of the asked words."""
@@ -257,7 +301,7 @@ def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "te
     totals = asked.filter("part < 0").agg(*sums).select(F.array(*[f"s{i}" for i in range(DISCOUNTED + 4)]).alias("stats"))
     every = totals.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "stats")
     none = F.lit(None)
-    told = answers.select("part", "payload", none.cast("array<double>").alias("stats")).unionByName(every.select("part", none.cast("binary").alias("payload"), "stats"))
+    told = answers.select("part", "payload", none.cast("array<double>").alias("stats")).unionByName(every.select("part", none.cast("binary").alias("payload"), "stats")).repartition(tasks, "part")
 
     def evaluate(_: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Partial sums of a partition's bigrams, one row per block."""
@@ -284,7 +328,8 @@ def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "te
             rows.append((int(block), "s", _pack(docs_, *sums_[:2], sums_[2].astype(np.uint32)), total))
         return pd.DataFrame(rows, columns=columns)
 
-    partial = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(evaluate, "block long, kind string, payload binary, total double")
+    row = "block long, kind string, payload binary, total double"
+    partial = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(evaluate, row).mapInArrow(_gather, row)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         """The documents of a block with their sums."""
