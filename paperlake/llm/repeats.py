@@ -145,33 +145,41 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iter
 
 
 def anchor_table(docs: DataFrame, uid: str = "uid", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(gram, context, uid, more, at, first, last): every anchor of every whole text.
+    """(gram, context, uid, at, first, last, more): every anchor of every whole text.
 
-    Equal texts that a task reads together give one row for each anchor, with the other
-    ids in ``more``: a large group of copies is gathered before the shuffle.
+    Anchors of equal gram and context that a task reads together are one row, with the
+    others' (uid, first, last) in ``more``: copies, common passages and periodic stretches
+    are gathered before the shuffle.
     """
+    span = pa.struct([("uid", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 4096):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            others: list = []
             texts: dict[bytes, list[int]] = {}
             for u, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if data is not None and len(data) >= length:
                     texts.setdefault(data, []).append(u)
-            for data, (u, *more) in texts.items():
+            for data, uids in texts.items():
                 h, a, s, e = anchors(data, length, gram)
                 reach = [(x, *_context(data, x, length, gram)) for x in a.tolist()]
                 ctx = np.array([xxhash.xxh64_intdigest(data[lo:hi], x - lo) for x, lo, hi in reach], np.uint64).view(np.int64)
-                for col, v in zip(cols, (h, ctx, np.full(len(a), u, np.int64), a, s, e), strict=True):
-                    col.append(v)
-                others += [more or None] * len(a)
-            if cols[0]:
-                made = [*(pa.array(np.concatenate(c)) for c in cols), pa.array(others, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(made, ["gram", "context", "uid", "at", "first", "last", "more"])
+                for u in uids:
+                    for col, v in zip(cols, (h, ctx, np.full(len(a), u, np.int64), a, s, e), strict=True):
+                        col.append(v)
+            if not cols[0]:
+                continue
+            rows = [np.concatenate(c) for c in cols]
+            order = np.lexsort((rows[1], rows[0]))
+            rows = [r[order] for r in rows]
+            head = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            size = np.diff(np.append(np.flatnonzero(head), len(head)))
+            rest = pa.StructArray.from_arrays([pa.array(rows[i][~head]) for i in (2, 4, 5)], fields=list(span))
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]), pa.int32()), rest, mask=pa.array(size == 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(r[head]) for r in rows), more], ["gram", "context", "uid", "at", "first", "last", "more"])
 
     rows = docs.select(uid, F.col(text).cast("binary").alias("_data"))
-    return rows.mapInArrow(run, "gram long, context long, uid long, at long, first long, last long, more array<bigint>")
+    return rows.mapInArrow(run, "gram long, context long, uid long, at long, first long, last long, more array<struct<uid:bigint,first:bigint,last:bigint>>")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, uid: str, text: str, length: int, gram: int) -> DataFrame:
@@ -242,7 +250,8 @@ def repeated_starts(docs: DataFrame, uid: str = "uid", text: str = "text", lengt
     x = x.filter("before is not null or after is not null or more is not null").select(
         "gram", "uid", "more", "at", "first", "last", twin.alias("twin"), (F.col("several") & ~F.col("before").eqNullSafe(F.col("context"))).alias("ask"))
     x = cut_table(x, "anchors")
-    twins = x.filter("twin").withColumn("uid", F.explode(F.concat(F.array("uid"), F.coalesce("more", F.array().cast("array<bigint>")))))
+    none = F.array().cast("array<struct<uid:bigint,first:bigint,last:bigint>>")
+    twins = x.filter("twin").select(F.explode(F.concat(F.array(F.struct("uid", "first", "last")), F.coalesce("more", none))).alias("s")).select("s.*")
     return twins.select("uid", "first", "last").unionByName(compared(_contexts(docs, x.filter("ask"), uid, text, length, gram), length))
 
 
