@@ -26,9 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of smallest id."""
+    """One document of each near-duplicate component: the one of smallest id.
+
+    Documents are near duplicates if their fingerprints differ in at most four bits or their
+    five-word shingles are similar to at least 0.8.
+    """
     marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
-    found = simhash.near_duplicates(marked, keep=("mark",))
+    found = simhash.near_copies(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark", "root").dropDuplicates(["root"]).drop("root")
     kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["doc_id"]) & (marked["mark"] == stays["mark"]), "left_semi")
     # equal rows may share the smallest id; one of them stays

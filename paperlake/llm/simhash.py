@@ -218,3 +218,108 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint and component."""
     x = near_duplicates(docs)
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For near copies: words of a shingle, least similarity, min-hashes of a sketch, and rows
+#: and number of the bands that bring candidates together.
+COPY_SHINGLE, COPY_SIMILARITY, SKETCH, BAND_ROWS, BANDS = 5, 0.8, 128, 4, 16
+_MULTIPLIERS = np.random.default_rng(41).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = np.random.default_rng(43).integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each of SKETCH linear functions over shingle hashes."""
+    low = np.full(SKETCH, ~np.uint64(0), np.uint64)
+    for i in range(0, len(hashes), 1024):
+        part = hashes[i : i + 1024]
+        low = np.minimum(low, (_MULTIPLIERS[:, None] * part[None, :] + _OFFSETS[:, None]).min(axis=1))
+    return low
+
+
+def sketches(docs: DataFrame, uid: str, text: str = "text", n: int = COPY_SHINGLE) -> DataFrame:
+    """(uid, bands, sketch) of every text with words: band keys and 16 bits of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            ids, keys, kept = [], [], []
+            for u, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = shingles(data or b"", n)
+                if not found:
+                    continue
+                low = sketch(np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64))
+                ids.append(u)
+                raw = low.tobytes()
+                size = 8 * BAND_ROWS
+                keys.append([xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)])
+                kept.append((low >> np.uint64(40)).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["uid", "bands", "sketch"])
+
+    return docs.select(uid, F.col(text).cast("binary").alias("_text")).mapInArrow(run, "uid long, bands array<bigint>, sketch binary")
+
+
+def _similar(group: list[tuple[int, bytes]], need: int) -> Iterator[tuple[int, int]]:
+    """Links that join all members of a group whose sketches agree in ``need`` places."""
+    ids = [u for u, _ in group]
+    x = np.frombuffer(b"".join(s for _, s in group), np.uint16).reshape(len(group), -1)
+    top = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i in range(0, len(ids), 128):
+        for j in range(0, i + 128, 512):
+            same = (x[i : i + 128, None, :] == x[None, j : j + 512, :]).sum(axis=2)
+            for a, b in zip(*(v.tolist() for v in np.nonzero(same >= need)), strict=True):
+                a, b = find(a + i), find(b + j)
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    yield ids[a], ids[b]
+
+
+def sketch_links(table: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """(a, b) between distinct texts whose sketches tell at least this similarity, less one
+    standard error; pairs inside a band's bucket are compared in tiles, not given out."""
+    need = math.ceil(SKETCH * similarity - math.sqrt(SKETCH * similarity * (1 - similarity)))
+    keys = table.select("uid", F.explode("bands").alias("key"))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    rows = keys.join(several, "key").join(table.select("uid", "sketch"), "uid").select("key", "uid", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+        links: list[tuple[int, int]] = []
+        for b in sliced(batches, 4096):
+            for key, u, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != last:
+                    links += _similar(group, need) if len(group) > 1 else ()
+                    last, group = key, []
+                group.append((u, s))
+            cols = list(zip(*links, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+            links = []
+        links = list(_similar(group, need)) if len(group) > 1 else []
+        cols = list(zip(*links, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """(row_id, mark, root, component_id): groups of near-duplicate documents.
+
+    Fingerprints within TAU bits are linked as in ``near_duplicates``.  At a similarity of
+    0.8 over five-word shingles fingerprints differ in about ten of 64 bits, too many for
+    any split into parts to be selective, so links between sketches are added.  ``mark`` is
+    the text's hash, the same for equal texts.
+    """
+    marked = docs.withColumn("mark", F.xxhash64(text)).select(row_id, text, "mark")
+    found = cut(near_duplicates(marked, text=text, row_id=row_id, keep=("mark",)).select(row_id, "mark", "root"))
+    table = cut_table(sketches(marked, "mark", text), "sketches").dropDuplicates(["uid"])
+    owner = found.groupBy("mark").agg(F.min("root").alias("root"))
+    links = sketch_links(table)
+    links = links.join(owner.toDF("a", "ra"), "a").join(owner.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = components(found.select(F.col("root").alias("node")).distinct(), links).toDF("root", "new")
+    named = found.join(merged, "root").select(row_id, "mark", F.col("new").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min(row_id).alias("component_id")), "root").select(row_id, "mark", "root", "component_id")

@@ -99,3 +99,22 @@ def test_probe_keys_are_the_balls_of_the_parts(spark):
     assert data == {(0, own), (1, 0b110)}
     probes = {(r["part"], r["key"] & (1 << 64) - 1) for r in simhash._keys(nodes, plan, True).collect()}
     assert probes == {(0, own), (0, own ^ 1), (0, own ^ 32), (0, own ^ 1 << 63), (1, 0b110)}
+
+
+def test_near_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):  # hub and spokes: similar to the base, less so to each other
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(300)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)]
+    rows += [(200, rows[3][1]), (201, None), (202, ""), (203, "one"), (204, "One"), (205, " ".join(base[:150] + [word() for _ in range(150)]))]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, mark int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert all(got[i] == 0 for i in range(30)) and got[200] == 0
+    assert all(got[100 + i] == 100 + i for i in range(20)) and got[205] == 205
+    assert got[201] == got[202] == 201 and got[203] == got[204] == 203
