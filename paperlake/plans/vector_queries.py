@@ -258,3 +258,23 @@ def _(spark, sf):
 @query("SNK11_run_audit", "SELECT user_id AS run, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def _(spark, sf):
     return table(spark, sf, "events").groupBy(c("user_id").alias("run")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+
+
+@query("HSH03_file_fingerprints")
+def _(spark, sf):
+    from paperlake.operators.report import collection_fingerprint, file_fingerprints
+
+    return collection_fingerprint(file_fingerprints(spark, f"{sf}/region.parquet"))
+
+
+@query("EVA08_suites")
+def _(spark, sf):
+    from paperlake.operators.report import suites
+
+    return suites(papers(spark, sf), [CASES[0], CASES[2]], "all", healthy=False)
+
+
+@query("DOC04_profile", "SELECT 'documents' AS \"check\", (SELECT count(*) > 0 FROM documents) AS passed UNION ALL SELECT 'titles', (SELECT count(*) FILTER (trim(split_part(text, chr(10), 1)) = '') = 0 FROM documents)")
+def _(spark, sf):
+    x = papers(spark, sf).agg(one("n"), F.count_if(F.trim("title") == "").alias("blank"))
+    return E.checks([("documents", c("n") > 0), ("titles", c("blank") == 0)], x)

@@ -154,3 +154,16 @@ def test_heading_before(spark):
     items = spark.createDataFrame([("g", 3), ("g", 9)], "g string, p int")
     heads = spark.createDataFrame([("g", 1, "A"), ("g", 5, "B")], "g string, p int, h string")
     assert {r.p: r.h for r in R.heading_before(items, heads, "g", "p", "h").collect()} == {3: "A", 9: "B"}
+
+
+def test_reports(spark, papers, tmp_path):
+    from paperlake.operators import report as P
+
+    text = P.markdown(papers.filter("paper_id = 'P2'").select("paper_id", "title", "citation_count"))
+    assert text.splitlines() == ["| paper_id | title | citation_count |", "| --- | --- | --- |", "| P2 | Replay Baseline Placeholder |  |"]
+    (tmp_path / "a").write_text("x")
+    one = P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first()
+    (tmp_path / "a").write_text("y")
+    assert one.files == 1 and P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first() != one
+    s = P.suites(papers, [E.Case("a", "replay")], "all", healthy=False)
+    assert {r.suite: r.passed for r in s.collect()} == {"offline": True, "online": False} and P.status(s, {}, {"a": "1"}) == "fail (offline, online), stale"
