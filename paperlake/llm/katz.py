@@ -38,7 +38,7 @@ from paperlake.llm.common import sliced
 DISCOUNTED = 5
 #: Tokens that a task packs at a time, bytes of text for each partition of histories,
 #: partitions that one task evaluates, and partitions of histories for each one of words.
-CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 2_000_000, 8_000_000, 4, 12
+CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 1_200_000, 4_000_000, 7, 24
 #: Documents whose sums a task gathers before it sends them on.
 GATHERED = 1_000_000
 START, END = np.uint64(0x5A17D3C1B2E49F61), np.uint64(0xE3D9C5A7F1B08642)
