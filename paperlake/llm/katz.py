@@ -20,6 +20,8 @@ unknown; repeated rows count each time; an empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import math
 import pickle
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ from paperlake.llm.common import sliced
 DISCOUNTED = 5
 #: Tokens that a task packs at a time, bytes of text for each partition of histories,
 #: partitions that one task evaluates, and partitions of histories for each one of words.
-CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 1_200_000, 4_000_000, 7, 24
+CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 2_000_000, 4_000_000, 7, 24
 #: Documents whose sums a task gathers before it sends them on.
 GATHERED = 1_000_000
 START, END = np.uint64(0x5A17D3C1B2E49F61), np.uint64(0xE3D9C5A7F1B08642)
@@ -53,6 +55,18 @@ class _Ids(dict):
         return n
 
 
+try:
+    _LIBC = ctypes.CDLL(ctypes.util.find_library("c"))
+except OSError:  # no such library on this system
+    _LIBC = None
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system: workers live on, and large arrays leave gaps."""
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return pickle.dumps([(x.dtype.str, x.tobytes()) for x in arrays], protocol=5)
 
@@ -102,6 +116,7 @@ class Chunk:
         doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
         w = np.concatenate(self.tokens)
         yield block % parts, block, "d", pickle.dumps(self.docs)
+        self.tokens.clear()
         order = np.argsort(hashes)
         counts = np.bincount(w, weights=train, minlength=len(hashes)).astype(np.uint32)[order]
         sorted_hashes = hashes[order]
@@ -120,7 +135,8 @@ class Chunk:
         word_rank = np.empty(len(hashes), np.int64)
         word_rank[order] = np.arange(len(hashes))
         key = rank[h] << 32 | word_rank[w]
-        place = np.argsort(key, kind="stable")
+        del h, w
+        place = np.argsort(key, kind="stable").astype(np.int32)
         key = key[place]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         mult = np.diff(np.append(first, len(key))).astype(np.uint32)
@@ -152,8 +168,11 @@ def scan(docs: DataFrame, held: Column, parts: int, word_parts: int, row_id: str
                 if chunk.size >= CHUNK:
                     yield from out(chunk)
                     chunk, number = Chunk(), number + 1
+                    _trim()
         if chunk.docs:
             yield from out(chunk)
+        del chunk
+        _trim()
 
     rows = docs.select(F.col(row_id).alias("id"), held.alias("held"), F.col(text).cast("binary").alias("data"))
     return rows.mapInArrow(run, "part int, block long, kind string, payload binary")
@@ -164,10 +183,11 @@ def _bigrams(payloads: list[bytes]) -> tuple[list[list[np.ndarray]], np.ndarray,
     blocks = [_unpack(p) for p in payloads]
     h = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
     w = np.concatenate([_long(b[2]) for b in blocks])
-    order = np.lexsort((w, h))
+    order = np.lexsort((w, h)).astype(np.int32)
     hs, ws = h[order], w[order]
+    del h, w
     new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])
-    number = np.empty(len(h), np.int64)
+    number = np.empty(len(hs), np.int32)
     number[order] = np.cumsum(new) - 1
     count = np.bincount(number, weights=np.concatenate([b[4] for b in blocks])).astype(np.int64)
     return blocks, number, hs[new], ws[new], count, np.cumsum([0] + [len(b[3]) for b in blocks])
@@ -279,7 +299,9 @@ def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "te
             w = np.unique(w)
             cuts = np.searchsorted(part_of(w, word_parts), np.arange(word_parts + 1, dtype=np.uint64))
             rows = [(q, int(key[0]), _short(w[cuts[q] : cuts[q + 1]]).tobytes(), None) for q in range(word_parts) if cuts[q] < cuts[q + 1]]
+            del w, count
         rows.append((-1, int(key[0]), b"", stats.tolist()))
+        _trim()
         return pd.DataFrame(rows, columns=["part", "asker", "payload", "stats"])
 
     asked = packed.groupBy("part").applyInPandas(ask, "part int, asker int, payload binary, stats array<double>").repartition(tasks, "part")
@@ -326,6 +348,8 @@ def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "te
             docs_, at = np.unique(b[5], return_inverse=True)
             sums_ = [np.bincount(at, weights=x[each]) for x in (logp, base, found)]
             rows.append((int(block), "s", _pack(docs_, *sums_[:2], sums_[2].astype(np.uint32)), total))
+        del blocks, number, h, w, count, logp, base, found, c1, p1, words, order, replies
+        _trim()
         return pd.DataFrame(rows, columns=columns)
 
     row = "block long, kind string, payload binary, total double"
