@@ -25,7 +25,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(x: Column) -> Column:
-    return F.translate(F.lower(x), *_accents())
+    """Lower-cased without Latin accents; plain ASCII texts skip the character map."""
+    low = F.lower(x)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_accents())).otherwise(low)
 
 
 def tokens(x: Column) -> Column:
