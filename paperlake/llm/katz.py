@@ -41,8 +41,6 @@ DISCOUNTED = 5
 #: Tokens that a task packs at a time, bytes of text for each partition of histories,
 #: partitions that one task evaluates, and partitions of histories for each one of words.
 CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 2_000_000, 4_000_000, 7, 24
-#: Documents whose sums a task gathers before it sends them on.
-GATHERED = 1_000_000
 START, END = np.uint64(0x5A17D3C1B2E49F61), np.uint64(0xE3D9C5A7F1B08642)
 _W56 = ~np.uint64(0xFF)
 
@@ -238,122 +236,88 @@ def backoff_table(h: np.ndarray, count: np.ndarray, p1: np.ndarray, d: np.ndarra
     return np.log10(p), alpha[g]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of sums for each block of all that a task has made of it."""
-    held: dict[int, np.ndarray] = {}
-    total, size = 0.0, 0
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.float64()), strict=True)], ["block", "kind", "payload", "total"])
-
-    def flush() -> pa.RecordBatch:
-        rows = []
-        for block, sums in held.items():
-            at = np.flatnonzero(sums.any(axis=0))
-            rows.append((block, "s", _pack(at.astype(np.uint32), sums[0, at], sums[1, at], sums[2, at].astype(np.uint32)), total))
-        held.clear()
-        return out(rows)
-
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            block, kind, payload, total = row
-            if kind == "d":
-                yield out([row])
-                continue
-            at, *sums = _unpack(payload)
-            have = held.get(block)
-            if have is None or have.shape[1] <= int(at[-1]):
-                more = np.zeros((3, int(at[-1]) + 1))
-                if have is not None:
-                    more[:, : have.shape[1]] = have
-                    size -= have.shape[1]
-                have = held[block] = more
-                size += more.shape[1]
-            for i in range(3):
-                have[i, at] += sums[i]
-            if size > GATHERED:
-                yield flush()
-                size = 0
-    yield flush()
-
-
 def score(docs: DataFrame, held: Column, row_id: str = "doc_id", text: str = "text", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(row_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(4, math.ceil(size / partition_bytes))
     word_parts, tasks = max(2, parts // PER_WORDS), max(4, parts // PER_TASK)
+    slot = F.floor(F.col("part") / PER_TASK).cast("int")  # partitions that meet in one task
     # used three times as it is, so that the plan has one scan and one exchange of it
-    packed = scan(docs, held, parts, word_parts, row_id, text).repartition(tasks, "part")
-
-    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Words that a partition wants counts of, and its share of the statistics."""
-        words, counts = _words(pdf.loc[pdf["kind"] == "u", "payload"].tolist())
-        stats = np.zeros(DISCOUNTED + 4)
-        stats[-2:] = counts.sum(), (counts > 0).sum()
-        rows = []
-        grams = pdf.loc[pdf["kind"] == "b", "payload"].tolist()
-        if grams:
-            _, _, _, w, count, _ = _bigrams(grams)
-            stats[: DISCOUNTED + 2] = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
-            w = np.unique(w)
-            cuts = np.searchsorted(part_of(w, word_parts), np.arange(word_parts + 1, dtype=np.uint64))
-            rows = [(q, int(key[0]), _short(w[cuts[q] : cuts[q + 1]]).tobytes(), None) for q in range(word_parts) if cuts[q] < cuts[q + 1]]
-            del w, count
-        rows.append((-1, int(key[0]), b"", stats.tolist()))
+    packed = scan(docs, held, parts, word_parts, row_id, text).withColumn("slot", slot).repartition(tasks, "slot")
+
+    def ask(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Words that each partition wants counts of, and the slot's share of the statistics."""
+        stats, rows = np.zeros(DISCOUNTED + 4), []
+        for p, own in pdf.groupby("part"):
+            words, counts = _words(own.loc[own["kind"] == "u", "payload"].tolist())
+            stats[-2:] += counts.sum(), (counts > 0).sum()
+            grams = own.loc[own["kind"] == "b", "payload"].tolist()
+            if grams:
+                _, _, _, w, count, _ = _bigrams(grams)
+                stats[: DISCOUNTED + 2] += np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
+                w = np.unique(w)
+                cuts = np.searchsorted(part_of(w, word_parts), np.arange(word_parts + 1, dtype=np.uint64))
+                rows += [(q, int(p), _short(w[cuts[q] : cuts[q + 1]]).tobytes(), None) for q in range(word_parts) if cuts[q] < cuts[q + 1]]
+                del w, count
+        rows.append((-1, -1, b"", stats.tolist()))
         _trim()
         return pd.DataFrame(rows, columns=["part", "asker", "payload", "stats"])
 
-    asked = packed.groupBy("part").applyInPandas(ask, "part int, asker int, payload binary, stats array<double>").repartition(tasks, "part")
+    asked = packed.groupBy("slot").applyInPandas(ask, "part int, asker int, payload binary, stats array<double>").withColumn("slot", slot).repartition(tasks, "slot")
 
     def answer(_: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         """Training counts of the asked words."""
-        words, counts = _words(own.loc[own["kind"] == "u", "payload"].tolist())
-        short, rows = words & _W56, []
-        for asker, data in zip(asks["asker"], asks["payload"], strict=True):
-            raw = np.frombuffer(data, np.uint8)
-            w = _long(raw)
-            at = np.minimum(np.searchsorted(short, w), max(len(short) - 1, 0))
-            c = np.where(short[at] == w, counts[at], 0) if len(short) else np.zeros(len(w), np.int64)
-            rows.append((int(asker), _pack(raw, c.astype(np.uint32))))
+        rows = []
+        for q, wanted in asks.groupby("part"):
+            words, counts = _words(own.loc[(own["kind"] == "u") & (own["part"] == q), "payload"].tolist())
+            short = words & _W56
+            for asker, data in zip(wanted["asker"], wanted["payload"], strict=True):
+                raw = np.frombuffer(data, np.uint8)
+                w = _long(raw)
+                at = np.minimum(np.searchsorted(short, w), max(len(short) - 1, 0))
+                c = np.where(short[at] == w, counts[at], 0) if len(short) else np.zeros(len(w), np.int64)
+                rows.append((int(asker), _pack(raw, c.astype(np.uint32))))
         return pd.DataFrame(rows, columns=["part", "payload"])
 
-    answers = packed.groupBy("part").cogroup(asked.filter("part >= 0").groupBy("part")).applyInPandas(answer, "part int, payload binary")
+    answers = packed.groupBy("slot").cogroup(asked.filter("part >= 0").groupBy("slot")).applyInPandas(answer, "part int, payload binary")
     sums = [F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(DISCOUNTED + 4)]
     totals = asked.filter("part < 0").agg(*sums).select(F.array(*[f"s{i}" for i in range(DISCOUNTED + 4)]).alias("stats"))
-    every = totals.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "stats")
+    every = totals.select(F.explode(F.sequence(F.lit(0), F.lit((parts - 1) // PER_TASK))).alias("slot"), "stats")
     none = F.lit(None)
-    told = answers.select("part", "payload", none.cast("array<double>").alias("stats")).unionByName(every.select("part", none.cast("binary").alias("payload"), "stats")).repartition(tasks, "part")
+    told = answers.select(slot.alias("slot"), "part", "payload", none.cast("array<double>").alias("stats"))
+    told = told.unionByName(every.select("slot", F.lit(-1).alias("part"), none.cast("binary").alias("payload"), "stats")).repartition(tasks, "slot")
 
     def evaluate(_: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Partial sums of a partition's bigrams, one row per block."""
-        columns = ["block", "kind", "payload", "total"]
+        """Sums of a slot's bigrams by document, one row per block."""
         stats = next((s for s in told["stats"] if s is not None), None)
-        total = float(stats[-2]) if stats is not None else 0.0
-        rows = [(int(b), "d", p, total) for b, k, p in zip(own["block"], own["kind"], own["payload"], strict=True) if k == "d"]
-        grams = own[own["kind"] == "b"]
-        if not len(grams):
-            return pd.DataFrame(rows, columns=columns)
-        n, v = stats[-2], stats[-1]
-        blocks, number, h, w, count, ends = _bigrams(grams["payload"].tolist())
-        replies = [_unpack(p) for p in told["payload"] if p is not None]
-        words = np.concatenate([_long(r[0]) for r in replies])
-        order = np.argsort(words)
-        c1 = np.concatenate([r[1] for r in replies]).astype(np.int64)[order][np.searchsorted(words[order], w)]
-        p1 = (c1 + 1) / (n + v + 1)
-        logp, _ = backoff_table(h, count, p1, discounts(np.array(stats[: DISCOUNTED + 2])))
-        base, found = np.log10(p1), (c1 > 0).astype(float)
-        for i, (block, b) in enumerate(zip(grams["block"], blocks, strict=True)):
-            each = np.repeat(number[ends[i] : ends[i + 1]], b[3])
-            docs_, at = np.unique(b[5], return_inverse=True)
-            sums_ = [np.bincount(at, weights=x[each]) for x in (logp, base, found)]
-            rows.append((int(block), "s", _pack(docs_, *sums_[:2], sums_[2].astype(np.uint32)), total))
-        del blocks, number, h, w, count, logp, base, found, c1, p1, words, order, replies
-        _trim()
-        return pd.DataFrame(rows, columns=columns)
+        n, v = (float(stats[-2]), float(stats[-1])) if stats is not None else (0.0, 0.0)
+        rows = [(int(b), "d", p, n) for b, k, p in zip(own["block"], own["kind"], own["payload"], strict=True) if k == "d"]
+        sums: dict[int, np.ndarray] = {}
+        for p, grams in own[own["kind"] == "b"].groupby("part"):
+            blocks, number, h, w, count, ends = _bigrams(grams["payload"].tolist())
+            replies = [_unpack(x) for x in told.loc[told["part"] == p, "payload"]]
+            words = np.concatenate([_long(r[0]) for r in replies])
+            order = np.argsort(words)
+            c1 = np.concatenate([r[1] for r in replies]).astype(np.int64)[order][np.searchsorted(words[order], w)]
+            p1 = (c1 + 1) / (n + v + 1)
+            logp, _ = backoff_table(h, count, p1, discounts(np.array(stats[: DISCOUNTED + 2])))
+            values = (logp, np.log10(p1), (c1 > 0).astype(float))
+            for i, (block, b) in enumerate(zip(grams["block"].tolist(), blocks, strict=True)):
+                each, size = np.repeat(number[ends[i] : ends[i + 1]], b[3]), int(b[5].max()) + 1
+                have = sums.get(block)
+                if have is None or have.shape[1] < size:
+                    have = sums[block] = np.pad(have, ((0, 0), (0, size - have.shape[1]))) if have is not None else np.zeros((3, size))
+                for j in range(3):
+                    have[j, :size] += np.bincount(b[5], weights=values[j][each], minlength=size)
+            del blocks, number, h, w, count, logp, values, c1, p1, words, order, replies
+            _trim()
+        for block, x in sums.items():
+            at = np.flatnonzero(x.any(axis=0))
+            rows.append((block, "s", _pack(at.astype(np.uint32), x[0, at], x[1, at], x[2, at].astype(np.uint32)), n))
+        return pd.DataFrame(rows, columns=["block", "kind", "payload", "total"])
 
     row = "block long, kind string, payload binary, total double"
-    partial = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(evaluate, row).mapInArrow(_gather, row)
+    partial = packed.groupBy("slot").cogroup(told.groupBy("slot")).applyInPandas(evaluate, row)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         """The documents of a block with their sums."""
