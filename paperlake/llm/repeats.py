@@ -68,7 +68,8 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(gram hash, anchor position, first start, last start) of each anchor in order.
 
-    Long texts go piece by piece; the choice in a window depends on its bytes alone.
+    Long texts go piece by piece; the choice in a window depends on its bytes alone.  An
+    anchor of strings on both sides of a cut is one anchor.
     """
     found: list[tuple[np.ndarray, ...]] = []
     keep = ~np.uint64((1 << _POSITION_BITS) - 1)
@@ -84,7 +85,9 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         found.append((h[at[first]].view(np.int64), at[first] + base, first + base, last + base))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    h, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return h[head], at[head], first[head], last[np.append(head[1:] - 1, len(at) - 1)]
 
 
 def _context(data: bytes, a: int, length: int, gram: int) -> tuple[int, int]:

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark import cloudpickle
+
 from paperlake.llm import repeats as R
 
 
@@ -69,6 +71,20 @@ def test_pieces_of_long_texts(monkeypatch):
     assert cover(whole) == cover(parts) and len(cover(whole)) == len(data) - 199
 
 
+def test_cuts_between_pieces_remove_nothing(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (5000, 7321, 3000)]
+    texts += [texts[0][700:2300] + texts[1][:1500], texts[2]]
+    monkeypatch.setattr(R, "_PIECE", 1000)
+    cloudpickle.register_pickle_by_value(R)  # the workers see the small pieces too
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: tuple(r)[1:] for r in R.remove_repeats(df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(R)
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
 def test_interval_tree():
     nodes = set(R.prefix_intervals([0, 2, 5, 5, 1]))
     assert {(5, 1, 3), (2, 0, 3), (1, 0, 4)} <= nodes
