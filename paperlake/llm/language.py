@@ -5,9 +5,10 @@ is described by several centroids from spherical k-means; a text takes the langu
 centroid with the largest cosine and is rejected if it lies much further from that centroid
 than nearly all training texts of the language.
 
-The classifier is fitted on a bounded sample of labelled rows (``max_train`` in total, the
-rows of least id hash in each language); prediction covers every row and whole texts and
-sees nothing but the text.
+The classifier is fitted on a bounded sample of labelled rows (``max_train`` in total): of
+each language's texts of at least FULL grams those of least id hash, or its FEW longest
+texts if it has fewer than that; so every label of a text with a letter has a centroid.
+Prediction covers every row and whole texts and sees nothing but the text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected;
 a table without labelled text gives ``und`` everywhere; ties go to the first label in code
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperlake.llm.common import sliced
 
@@ -35,6 +37,8 @@ CENTROIDS = 4
 MARGIN, INNER, RARE = 0.45, 0.02, 0.02
 #: Grams from which on a text's distance is taken in full; shorter texts get slack in proportion.
 FULL = 600
+#: Texts of FULL grams from which on a language is fitted on those alone.
+FEW = 10 * CENTROIDS
 UNDETERMINED = "und"
 
 
@@ -101,7 +105,7 @@ class Model:
 def fit(texts: list[str], labels: list[str], k: int = CENTROIDS, rounds: int = 10) -> Model:
     """Several spherical k-means centroids for each label."""
     tf, total = counts(texts)
-    some = total >= min(FULL, total.max(initial=0))
+    some = total > 0
     rows, names = tf[some], np.array([x for x, s in zip(labels, some, strict=True) if s], object)
     found = sorted(set(names.tolist()))
     if not found:
@@ -130,16 +134,24 @@ def fit(texts: list[str], labels: list[str], k: int = CENTROIDS, rounds: int = 1
 
 def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", row_id: str = "doc_id", max_train: int = MAX_TRAIN) -> Model:
     """Fits on at most ``max_train`` labelled rows, evenly over the labels."""
+    # a text's grams are 3 * (size + 2) - 3
+    size = F.char_length(F.trim(F.regexp_replace(F.col(text), r"[^\p{L}]+", " ")))
     rows = docs.filter(usable & F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 30)).alias("h")
+        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 30)).alias("h"), size.alias("size")
     )
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    full = F.col("size") >= FULL // 3 - 1
+    sizes = {r["label"]: r["full"] for r in rows.groupBy("label").agg(F.count_if(full).alias("full"), F.count_if(F.col("size") > 0).alias("some")).filter("some > 0").collect()}
     if not sizes:
         return fit([], [])
     quota = max(1, max_train // len(sizes))
+    few = min(FEW, quota)
+    short = sorted(name for name, n in sizes.items() if n < few)
     # an id hash below the label's threshold admits about twice the quota; the rest is cut below
-    limits = [F.when(F.col("label") == name, min(1 << 30, int((2 * quota + 20) / n * (1 << 30)))) for name, n in sorted(sizes.items())]
-    taken = rows.filter(F.col("h") < F.coalesce(*limits)).collect()
+    limits = [F.when(F.col("label") == name, min(1 << 30, int((2 * quota + 20) / n * (1 << 30)))) for name, n in sorted(sizes.items()) if n >= few]
+    taken = rows.filter(F.col("h") < F.coalesce(*limits)).filter(full).collect() if limits else []
+    if short:
+        longest = Window.partitionBy("label").orderBy(F.desc("size"), "h", "text")
+        taken += rows.filter(F.col("label").isin(short) & (F.col("size") > 0)).withColumn("row", F.row_number().over(longest)).filter(F.col("row") <= few).collect()
     chosen: list = []
     for name in sorted(sizes):
         chosen += sorted((r for r in taken if r["label"] == name), key=lambda r: (r["h"], r["text"]))[:quota]

@@ -39,6 +39,23 @@ def test_strangers_are_rejected(spark):
     assert model.predict(["жш щю эй " * 100])[2][0]
 
 
+def test_languages_of_short_texts_are_learnt(spark):
+    rng = random.Random(7)
+    draw = lambda syl, n: " ".join("".join(rng.choice(syl.split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    only, mixed = "wu wo wy wiq", "tsa tse tsi tso"
+    data = [(i, text(rng, rng.choice(sorted(SYL)), 80), "aa") for i in range(120)]
+    data = [(i, t, next(k for k in SYL if t.lower()[:2] in {x[:2] for x in SYL[k].split()})) for i, t, _ in data]
+    data += [(1000 + i, draw(only, rng.randint(6, 12)), "short") for i in range(80)]  # never 200 characters
+    data += [(2000 + i, draw(mixed, 90 if i == 0 else rng.randint(6, 12)), "mixed") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = L.train(df, ~L.held_out(), max_train=30)  # six rows of each language
+    assert model.labels == ["aa", "bb", "cc", "mixed", "short"]
+    got = {r["doc_id"]: r for r in L.language_query(df).collect()}
+    for lang, first in (("short", 1000), ("mixed", 2000)):
+        own = [got[i] for i, _, name in data if name == lang and got[i]["held_out"] and i >= first]
+        assert len(own) > 10 and all(r["lang_pred"] == lang and not r["rejected"] for r in own)
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in L.language_query(df).collect()] == ["und"]
