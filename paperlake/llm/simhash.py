@@ -220,9 +220,10 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: words of a shingle, least similarity, min-hashes of a sketch, and rows
-#: and number of the bands that bring candidates together.
-COPY_SHINGLE, COPY_SIMILARITY, SKETCH, BAND_ROWS, BANDS = 5, 0.8, 128, 4, 16
+#: For near copies: words of a shingle, least similarity, least share of equal places in the
+#: sketches of candidates, min-hashes of a sketch, and rows and number of the bands that
+#: bring candidates together.
+COPY_SHINGLE, COPY_SIMILARITY, CANDIDATE, SKETCH, BAND_ROWS, BANDS = 5, 0.8, 0.65, 128, 4, 16
 _MULTIPLIERS = np.random.default_rng(41).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(43).integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
@@ -243,10 +244,10 @@ def sketches(docs: DataFrame, uid: str, text: str = "text", n: int = COPY_SHINGL
         for b in sliced(batches):
             ids, keys, kept = [], [], []
             for u, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = shingles(data or b"", n)
-                if not found:
+                found = _hashes(data or b"", n)
+                if not len(found):
                     continue
-                low = sketch(np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64))
+                low = sketch(found)
                 ids.append(u)
                 raw = low.tobytes()
                 size = 8 * BAND_ROWS
@@ -257,10 +258,25 @@ def sketches(docs: DataFrame, uid: str, text: str = "text", n: int = COPY_SHINGL
     return docs.select(uid, F.col(text).cast("binary").alias("_text")).mapInArrow(run, "uid long, bands array<bigint>, sketch binary")
 
 
-def _similar(group: list[tuple[int, bytes]], need: int) -> Iterator[tuple[int, int]]:
-    """Links that join all members of a group whose sketches agree in ``need`` places."""
-    ids = [u for u, _ in group]
-    x = np.frombuffer(b"".join(s for _, s in group), np.uint16).reshape(len(group), -1)
+def _hashes(data: bytes, n: int = COPY_SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(data, n))), ">u8").astype(np.uint64)
+
+
+def _alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of distinct hashes have at least this Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) >= similarity
+
+
+def _similar(group: list[tuple], need: int, similarity: float | None = None) -> Iterator[tuple[int, int]]:
+    """Links that join all members of a group whose sketches agree in ``need`` places and,
+    if a similarity is given, whose sets of hashes (third of a member) have it."""
+    ids = [m[0] for m in group]
+    x = np.frombuffer(b"".join(m[1] for m in group), np.uint16).reshape(len(group), -1)
     top = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -273,52 +289,80 @@ def _similar(group: list[tuple[int, bytes]], need: int) -> Iterator[tuple[int, i
         for j in range(0, i + 128, 512):
             same = (x[i : i + 128, None, :] == x[None, j : j + 512, :]).sum(axis=2)
             for a, b in zip(*(v.tolist() for v in np.nonzero(same >= need)), strict=True):
-                a, b = find(a + i), find(b + j)
-                if a != b:
+                m, o = a + i, b + j
+                a, b = find(m), find(o)
+                if a != b and (similarity is None or (o < m and _alike(group[m][2], group[o][2], similarity))):
                     top[max(a, b)] = min(a, b)
                     yield ids[a], ids[b]
 
 
-def sketch_links(table: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """(a, b) between distinct texts whose sketches tell at least this similarity, less one
-    standard error; pairs inside a band's bucket are compared in tiles, not given out."""
-    need = math.ceil(SKETCH * similarity - math.sqrt(SKETCH * similarity * (1 - similarity)))
-    keys = table.select("uid", F.explode("bands").alias("key"))
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    rows = keys.join(several, "key").join(table.select("uid", "sketch"), "uid").select("key", "uid", "sketch")
+def _grouped_links(rows: DataFrame, need: int, similarity: float | None = None) -> DataFrame:
+    """(a, b) linked in the groups of rows (key, uid, sketch, ...); pairs inside a group are
+    compared in tiles, not given out."""
+    width = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []
         links: list[tuple[int, int]] = []
         for b in sliced(batches, 4096):
-            for key, u, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, *member in zip(*(b.column(i).to_pylist() for i in range(width)), strict=True):
                 if key != last:
-                    links += _similar(group, need) if len(group) > 1 else ()
+                    links += _similar(group, need, similarity) if len(group) > 1 else ()
                     last, group = key, []
-                group.append((u, s))
+                group.append(tuple(member))
             cols = list(zip(*links, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
             links = []
-        links = list(_similar(group, need)) if len(group) > 1 else []
+        links = list(_similar(group, need, similarity)) if len(group) > 1 else []
         cols = list(zip(*links, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return rows.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "a long, b long").distinct()
 
 
+def sketch_links(table: DataFrame, share: float = CANDIDATE) -> DataFrame:
+    """(a, b) that join distinct texts whose sketches agree in this share of places and in a
+    band: candidates, to be decided by ``copy_links``."""
+    keys = table.select("uid", F.explode("bands").alias("key"))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    rows = keys.join(several, "key").join(table.select("uid", "sketch"), "uid").select("key", "uid", "sketch")
+    return _grouped_links(rows, math.ceil(SKETCH * share))
+
+
+def copy_links(docs: DataFrame, table: DataFrame, uid: str, text: str = "text", similarity: float = COPY_SIMILARITY, share: float = CANDIDATE) -> DataFrame:
+    """(a, b) that join distinct texts whose sets of shingles have this Jaccard similarity.
+
+    Texts that candidates connect meet in one group with their sets, once each; there pairs
+    of agreeing sketches are decided on the sets.
+    """
+    found = cut(sketch_links(table, share))
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    groups = components(nodes, found).toDF("uid", "key").join(table.select("uid", "sketch"), "uid")
+    texts = docs.select(F.col(uid).alias("uid"), F.col(text).alias("_text")).dropDuplicates(["uid"])
+    rows = texts.join(groups, "uid").select("key", "uid", "sketch", F.col("_text").cast("binary").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [np.unique(_hashes(x)).tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["key", "uid", "sketch", "hashes"])
+
+    return _grouped_links(rows.mapInArrow(run, "key long, uid long, sketch binary, hashes binary"), math.ceil(SKETCH * share), similarity)
+
+
 def near_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, mark, root, component_id): groups of near-duplicate documents.
 
     Fingerprints within TAU bits are linked as in ``near_duplicates``.  At a similarity of
     0.8 over five-word shingles fingerprints differ in about ten of 64 bits, too many for
-    any split into parts to be selective, so links between sketches are added.  ``mark`` is
-    the text's hash, the same for equal texts.
+    any split into parts to be selective, so links between texts of that similarity are
+    added: sketches bring candidates together, the sets of shingles decide.  ``mark`` is the
+    text's hash, the same for equal texts.
     """
     marked = docs.withColumn("mark", F.xxhash64(text)).select(row_id, text, "mark")
     found = cut(near_duplicates(marked, text=text, row_id=row_id, keep=("mark",)).select(row_id, "mark", "root"))
     table = cut_table(sketches(marked, "mark", text), "sketches").dropDuplicates(["uid"])
     owner = found.groupBy("mark").agg(F.min("root").alias("root"))
-    links = sketch_links(table)
+    links = copy_links(marked, table, "mark", text)
     links = links.join(owner.toDF("a", "ra"), "a").join(owner.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     merged = components(found.select(F.col("root").alias("node")).distinct(), links).toDF("root", "new")
     named = found.join(merged, "root").select(row_id, "mark", F.col("new").alias("root"))

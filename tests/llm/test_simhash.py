@@ -118,3 +118,23 @@ def test_near_copies(spark):
     assert all(got[i] == 0 for i in range(30)) and got[200] == 0
     assert all(got[100 + i] == 100 + i for i in range(20)) and got[205] == 205
     assert got[201] == got[202] == 201 and got[203] == got[204] == 203
+
+
+def test_near_copies_are_decided_on_the_shingles(spark):
+    """Pairs just above and just below 0.8, against brute force."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    rows = []
+    for i in range(80):  # 100 shingles; m other words at the end: (100 - m) / (100 + m)
+        base, m = [word() for _ in range(104)], (11, 12)[i % 2]
+        rows += [base, base[:-m] + [word() for _ in range(m)]]
+    sets = [{tuple(w[k : k + 5]) for k in range(100)} for w in rows]
+    fps = [brute_fingerprint(" ".join(w)) for w in rows]
+    want = list(range(len(rows)))
+    for i in range(0, len(rows), 2):
+        if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 or (fps[i] ^ fps[i + 1]).bit_count() <= 4:
+            want[i + 1] = i
+    assert 40 <= sum(i != c for i, c in enumerate(want)) < 50
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert [got[i] for i in range(len(rows))] == want
