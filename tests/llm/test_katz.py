@@ -51,12 +51,16 @@ def brute(rows, is_held):
     return toks, c1, n, v, p1, p, after
 
 
-def test_matches_brute_force_and_sums_to_one(spark):
+@pytest.mark.parametrize(("known", "chunk", "piece"), [(40, 10**6, 10**6), (0, 50, 10)])
+def test_matches_brute_force_and_sums_to_one(spark, known, chunk, piece):
+    """Also with pieces and messages smaller than a text, and without known words."""
     rows = list(enumerate(texts()))
     is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     toks, c1, n, v, p1, p, after = brute(rows, is_held)
     df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double").repartition(5)
-    got = {r["doc_id"]: r for r in K.score(df, K.held_out(), partition_bytes=400).collect()}
+    tables = K.fit(df, K.held_out(), partition_bytes=400, known=known, chunk=chunk, piece=piece)
+    assert known < 10 or len(tables.model.hot) > 0
+    got = {r["doc_id"]: r for r in K.score(df, tables, K.held_out()).collect()}
     assert len(got) == len(rows)
     for i, t in toks.items():
         r = got[i]
@@ -69,7 +73,7 @@ def test_matches_brute_force_and_sums_to_one(spark):
 
 def test_no_training_documents_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
-    got = K.score(df, F.lit(True)).collect()
+    got = K.score(df, K.fit(df, F.lit(True)), F.lit(True)).collect()
     assert len(got) == 3 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in got)
     assert K.katz_query(df.limit(0)).collect() == []
 
@@ -78,3 +82,40 @@ def test_discounts():
     d = K.discounts(np.array([0, 100, 40, 20, 12, 8, 6], float))
     assert d[0] == 1 and all(0 < x < 1 for x in d[1:])
     assert list(K.discounts(np.zeros(7))) == [1] * 6
+
+
+def test_stored_tables_and_split_histories(spark):
+    """One word is half of all tokens: its bigrams are dealt over partitions, the tables hold
+    every training bigram once, and no partition has over twice the mean."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(x for _ in range(40) for x in ("the", f"w{rng.randint(0, 400)}"))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = K.fit(df, F.lit(False), partition_bytes=3000)
+    m, parts = tables.model, []
+    assert int(K.hashed([b"the"])[0]) in m.hot.tolist()
+    want = Counter()
+    for _, t in rows:
+        w = [*t.split(), None]
+        want.update(zip(["<s>", *w[:-1]], w))
+    name = {int(K.hashed([w.encode()])[0]): w for p in want for w in p if w and w != "<s>"} | {int(K.START): "<s>", int(K.END): None}
+    found = Counter()
+    for r in tables.bigrams.collect():
+        p = K.Part(r["payload"], m)
+        for h, w, c in zip(p.h[p.key >> 32], p.w[p.at], p.count):
+            assert (name[int(h)], name[int(w)]) not in found
+            found[name[int(h)], name[int(w)]] = c
+        parts.append(p.count.sum())
+    assert found == want
+    assert max(parts) <= 2 * sum(parts) / m.parts
+    total = sum(c for (h, _), c in want.items() if h == "the")
+    mass = sum(K.kept(np.array([c]), m.discount)[0] for (h, _), c in want.items() if h == "the")
+    at = m.hot.tolist().index(int(K.hashed([b"the"])[0]))
+    assert m.hot_below[at] == total and 0 < mass < total
+
+
+def test_long_texts_cut_into_pieces():
+    text = b"one  two\tthree " * 50
+    for size in (1, 7, 64, 10**6):
+        got = list(K.pieces(text, size))
+        assert all(got) and [w for p in got for w in p] == [*text.split(), b""]
+    assert list(K.pieces(None)) == [[b""]]
