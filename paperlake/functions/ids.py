@@ -110,8 +110,10 @@ def text_of_positions(entries: Column) -> Column:
     """Text of an inverted index: array of (token, positions); a later token wins a place."""
     spots = F.flatten(F.transform(entries, lambda e, i: F.transform(e["positions"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["token"].alias("t")))))
     ordered = F.array_sort(spots)
-    last = F.filter(ordered, lambda s, i: F.coalesce(F.get(ordered, i + 1)["p"] != s["p"], F.lit(True)))
-    return F.array_join(F.transform(last, lambda s: s["t"]), " ")
+    after = F.slice(F.transform(ordered, lambda s: s["p"]), F.lit(2), F.greatest(F.size(spots), F.lit(0)))
+    paired = F.zip_with(ordered, after, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+    last = F.filter(paired, lambda z: ~z["s"]["p"].eqNullSafe(z["p"]))
+    return F.array_join(F.transform(last, lambda z: z["s"]["t"]), " ")
 
 
 def stable_ids(paper: Column, doi: Column, openreview: Column, ids: Column, keys: tuple[str, ...] = ("openreview_id", "arxiv_id", "dblp_key", "acl_id")) -> Column:

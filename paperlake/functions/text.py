@@ -283,4 +283,9 @@ def endpoint(x: Column | str) -> Column:
 def distinct_folded(xs: Column) -> Column:
     """First occurrences of an array's non-blank values, compared without case."""
     kept = F.filter(F.transform(xs, clean), lambda v: v != "")
-    return F.filter(kept, lambda v, i: F.array_position(F.transform(kept, F.lower), F.lower(v)) == i + 1)
+    # sorted by key and place, each compared with the one before: no search for every value
+    keyed = F.array_sort(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda s: s["k"]))
+    paired = F.zip_with(keyed, before, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+    first = F.filter(paired, lambda z: z["s"].isNotNull() & ~z["s"]["k"].eqNullSafe(z["p"]))
+    return F.transform(F.array_sort(F.transform(first, lambda z: F.struct(z["s"]["i"].alias("i"), z["s"]["v"].alias("v")))), lambda s: s["v"])

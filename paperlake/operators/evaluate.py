@@ -59,11 +59,28 @@ def expectations(titles: Column, any_of: tuple[str, ...], all_of: tuple[str, ...
     return ok
 
 
-def run_cases(papers: DataFrame, cases: list[Case]) -> DataFrame:
-    """(case_id, requested_mode, total, passed), one row per case, in one lazy union."""
+def expected_over(titles: Column, any_of: tuple[str, ...], all_of: tuple[str, ...]) -> Column:
+    """The same as an aggregate over any number of titles, without a list of them."""
+    key = spaced_key(titles)
+    ok = F.bool_or(_any([key.contains(_fragment(f)) for f in any_of])) if any_of else F.lit(True)
+    for f in all_of:
+        ok = ok & F.bool_or(key.contains(_fragment(f)))
+    return ok
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def run_cases(papers: DataFrame, cases: list[Case], index: S.Index | None = None) -> DataFrame:
+    """(case_id, requested_mode, total, passed), one row per case, in one lazy union; from
+    the stored index if there is one, else by a scan of the texts for each case."""
     out: DataFrame | None = None
     for case in cases:
-        hits = S.bm25(papers, case.query, case.filters)
+        hits = S.bm25(papers, case.query, case.filters) if index is None else S.find(papers, index, case.query, case.filters)
         top = hits.orderBy(*S.order("bm25")).limit(case.top_k).agg(F.count(F.lit(1)).alias("total"), F.collect_list("title").alias("titles"))
         passed = (F.col("total") >= case.expect_min_results) & expectations(F.col("titles"), case.any_fragments, case.all_fragments)
         row = top.select(F.lit(case.case_id).alias("case_id"), F.lit(case.mode).alias("requested_mode"), "total", passed.alias("passed"))

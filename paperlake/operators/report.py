@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate as E
+from paperlake.operators import search as S
 
 #: Files up to this size are fingerprinted by content, larger ones by size and time.
 CONTENT_BYTES = 4 << 20
@@ -41,7 +42,7 @@ def failed_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("status") == "failed")
 
 
-def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healthy: bool = True) -> DataFrame:
+def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healthy: bool = True, index: S.Index | None = None) -> DataFrame:
     """(suite, cases, passed): offline forces plain search; online runs only if healthy."""
     if which not in ("offline", "online", "all"):
         raise ValueError(f"unknown suite {which}")
@@ -51,7 +52,7 @@ def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healt
         if name == "online" and not healthy:
             row = papers.sparkSession.createDataFrame([(name, 0, False)], "suite string, cases long, passed boolean")
         else:
-            row = E.run_cases(papers, cases).agg(F.count(F.lit(1)).alias("cases"), F.bool_and("passed").alias("passed")).select(F.lit(name).alias("suite"), "cases", "passed")
+            row = E.run_cases(papers, cases, index).agg(F.count(F.lit(1)).alias("cases"), F.bool_and("passed").alias("passed")).select(F.lit(name).alias("suite"), "cases", "passed")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -11,7 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -123,6 +123,75 @@ def bm25(papers: DataFrame, text: str, filters: Filters | None = None) -> DataFr
     return rows.select(*papers.columns, total.alias("score"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored tables of a corpus: postings (term, key, tf, dl), terms (term, df), and one row
+    of totals (n, avg)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    key: str = "paper_id"
+
+
+def write_index(papers: DataFrame, path: str, key: str = "paper_id") -> None:
+    """Writes the index tables from one pass over the texts.
+
+    Postings stay dealt out by term and paper, as they were counted, so that one shuffle is
+    enough and a frequent term spreads over all files; every file is sorted by term, so that
+    a search reads only the row groups of its terms.
+    """
+    spark = papers.sparkSession
+    words = tokens(document())
+    # the length before the explode, else it is counted again for every token
+    each = papers.select(key, words.alias("_t")).withColumn("dl", F.size("_t").cast("long")).select(key, "dl", F.explode_outer("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("term").alias("tf"))
+    each.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    # a paper without a token has one row, of a null term
+    stored.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    papers.select(F.size(words).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str, key: str = "paper_id") -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")), key)
+
+
+def scored_ids(index: Index, text: str) -> DataFrame:
+    """(key, score) of the papers that hold every term of the query; lower is better.
+
+    Reads the postings of the query's terms alone; counts and lengths come with them.
+    """
+    terms = query_tokens(text)
+    x = index.postings.filter(F.col("term").isin(terms)).join(F.broadcast(index.terms.filter(F.col("term").isin(terms))), "term").crossJoin(F.broadcast(index.totals))
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    hits = x.groupBy(index.key).agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_terms"))
+    return hits.filter(F.col("_terms") == len(terms)).drop("_terms")
+
+
+def find(papers: DataFrame, index: Index, text: str, filters: Filters | None = None) -> DataFrame:
+    """Matching papers that pass the filters, with their score."""
+    return papers.filter((filters or Filters()).condition()).join(scored_ids(index, text), index.key)
+
+
+def first_of(papers: DataFrame, index: Index, texts: list[str]) -> DataFrame:
+    """Papers that any of several searches finds, with the number of the first one."""
+    terms = [query_tokens(t) for t in texts]
+    every = sorted({t for ts in terms for t in ts})
+    held = index.postings.filter(F.col("term").isin(every)).groupBy(index.key).agg(*(F.bool_or(F.col("term") == t).alias(f"_h{i}") for i, t in enumerate(every)))
+    number = F.coalesce(*(F.when(_all([F.col(f"_h{every.index(t)}") for t in ts]), F.lit(i)) for i, ts in enumerate(terms)))
+    found = held.select(index.key, number.alias("query_ord")).filter("query_ord is not null")
+    return papers.filter(Filters().condition()).join(found, index.key)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 #: Sort orders by name; every one ends in the id, so results are deterministic.
 def order(by: str, key: str = "paper_id") -> list[Column]:
     cited = F.coalesce(F.col("citation_count"), F.lit(-1)).desc()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.operators.search import Index, read_index, write_index
+from paperlake.operators.storage import shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +43,19 @@ def scalar(name: str, source: str, key: str, columns: Callable[[], dict[str, Col
         SQL[name] = f"SELECT {key}, " + ", ".join(f"{s} AS {k}" for k, s in sql.items()) + f" FROM {source}"
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The full-text index of a folder's papers, written once for each application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        write_index(papers(spark, sf_dir).select("paper_id", "title", "abstract"), path)
+        _INDEXES[at] = path
+    return read_index(spark, _INDEXES[at])
+
+
 #: Papers as the standard tables give them; the same rows in both languages.
 PAPERS_SQL = """papers AS (
   SELECT d.doc_id AS paper_id, split_part(d.text, chr(10), 1) AS title,

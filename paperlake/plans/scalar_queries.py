@@ -9,8 +9,8 @@ from paperlake.functions import text as X
 from paperlake.plans.registry import query, scalar, table
 
 c = F.col
-HEAD = "substr(text, 1, 200)"
-head = lambda: F.substring("text", 1, 200)
+HEAD = "text"
+head = lambda: F.col("text")
 RX = "regexp_replace"
 KEY = f"{RX}(lower({{}}), '[^a-z0-9]+', '', 'g')"
 
@@ -116,13 +116,17 @@ names = lambda: F.concat(c("source"), F.lit(",  A and "), c("lang"), F.lit(", B
 D("STR22_people", lambda: {"v": F.array_join(X.people(names()), "|"), "p": X.profile_name(F.concat(F.lit("~Ann_"), c("lang"), F.lit("_B1")))},
   {"v": "source || '|A|' || lang || '|B C'", "p": "'Ann ' || lang || ' B'"})
 D("STR23_unlatex", lambda: {"v": X.unlatex(F.concat(F.lit("{M\\\"uller} \\& \\'ecole--"), c("source"), F.lit(" 25\\%")))}, {"v": "'Müller & école-' || source || ' 25%'"})
-D("STR24_sequence_ratio", lambda: {"v": F.round(_ratio()(F.substring("text", 1, 60), F.substring("text", 10, 60)), 6)}, None)
 
 
-def _ratio():
+@query("STR24_sequence_ratio")
+def sequence_ratios(spark, sf_dir):
+    """Each benchmark text against the one before it."""
     from paperlake.functions.python_functions import sequence_ratio
 
-    return sequence_ratio
+    b = table(spark, sf_dir, "benchmark")
+    before = b.select((c("item_id") + 1).alias("item_id"), c("text").alias("before"))
+    return b.join(before, "item_id").select("item_id", F.round(sequence_ratio("before", "text"), 6).alias("v"))
+
 
 
 D("STR25_subject_class", lambda: {"v": X.subject_class(words())}, {"v": f"CASE WHEN contains(lower({WORDS}), 'demo') THEN 'other' ELSE 'main' END || '/' || {LEVEL}"})
@@ -151,9 +155,9 @@ ANCHOR = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 P("MTH03_anchor_score", lambda: {"v": F.least(F.length(anchor()), F.lit(80)) + 2 * F.size(F.split(X.squeeze(anchor()), " ")) - 3 * F.regexp_count(anchor(), F.lit("[0-9]")) - F.regexp_count(anchor(), F.lit("[!?*#%$]"))},
   {"v": f"CAST(least(length({ANCHOR}), 80) + 2 * len(string_split({squeezed(ANCHOR)}, ' ')) - 3 * len(regexp_extract_all({ANCHOR}, '[0-9]')) - len(regexp_extract_all({ANCHOR}, '[!?*#%$]')) AS INTEGER)"})
 scalar("MTH04_similarity", "events", "event_id", lambda: {"v": F.round(I.similarity(c("value") - 5), 9)}, {"v": "round(1.0e0 / (1.0e0 + greatest(value - 5, 0.0e0)), 9)"})
-spots = lambda: F.transform(F.split(F.substring("text", 1, 300), " "), lambda t, i: F.struct(t.alias("token"), F.array((97 * i + 13) % 1009, F.lit(5000) + i).alias("positions")))
+spots = lambda: F.transform(F.split("text", " "), lambda t, i: F.struct(t.alias("token"), F.array((F.lit(7919).cast("long") * i + 13) % 1000003, F.lit(2000000).cast("long") + i).alias("positions")))
 D("ARR01_positions_to_text", lambda: {"v": I.text_of_positions(spots())},
-  {"v": "(SELECT string_agg(t, ' ' ORDER BY p) FROM (SELECT t, p FROM (SELECT unnest(string_split(substr(text, 1, 300), ' ')) AS t, generate_subscripts(string_split(substr(text, 1, 300), ' '), 1) - 1 AS i) s, LATERAL (SELECT unnest([(97 * i + 13) % 1009, 5000 + i]) AS p) q))"})
+  {"v": "(SELECT string_agg(t, ' ' ORDER BY p) FROM (SELECT t, p FROM (SELECT unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) - 1 AS i) s, LATERAL (SELECT unnest([(7919 * i + 13) % 1000003, 2000000 + i]) AS p) q))"})
 D("ARR02_list_coercion", lambda: {"v": F.array_join(F.coalesce(F.from_json(_poly := F.when(c("doc_id") % 2 == 0, F.to_json(F.array("lang", "source"))).otherwise(c("lang")), "array<string>"), F.array(_poly)), "|")},
   {"v": "CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source ELSE lang END"})
 have = lambda: F.create_map(F.lit("a"), c("lang"), F.lit("b"), F.lit(" "))
@@ -174,7 +178,7 @@ D("DAT02_target", lambda: {"venue": F.regexp_extract(target(), "^([A-Z]+)-([0-9]
 D("DAT03_volume", lambda: {"v": ((2000 + c("doc_id") % 25) - 2007).cast("int")}, {"v": "CAST(doc_id % 25 - 7 AS INTEGER)"})
 D("FLT05_csv_list", lambda: {"v": F.array_join(F.filter(F.transform(F.split(F.concat(c("lang"), F.lit(", ,x ,"), c("source")), ","), lambda v: F.upper(F.trim(v))), lambda v: v != ""), "|")}, {"v": "upper(lang) || '|X|' || upper(source)"})
 D("REC15_provenance", lambda: {"v": I.provenance(F.when(c("doc_id") % 3 == 0, "OpenReview").when(c("doc_id") % 3 == 1, "dblp").otherwise(c("source")))}, {"v": "CASE doc_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'dblp' ELSE 'venue_special' END"})
-D("DED11_ordered_distinct", lambda: {"v": F.array_join(X.distinct_folded(F.split(F.substring("text", 1, 200), " ")), " "), "w": F.array_join(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), " ")},
+D("DED11_ordered_distinct", lambda: {"v": F.array_join(X.distinct_folded(F.split("text", " ")), " "), "w": F.array_join(F.array_distinct(F.split("text", " ")), " ")},
   {"v": "(SELECT string_agg(t, ' ' ORDER BY i) FROM (SELECT arg_min(t, i) AS t, min(i) AS i FROM (SELECT regexp_replace(unnest(string_split(" + HEAD + ", ' ')), '^\\s+|\\s+$', '', 'g') AS t, generate_subscripts(string_split(" + HEAD + ", ' '), 1) AS i) WHERE t <> '' GROUP BY lower(t)))",
    "w": "(SELECT string_agg(t, ' ' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(string_split(" + HEAD + ", ' ')) AS t, generate_subscripts(string_split(" + HEAD + ", ' '), 1) AS i) GROUP BY t))"})
 D("MTH01_coverage", lambda: {"v": I.coverage(c("n_chars") % 97, c("doc_id") % 320)}, {"v": "CASE WHEN doc_id % 320 > 0 THEN round_even(100.0e0 * (n_chars % 97) / (doc_id % 320), 2) ELSE 0.0e0 END"})

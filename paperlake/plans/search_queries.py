@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
-from paperlake.plans.registry import PAPERS_SQL, papers, query, table
+from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
 
 c = F.col
 TEXT = "from with"
@@ -33,22 +33,25 @@ def _paged(sql, by, k=20, o=0):
 
 @query("FTS01_index", f"{BASE} p AS (SELECT paper_id, unnest(t) AS term FROM tok) SELECT term, count(*) AS postings, count(DISTINCT paper_id) AS df FROM p GROUP BY term")
 def _(spark, sf):
-    return S.postings(papers(spark, sf)).groupBy("term").agg(F.sum("tf").alias("postings"), F.count(F.lit(1)).alias("df"))
+    index = search_index(spark, sf)
+    total = index.postings.filter("term is not null").groupBy("term").agg(F.sum("tf").alias("postings"))
+    return total.join(index.terms, "term").select("term", "postings", "df")
 
 
-@query("FTS02_query_terms")
+@query("FTS02_query_terms", "WITH q AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM benchmark) SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda v: {'i': list_position(t, v), 'v': v})), lambda s: s.v), ' ') AS terms FROM q")
 def _(spark, sf):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(S.query_tokens("Replay: continual-learning, Café"))], "ord int, term string")
+    """Every benchmark text as a query: its distinct terms in order."""
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_distinct(S.tokens(c("text"))), " ").alias("terms"))
 
 
 @query("FTS03_match_count", f"{BASE} m AS (SELECT * FROM tok WHERE {HIT} AND {OPEN}) SELECT venue, count(*) AS n FROM m GROUP BY venue")
 def _(spark, sf):
-    return S.matches(papers(spark, sf), TEXT).groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
+    return S.find(papers(spark, sf), search_index(spark, sf), TEXT).groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _search(by, k=20, o=0, filters=None):
     def run(spark, sf):
-        rows = S.page(S.bm25(papers(spark, sf), TEXT, filters), S.order(by), k, o)
+        rows = S.page(S.find(papers(spark, sf), search_index(spark, sf), TEXT, filters), S.order(by), k, o)
         return rows.select(*SHOW, F.round("score", 6).alias("score"), "rank")
 
     return run
@@ -65,14 +68,14 @@ query("TOP03_recall_filtered", _paged(SCORED.replace(OPEN, f"{OPEN} AND venue IN
 
 @query("FTS07_index_alignment", "SELECT count(*) AS papers, count(*) AS indexed, true AS aligned FROM documents")
 def _(spark, sf):
-    p = papers(spark, sf)
-    n = p.agg(F.count(F.lit(1)).alias("papers")).crossJoin(S.document_lengths(p).agg(F.count(F.lit(1)).alias("indexed")))
+    indexed = search_index(spark, sf).postings.agg(F.count_distinct("paper_id").alias("indexed"))
+    n = papers(spark, sf).agg(F.count(F.lit(1)).alias("papers")).crossJoin(indexed)
     return n.withColumn("aligned", c("papers") == c("indexed"))
 
 
 @query("FTS08_full_drain", f"{SCORED} SELECT paper_id, round(score, 6) AS score FROM s ORDER BY {ORDERS['bm25']} LIMIT 2000")
 def _(spark, sf):
-    return S.bm25(papers(spark, sf), TEXT).orderBy(*S.order("bm25")).limit(2000).select("paper_id", F.round("score", 6).alias("score"))
+    return S.find(papers(spark, sf), search_index(spark, sf), TEXT).orderBy(*S.order("bm25")).limit(2000).select("paper_id", F.round("score", 6).alias("score"))
 
 
 GROUPS = [("conj", ["and ", "und "]), ("art", ["the ", "die "])]
@@ -82,7 +85,7 @@ HAY = "replace(lower(trim(regexp_replace(concat_ws(' ', title, abstract), '\\s+'
 @query("FTS09_candidates", f"""{BASE} u AS (SELECT *, CASE WHEN {HIT} THEN 0 WHEN list_contains(t, 'mit') THEN 1 END AS query_ord FROM tok WHERE {OPEN})
 SELECT paper_id, query_ord FROM u WHERE query_ord IS NOT NULL AND (contains({HAY}, 'and ') OR contains({HAY}, 'und ')) AND (contains({HAY}, 'the ') OR contains({HAY}, 'die '))""")
 def _(spark, sf):
-    found = S.candidate_union(papers(spark, sf), [TEXT, "mit"])
+    found = S.first_of(papers(spark, sf), search_index(spark, sf), [TEXT, "mit"])
     return found.filter(X.has_labels(S.document(), GROUPS, ["conj", "art"])).select("paper_id", "query_ord")
 
 
@@ -144,10 +147,11 @@ def _(spark, sf):
     return papers(spark, sf).filter(S.Filters().condition()).orderBy("year", "venue", "paper_id").limit(200).select("paper_id", "year", "venue")
 
 
-@query("FLT13_source_manifest", "SELECT DISTINCT source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 90 = 0)")
+@query("FLT13_source_manifest", "SELECT DISTINCT source FROM documents WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("source").distinct().join(d.filter("doc_id % 90 = 0").select("source").distinct(), "source", "left_semi")
+    listed = d.join(table(spark, sf, "labels").filter("toxic = 1"), "doc_id", "left_semi").select("source").distinct()
+    return d.select("source").distinct().join(listed, "source", "left_semi")
 
 
 @query("FLT14_enrichment_candidates", f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE {OPEN} AND trim(abstract) = '' ORDER BY paper_id LIMIT 25")
@@ -173,7 +177,7 @@ KIDS = "(SELECT string_agg(role, '; ' ORDER BY turn) FROM conversations v WHERE
 
 @query("PRJ03_search_rows", f"{SCORED}, h AS (SELECT * FROM s ORDER BY {ORDERS['bm25']} LIMIT 20) SELECT paper_id, title, venue, year, coalesce({KIDS}, '') AS authors FROM h")
 def _(spark, sf):
-    hits = S.page(S.bm25(papers(spark, sf), TEXT), S.order("bm25"))
+    hits = S.page(S.find(papers(spark, sf), search_index(spark, sf), TEXT), S.order("bm25"))
     kids = table(spark, sf, "conversations").select(c("conv_id").alias("paper_id"), "turn", "role")
     kids = kids.join(F.broadcast(hits.select("paper_id")), "paper_id", "left_semi")
     full = R.with_children(hits, R.ordered_children(kids, "paper_id", "turn", "role", "authors"), "paper_id", "authors")

@@ -9,7 +9,7 @@ from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.operators import topics as T
 from paperlake.operators import vectors as V
-from paperlake.plans.registry import PAPERS_SQL, papers, query, table
+from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
 from paperlake.plans.search_queries import ORDERS, SCORED
 
 c = F.col
@@ -114,7 +114,7 @@ f AS (SELECT k.*, coalesce(CASE WHEN sh - sl = 0 THEN 1.0e0 ELSE (sh - score) /
 
 def _fused(spark, sf):
     p = papers(spark, sf)
-    lex = S.bm25(p, "from with").withColumn("score", F.round("score", 9)).orderBy(*S.order("bm25")).limit(100)
+    lex = S.find(p, search_index(spark, sf), "from with").withColumn("score", F.round("score", 9)).orderBy(*S.order("bm25")).limit(100)
     d = _with_distance(spark, sf, "cosine").withColumn("d", F.round("d", 6)).orderBy("d", "vec_id").limit(100)
     vec = d.select(c("vec_id").alias("paper_id"), (1.0 / (1.0 + F.greatest("d", F.lit(0.0)))).alias("similarity"))
     survivors = p.filter(S.Filters().condition()).select("paper_id", "year", "citation_count")
@@ -193,7 +193,7 @@ CASES = [E.Case("plain", "from with", expect_min_results=5), E.Case("french", "a
 
 @query("EVA03_fixed_cases", f"WITH {PAPERS_SQL}, t AS (SELECT *, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, abstract))), '[\\p{{L}}\\p{{N}}]+') AS t FROM papers WHERE record_status <> 'placeholder') SELECT 'plain' AS case_id, least(count(*), 50) AS total, least(count(*), 50) >= 5 AS passed FROM t WHERE list_contains(t, 'from') AND list_contains(t, 'with') UNION ALL SELECT 'none', 0, false")
 def _(spark, sf):
-    return E.run_cases(papers(spark, sf), [CASES[0], CASES[2]]).select("case_id", "total", "passed")
+    return E.run_cases(papers(spark, sf), [CASES[0], CASES[2]], search_index(spark, sf)).select("case_id", "total", "passed")
 
 
 @query("EVA02_title_fragments", "SELECT source, bool_or(contains(k, 'the')) AND bool_or(contains(k, 'en')) AS ok FROM (SELECT source, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents) GROUP BY source")
@@ -205,7 +205,7 @@ def _(spark, sf):
 @query("EVA04_offline_suite")
 def _(spark, sf):
     """Every case as plain search, whatever mode it asked for."""
-    return E.run_cases(papers(spark, sf), [E.Case("h", "avec", mode="hybrid"), CASES[1]])
+    return E.run_cases(papers(spark, sf), [E.Case("h", "avec", mode="hybrid"), CASES[1]], search_index(spark, sf))
 
 
 @query("EVA05_sampled_queries")
@@ -271,7 +271,7 @@ def _(spark, sf):
 def _(spark, sf):
     from paperlake.operators.report import suites
 
-    return suites(papers(spark, sf), [CASES[0], CASES[2]], "all", healthy=False)
+    return suites(papers(spark, sf), [CASES[0], CASES[2]], "all", healthy=False, index=search_index(spark, sf))
 
 
 @query("DOC04_profile", "SELECT 'documents' AS \"check\", (SELECT count(*) > 0 FROM documents) AS passed UNION ALL SELECT 'titles', (SELECT count(*) FILTER (trim(split_part(text, chr(10), 1)) = '') = 0 FROM documents)")
