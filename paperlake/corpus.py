@@ -42,7 +42,7 @@ def family(venue: str) -> str:
 
 
 def years(expression: str) -> list[int]:
-    """Years of a comma list with inclusive ranges, first occurrences, 1900 to 2100."""
+    """Distinct years of a comma list with inclusive ranges, ascending, 1900 to 2100."""
     out: list[int] = []
     for part in filter(None, (p.strip() for p in expression.split(","))):
         m = re.fullmatch(r"(\d{4})(?:\s*-\s*(\d{4}))?", part)
@@ -51,7 +51,7 @@ def years(expression: str) -> list[int]:
         out += range(int(m[1]), int(m[2] or m[1]) + 1)
     if not out or any(not 1900 <= y <= 2100 for y in out):
         raise ValueError(f"bad years {expression!r}")
-    return list(dict.fromkeys(out))
+    return sorted(set(out))
 
 
 def plan(targets: dict[str, str]) -> list[tuple[str, int, str]]:
@@ -142,6 +142,49 @@ def validate(canonical: DataFrame, official: DataFrame | None = None, strict: bo
     return q.select("venue", "year", "issues", "warnings", (F.size("issues") == 0).alias("passed"))
 
 
+def verify_files(prepared: DataFrame, present: DataFrame) -> None:
+    """Stops unless the files present are those prepared, with the same content.
+
+    Both: (name, fingerprint), of the files below a folder, as ``report.file_fingerprints``
+    gives them; names lead nowhere outside the folder.
+    """
+    bad_path = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
+    if paths := [r["name"] for r in prepared.unionByName(present).filter(bad_path).select("name").distinct().limit(8).collect()]:
+        raise ValueError(f"paths outside the folder: {sorted(paths)}")
+    both = prepared.select("name", F.col("fingerprint").alias("_a")).join(present.select("name", F.col("fingerprint").alias("_b")), "name", "full")
+    state = F.when(F.col("_a").isNull(), "unexpected").when(F.col("_b").isNull(), "missing").when(F.col("_a") != F.col("_b"), "changed")
+    found = both.select("name", state.alias("state")).filter("state is not null").orderBy("name").limit(8).collect()
+    if found:
+        raise ValueError("files differ from those prepared: " + ", ".join(f"{r['name']} {r['state']}" for r in found))
+
+
+def complete(pages: DataFrame, link: str = "next", url: str = "url", expected: int | None = None, items: str = "items") -> dict[str, int]:
+    """Checks that stored pages of a listing are all of it; gives pages and items.
+
+    ``pages``: one row per page with its address, the address of the next one (null on the
+    last) and the number of items.  An error is: a next page on another host, two pages with
+    the same next one or none that starts (a loop), a next page that was not stored, and
+    fewer items than the listing says it has.
+    """
+    host = lambda c: F.lower(F.regexp_extract(c, "^(?:https?://)?([^/?#:]+)", 1))
+    p = pages.select(F.col(url).alias("u"), F.col(link).alias("n"), F.col(items).cast("long").alias("i"))
+    into = p.filter("n is not null").groupBy("n").agg(F.count(F.lit(1)).alias("links"))
+    x = p.join(into.withColumnRenamed("n", "u"), "u", "left")
+    missing = into.join(p, into["n"] == p["u"], "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    row = x.agg(
+        F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("i"), F.lit(0)).alias("items"), F.count_if(host(F.col("n")) != host(F.col("u"))).alias("strange"),
+        F.count_if(F.col("links").isNull()).alias("starts"), F.count_if(F.col("links") > 1).alias("twice"), F.count_if(F.col("n").isNull()).alias("ends")).crossJoin(missing).first()
+    if row["strange"]:
+        raise ValueError(f"{row['strange']} links lead to another host")
+    if row["missing"]:
+        raise ValueError(f"{row['missing']} pages are linked but not stored")
+    if row["pages"] and (row["starts"] != 1 or row["ends"] != 1 or row["twice"]):
+        raise ValueError("the pages are not one chain: a loop or several starts")
+    if expected is not None and row["items"] < expected:
+        raise ValueError(f"{row['items']} items of {expected}")
+    return {"pages": row["pages"], "items": row["items"]}
+
+
 def publish(new: DataFrame, old: DataFrame | None, allowed_removals: DataFrame, write: Callable[[DataFrame], str]) -> str:
     """Writes the new records unless old ones would vanish without permission."""
     if old is not None:

@@ -10,21 +10,40 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_key(x: pd.Series) -> pd.Series:
     """NFKD letters and digits, case folded."""
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed_key(x: pd.Series) -> pd.Series:
     """NFKC, case folded, white space collapsed."""
     return x.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
+def author_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How well two lists of names agree: greedy one-to-one matches of ratio 0.72 or more, in
+    the order of the first list, over the larger size; ties go to the later name; without
+    names 0."""
+
+    def greedy(left: list[str], right: list[str]) -> float:
+        free, total = dict(enumerate(right)), 0.0
+        for name in left:
+            ratio, at = max(((SequenceMatcher(None, name, other).ratio(), i) for i, other in free.items()), default=(0.0, -1))
+            if ratio >= 0.72:
+                total += ratio
+                del free[at]
+        return total / max(len(left), len(right)) if left and right else 0.0
+
+    return pd.Series([greedy([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -84,6 +84,21 @@ def reconcile(old: DataFrame, new: DataFrame, passes: list[tuple[str, DataFrame,
     return done.unionByName(added).unionByName(removed)
 
 
+def settled(matches: DataFrame) -> DataFrame:
+    """The matches; one whose identifiers name several old rows stops the run."""
+    stop = F.raise_error(F.concat(F.lit("ambiguous identifiers of new row "), F.col("new").cast("string"))).cast("string")
+    return matches.withColumn("method", F.when(F.col("ambiguous"), stop).otherwise(F.col("method"))).drop("ambiguous")
+
+
+def retitle_ids(old: DataFrame, new: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of a pass over approved retitles.
+
+    ``policy``: old, old_title, new_title; a row holds if the old record still has that title.
+    """
+    held = old.join(policy.withColumnRenamed("old_title", "title"), ["old", "title"]).select("old", F.col("new_title").alias("id"))
+    return held, new.select("new", F.col("title").alias("id"))
+
+
 def blocked_removals(matches: DataFrame, allowed: DataFrame) -> DataFrame:
     """Old rows that vanish without permission: a publisher must stop if there are any."""
     return matches.filter("method = 'removed'").select("old").join(allowed.select("old"), "old", "left_anti")

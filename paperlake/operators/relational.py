@@ -70,6 +70,56 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def similar_sets(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, similarity) of distinct token sets with a Jaccard similarity of at least ``least``.
+
+    Rows of equal sets are one class, named by its least key, so copies make no pairs.  Two
+    sets so similar share one of the first n - ceil(least * n) + 1 of their n tokens in any
+    one order; tokens go from rare to frequent, so candidates meet at rare ones.
+    """
+    sets = rows.select(key, F.array_sort(F.array_distinct(tokens)).alias("_t")).groupBy("_t").agg(F.min(key).alias(key)).filter(F.size("_t") > 0)
+    each = sets.select(key, F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    often = each.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = each.join(often, "_w").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_df", "_w")))
+    # rounding before the ceiling: 0.9 * 10 is not quite 9
+    head = ranked.filter(F.col("_r") <= F.col("_n") - F.ceil(F.round(F.lit(least) * F.col("_n"), 9)) + 1)
+    head = head.filter("_df > 1").select("_w", key, "_n")
+    near = (F.col("a") < F.col("b")) & (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n"))
+    pairs = head.withColumnRenamed(key, "a").join(head.toDF("_w", "b", "_m"), "_w").filter(near).select("a", "b").distinct()
+    full = pairs.join(sets.select(F.col(key).alias("a"), F.col("_t").alias("_x")), "a").join(sets.select(F.col(key).alias("b"), F.col("_t").alias("_y")), "b")
+    return full.withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+#: Ratios from which a title found in a source is the one looked for (fixed values).
+TITLE_RULES = (("best of a search", 0.86), ("strict", 0.965), ("proceedings index", 0.992), ("venue index", 0.997))
+
+
+def similar_titles(rows: DataFrame, key: str, title: str, least: float, gram: int = 2) -> DataFrame:
+    """(a, b, ratio) of different titles whose sequence ratio is at least ``least``.
+
+    Exact: a pair of that ratio differs in at most (1 - least) times both lengths characters,
+    each of which spoils at most ``gram`` character grams; so it shares one of each side's
+    rarest grams, counted with repeats, and the lengths differ by a bounded factor.  Only
+    such pairs are compared; equal titles are one class, named by the least key.
+    """
+    from paperlake.functions.python_functions import sequence_ratio
+
+    far = least / (2 - least)
+    one = rows.filter(F.length(title) > 0).groupBy(F.col(title).alias("_k")).agg(F.min(key).alias("_id")).withColumn("_l", F.length("_k"))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("_l") - (gram - 1), F.lit(1)))
+    each = one.select("_id", "_l", F.explode(F.transform(starts, lambda i: F.substring(F.col("_k"), i, F.lit(gram)))).alias("_g"))
+    each = each.withColumn("_o", F.row_number().over(Window.partitionBy("_id", "_g").orderBy(F.lit(1))))
+    often = each.groupBy("_g", "_o").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = each.join(often, ["_g", "_o"]).withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy("_df", "_g", "_o")))
+    # the other title is at most 1 / far times as long
+    spoilt = F.floor(F.round((1 - least) * (1 + 1 / far) * F.col("_l"), 9)) * gram
+    head = ranked.filter((F.col("_r") <= spoilt + 1) & (F.col("_df") > 1)).select("_g", "_o", "_id", "_l")
+    near = (F.col("a") < F.col("b")) & (F.col("_l") >= far * F.col("_m")) & (F.col("_m") >= far * F.col("_l"))
+    pairs = head.withColumnRenamed("_id", "a").join(head.toDF("_g", "_o", "b", "_m"), ["_g", "_o"]).filter(near).select("a", "b").distinct()
+    full = pairs.join(one.select(F.col("_id").alias("a"), F.col("_k").alias("_x")), "a").join(one.select(F.col("_id").alias("b"), F.col("_k").alias("_y")), "b")
+    return full.withColumn("ratio", sequence_ratio("_x", "_y")).filter(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
 def count_by(rows: DataFrame, column: Column, into: str) -> DataFrame:
     return rows.groupBy(column.alias(into)).agg(F.count(F.lit(1)).alias("n"))
 

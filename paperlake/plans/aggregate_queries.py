@@ -92,13 +92,13 @@ def _(spark, sf):
     return last.groupBy("venue").agg(F.sum("n").alias("raw"), one("uniq"))
 
 
-A, O = "(SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority <> '5-LOW' GROUP BY 1)", "(SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_orderpriority <> '1-URGENT' GROUP BY 1)"
+A, O = "(SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1)", "(SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' GROUP BY 1)"
 
 
 def _sides(spark, sf):
     o = table(spark, sf, "orders").withColumn("k", c("o_orderpriority"))
-    a = o.filter("o_orderkey % 2 = 0 and k <> '5-LOW'").groupBy("k").agg(one("n"))
-    return a, o.filter("o_orderkey % 3 = 0 and k <> '1-URGENT'").groupBy("k").agg(one("n"))
+    a = o.filter("o_orderstatus <> 'F' and k <> '5-LOW'").groupBy("k").agg(one("n"))
+    return a, o.filter("o_orderstatus <> 'O' and k <> '1-URGENT'").groupBy("k").agg(one("n"))
 
 
 @query("AGG12_map_diff", f"SELECT coalesce(a.k, o.k) AS k, coalesce(a.n, 0) - coalesce(o.n, 0) AS diff FROM {A} a FULL JOIN {O} o ON a.k = o.k")

@@ -91,22 +91,22 @@ def _(spark, sf):
     return R.heading_before(v.filter("role = 'assistant'"), v.filter("role = 'user'"), "conv_id", "turn", "heading").select("conv_id", "turn", "heading")
 
 
-KA, KB = ("regexp_replace(lower(substr({}, 1, 80)), '[^a-z0-9]+', '', 'g')".format(x) for x in ("d.text", "b.text"))
+KA, KB = ("regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')".format(x) for x in ("d.text", "b.text"))
 
 
-@query("JOI11_checklist", f"WITH a AS (SELECT DISTINCT {KA} AS k FROM documents d WHERE doc_id % 2 = 0), o AS (SELECT DISTINCT {KA} AS k FROM documents d WHERE doc_id % 3 = 0 UNION SELECT DISTINCT {KB} FROM benchmark b) SELECT coalesce(a.k, o.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN o.k IS NULL THEN 'extra' ELSE 'matched' END AS state FROM a FULL JOIN o ON a.k = o.k")
+@query("JOI11_checklist", f"WITH a AS (SELECT DISTINCT {KA} AS k FROM documents d), o AS (SELECT DISTINCT {KB} AS k FROM benchmark b UNION SELECT DISTINCT {KA} FROM documents d JOIN labels USING (doc_id)) SELECT coalesce(a.k, o.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN o.k IS NULL THEN 'extra' ELSE 'matched' END AS state FROM a FULL JOIN o ON a.k = o.k")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.title_key(F.substring("text", 1, 80)).alias("k"))
-    b = table(spark, sf, "benchmark").select(X.title_key(F.substring("text", 1, 80)).alias("k"))
-    return R.checklist(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0").select("k").union(b), "k").select("k", "state")
+    d = table(spark, sf, "documents").select("doc_id", X.title_key("text").alias("k"))
+    b = table(spark, sf, "benchmark").select(X.title_key("text").alias("k"))
+    return R.checklist(d, d.join(table(spark, sf, "labels"), "doc_id", "left_semi").select("k").union(b), "k").select("k", "state")
 
 
 OVER = f"WITH {PAPERS_SQL}, o AS (SELECT vec_id AS paper_id, CASE WHEN label < 5 THEN 'oral' ELSE 'poster' END AS level FROM embeddings)"
 
 
-@query("JOI12_official_overlay", f"{OVER} SELECT coalesce(p.paper_id, o.paper_id) AS paper_id, coalesce(o.level, p.presentation_level) AS level, CASE WHEN p.paper_id IS NULL THEN 'added' WHEN o.paper_id IS NULL THEN 'unofficial' ELSE 'updated' END AS state FROM (SELECT * FROM papers WHERE paper_id % 2 = 0) p FULL JOIN o ON p.paper_id = o.paper_id")
+@query("JOI12_official_overlay", f"{OVER} SELECT coalesce(p.paper_id, o.paper_id) AS paper_id, coalesce(o.level, p.presentation_level) AS level, CASE WHEN p.paper_id IS NULL THEN 'added' WHEN o.paper_id IS NULL THEN 'unofficial' ELSE 'updated' END AS state FROM papers p FULL JOIN o ON p.paper_id = o.paper_id")
 def _(spark, sf):
-    p = papers(spark, sf).filter("paper_id % 2 = 0").select("paper_id", "presentation_level")
+    p = papers(spark, sf).select("paper_id", "presentation_level")
     o = _vectors(spark, sf).select("paper_id", F.when(c("label") < 5, "oral").otherwise("poster").alias("level"))
     state = F.when(c("presentation_level").isNull(), "added").when(c("level").isNull(), "unofficial").otherwise("updated")
     return p.join(o, "paper_id", "full").select("paper_id", F.coalesce("level", "presentation_level").alias("level"), state.alias("state"))
@@ -121,27 +121,24 @@ def _(spark, sf):
 
 @query("JOI15_fuzzy_title")
 def _(spark, sf):
-    """Best title within a block of equal key starts and near lengths, by sequence ratio."""
-    from paperlake.functions.python_functions import sequence_ratio
+    """Each page title's best other title, with the strictest rule that takes it."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    p = table(spark, sf, "pages").select("page_id", X.title_key(title).alias("k"))
+    x = R.similar_titles(p, "page_id", "k", R.TITLE_RULES[0][1])
+    x = x.unionByName(x.select(c("b").alias("a"), c("a").alias("b"), "ratio"))
+    best = x.groupBy(c("a").alias("page_id")).agg(F.max_by("b", F.struct("ratio", -c("b"))).alias("other"), F.max("ratio").alias("ratio"))
+    rule = F.coalesce(*[F.when(c("ratio") >= least, F.lit(name)) for name, least in reversed(R.TITLE_RULES)])
+    return best.select("page_id", "other", F.round("ratio", 6).alias("ratio"), rule.alias("rule"))
 
-    k = papers(spark, sf).select("paper_id", X.title_key("title").alias("k")).filter("length(k) >= 8").withColumn("b", F.substring("k", 1, 8))
-    one = k.groupBy("k", "b").agg(F.min("paper_id").alias("paper_id"))
-    other = one.select(c("paper_id").alias("other"), c("k").alias("k2"), "b")
-    near = (F.length("k") - F.length("k2")).between(-0.03 * F.length("k"), 0.03 * F.length("k")) & (c("k") != c("k2"))
-    pairs = one.join(other, "b").filter(near).withColumn("ratio", sequence_ratio("k", "k2")).filter("ratio >= 0.86")
-    return pairs.groupBy("paper_id").agg(F.max_by("other", F.struct("ratio", -c("other"))).alias("other"), F.round(F.max("ratio"), 6).alias("ratio"))
 
+SETS = "list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')))"
 
-J_A, J_B = ("list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '))".format(x) for x in ("a.t", "b.t"))
 
-
-@query("JOI16_token_jaccard", f"WITH x AS (SELECT doc_id, substr(text, 1, 120) AS t, substr(text, 1, 24) AS blk FROM documents WHERE length(text) > 40) SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.blk = b.blk AND a.doc_id < b.doc_id WHERE len(list_intersect({J_A}, {J_B})) >= 0.9e0 * len(list_distinct(list_concat({J_A}, {J_B})))")
+@query("JOI16_token_jaccard", f"WITH r AS (SELECT t, min(doc_id) AS doc_id, len(t) AS n FROM (SELECT doc_id, {SETS} AS t FROM documents) GROUP BY t) SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.doc_id < b.doc_id AND a.n >= 0.9e0 * b.n AND b.n >= 0.9e0 * a.n WHERE len(list_intersect(a.t, b.t)) >= 0.9e0 * (a.n + b.n - len(list_intersect(a.t, b.t)))")
 def _(spark, sf):
-    """Pairs inside a block of equal starts whose token sets agree to nine tenths."""
-    x = table(spark, sf, "documents").filter("length(text) > 40").select("doc_id", F.substring("text", 1, 24).alias("blk"), F.split(X.spaced_key(F.substring("text", 1, 120)), " ").alias("t"))
-    y = x.toDF("b", "blk", "t2")
-    pairs = x.withColumnRenamed("doc_id", "a").join(y, "blk").filter("a < b")
-    return pairs.filter(F.size(F.array_intersect("t", "t2")) >= 0.9 * F.size(F.array_union("t", "t2"))).select("a", "b")
+    """Pairs of documents, one for each distinct token set, whose sets agree to nine tenths."""
+    d = table(spark, sf, "documents").select("doc_id", F.split(X.spaced_key("text"), " ").alias("t"))
+    return R.similar_sets(d, "doc_id", "t", 0.9).select("a", "b")
 
 
 @query("JOI17_topic_membership", "SELECT e.label AS topic, count(*) AS found FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE d.lang = 'en' GROUP BY e.label")

@@ -93,20 +93,27 @@ def _(spark, sf):
     return papers(spark, sf).select("paper_id", F.array_join(ids, ",").alias("ids"))
 
 
-OLD = f"WITH {PAPERS_SQL}, o AS (SELECT paper_id AS old, {KEY} AS k, title FROM papers WHERE paper_id % 4 <> 1), n AS (SELECT paper_id + 100000 AS new, {KEY} AS k, title FROM papers WHERE paper_id % 5 <> 2)"
+#: Two snapshots of all papers: in the new one the German titles have changed; the policy
+#: approves the changes of cited papers.
+NEWER = "CASE WHEN venue = 'DE' THEN 'New ' || title ELSE title END"
+OLD = f"WITH {PAPERS_SQL}, o AS (SELECT paper_id AS old, {KEY} AS k, title FROM papers), n AS (SELECT new, {KEY} AS k, title FROM (SELECT paper_id + 100000 AS new, {NEWER} AS title FROM papers)), pol AS (SELECT paper_id AS old, 'New ' || title AS id FROM papers WHERE citation_count = 1)"
 UO = "(SELECT k AS id, min(old) AS old FROM o WHERE k <> '' GROUP BY k HAVING count(DISTINCT old) = 1)"
 M1 = f"m1 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM n JOIN {UO} u ON n.k = u.id) GROUP BY old)"
-M2 = "m2 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM m1)) n JOIN (SELECT title, min(old) AS old FROM o WHERE old NOT IN (SELECT old FROM m1) GROUP BY title HAVING count(DISTINCT old) = 1) u ON n.title = u.title) GROUP BY old)"
-ALL = f"{OLD}, {M1}, {M2}, r AS (SELECT old, new, 'stable_id' AS method FROM m1 UNION ALL SELECT old, new, 'exact_title' FROM m2 UNION ALL SELECT NULL, new, 'added' FROM n WHERE new NOT IN (SELECT new FROM m1) AND new NOT IN (SELECT new FROM m2) UNION ALL SELECT old, NULL, 'removed' FROM o WHERE old NOT IN (SELECT old FROM m1) AND old NOT IN (SELECT old FROM m2))"
+MR = "mr AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM m1)) n JOIN (SELECT id, min(old) AS old FROM pol WHERE old NOT IN (SELECT old FROM m1) GROUP BY id HAVING count(DISTINCT old) = 1) u ON n.title = u.id) GROUP BY old)"
+M2 = "d2 AS (SELECT old, new FROM m1 UNION ALL SELECT old, new FROM mr), m2 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM d2)) n JOIN (SELECT title, min(old) AS old FROM o WHERE old NOT IN (SELECT old FROM d2) GROUP BY title HAVING count(DISTINCT old) = 1) u ON n.title = u.title) GROUP BY old)"
+ALL = f"{OLD}, {M1}, {MR}, {M2}, d3 AS (SELECT old, new FROM d2 UNION ALL SELECT old, new FROM m2), r AS (SELECT old, new, 'stable_id' AS method FROM m1 UNION ALL SELECT old, new, 'approved_retitle' FROM mr UNION ALL SELECT old, new, 'exact_title' FROM m2 UNION ALL SELECT NULL, new, 'added' FROM n WHERE new NOT IN (SELECT new FROM d3) UNION ALL SELECT old, NULL, 'removed' FROM o WHERE old NOT IN (SELECT old FROM d3))"
 
 
 def reconciled(spark, sf):
-    p = papers(spark, sf).withColumn("k", X.title_key("title"))
-    o = p.filter("paper_id % 4 <> 1").select(c("paper_id").alias("old"), "k", "title")
-    n = p.filter("paper_id % 5 <> 2").select((c("paper_id") + 100000).alias("new"), "k", "title")
+    """All three passes: identifiers, approved retitles, equal titles."""
+    p = papers(spark, sf)
+    o = p.select(c("paper_id").alias("old"), X.title_key("title").alias("k"), "title")
+    n = p.select((c("paper_id") + 100000).alias("new"), F.when(c("venue") == "DE", F.concat(F.lit("New "), "title")).otherwise(c("title")).alias("title")).withColumn("k", X.title_key("title"))
+    policy = p.filter("citation_count = 1").select(c("paper_id").alias("old"), c("title").alias("old_title"), F.concat(F.lit("New "), "title").alias("new_title"))
     by_key = lambda x, s: x.filter("k <> ''").select(s, c("k").alias("id"))
     by_title = lambda x, s: x.select(s, c("title").alias("id"))
-    return D.reconcile(o.select("old"), n.select("new"), [("stable_id", by_key(o, "old"), by_key(n, "new")), ("exact_title", by_title(o, "old"), by_title(n, "new"))])
+    passes = [("stable_id", by_key(o, "old"), by_key(n, "new")), ("approved_retitle", *D.retitle_ids(o, n, policy)), ("exact_title", by_title(o, "old"), by_title(n, "new"))]
+    return D.settled(D.reconcile(o.select("old"), n.select("new"), passes))
 
 
 @query("JOI14_identity_reconcile", f"{ALL} SELECT old, new, method FROM r")
@@ -119,14 +126,9 @@ def _(spark, sf):
     return reconciled(spark, sf).filter("method = 'stable_id'").select("old", "new")
 
 
-@query("REC03_approved_retitles", f"{OLD} SELECT o.old, n.new FROM o JOIN (SELECT old, old + 100001 AS new FROM o WHERE old % 10 = 0) a ON o.old = a.old JOIN n ON n.new = a.new")
+@query("REC03_approved_retitles", f"{ALL} SELECT old, new FROM r WHERE method = 'approved_retitle'")
 def _(spark, sf):
-    """Policy rows name an old and a new record; both must exist."""
-    p = papers(spark, sf).select("paper_id")
-    o = p.filter("paper_id % 4 <> 1").select(c("paper_id").alias("old"))
-    n = p.filter("paper_id % 5 <> 2").select((c("paper_id") + 100000).alias("new"))
-    policy = o.filter("old % 10 = 0").withColumn("new", c("old") + 100001)
-    return policy.join(o, "old").join(n, "new").select("old", "new")
+    return reconciled(spark, sf).filter("method = 'approved_retitle'").select("old", "new")
 
 
 @query("REC04_title_pass", f"{ALL} SELECT old, new FROM r WHERE method = 'exact_title'")
@@ -144,19 +146,18 @@ def _(spark, sf):
 
 @query("REC06_author_similarity")
 def _(spark, sf):
-    """Greedy best matches between two author lists, over the larger list's size."""
-    from paperlake.functions.python_functions import sequence_ratio
+    """The user's whole texts of each conversation against the assistant's, as two name lists."""
+    from paperlake.functions.python_functions import author_similarity
 
-    v = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 30).alias("name"))
-    a, b = v.filter("role = 'user'"), v.filter("role = 'assistant'").select("conv_id", c("turn").alias("turn2"), c("name").alias("name2"))
-    best = a.join(b, "conv_id").withColumn("s", sequence_ratio("name", "name2")).filter("s >= 0.3").groupBy("conv_id", "turn").agg(F.max("s").alias("s"))
-    sizes = v.groupBy("conv_id").agg(F.greatest(F.count_if(c("role") == "user"), F.count_if(c("role") == "assistant")).alias("n"))
-    return best.groupBy("conv_id").agg(F.sum("s").alias("s")).join(sizes, "conv_id").select("conv_id", F.round(c("s") / c("n"), 6).alias("similarity"))
+    v = table(spark, sf, "conversations")
+    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct("turn", "text")))), lambda s: s["text"])
+    x = v.groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
+    return x.select("conv_id", F.round(author_similarity("a", "b"), 6).alias("similarity"))
 
 
-@query("REC07_blocked_removals", f"{ALL} SELECT old FROM r WHERE method = 'removed' AND old % 2 = 0")
+@query("REC07_blocked_removals", f"{ALL} SELECT old FROM r WHERE method = 'removed' AND old NOT IN (SELECT paper_id FROM papers WHERE presentation_level = 'poster')")
 def _(spark, sf):
-    allowed = papers(spark, sf).filter("paper_id % 2 = 1").select(c("paper_id").alias("old"))
+    allowed = papers(spark, sf).filter("presentation_level = 'poster'").select(c("paper_id").alias("old"))
     return D.blocked_removals(reconciled(spark, sf), allowed)
 
 
@@ -255,7 +256,7 @@ def _(spark, sf):
 def _(spark, sf):
     from paperlake.functions.python_functions import compatibility_key
 
-    v = table(spark, sf, "conversations").select("conv_id", compatibility_key(F.substring("text", 1, 20)).alias("k"))
+    v = table(spark, sf, "conversations").select("conv_id", compatibility_key("text").alias("k"))
     return v.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("k")), "|").alias("signature"))
 
 

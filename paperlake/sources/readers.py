@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperlake.functions.ids import text_of_positions
 from paperlake.functions.text import absolute, squeeze, unescape, unlatex
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "abstract", "doi", "url", "source_provider", "track", "track_group", "presentation_level", "record_status")] + [
@@ -47,11 +48,12 @@ def tsv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
 
 
 def dblp(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """inproceedings elements of DBLP XML: title, authors, year, doi."""
+    """inproceedings and article elements of DBLP XML: kind, title, authors, year, doi."""
     schema = "title string, author array<string>, year int, ee array<string>, _key string"
-    df = spark.read.format("xml").option("rowTag", "inproceedings").schema(schema).load(path)
+    read = lambda tag: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("kind", F.lit(tag))
+    df = read("inproceedings").unionByName(read("article"))
     link = F.get(F.filter("ee", lambda e: e.contains("doi.org/")), F.lit(0))
-    df = df.select(F.col("_key").alias("key"), F.regexp_replace("title", r"\.$", "").alias("title"), F.col("author").alias("authors"), "year", F.nullif(F.regexp_extract(link, r"doi\.org/(10\..+)$", 1), F.lit("")).alias("doi"))
+    df = df.select("kind", F.col("_key").alias("key"), F.regexp_replace("title", r"\.$", "").alias("title"), F.col("author").alias("authors"), "year", F.nullif(F.regexp_extract(link, r"doi\.org/(10\..+)$", 1), F.lit("")).alias("doi"))
     return df if year is None else df.filter(F.col("year") == year)
 
 
@@ -103,11 +105,77 @@ def links(html: Column, url: Column) -> Column:
 
 
 def meta_value(html: Column, *names: str) -> Column:
-    """Content of the first of the named meta tags that is there."""
-    found = [F.nullif(F.regexp_extract(html, rf'<meta\s+name="{n}"\s+content="([^"]*)"', 1), F.lit("")) for n in names]
+    """Content of the first of the named meta tags that is there, attributes in any order."""
+    name = lambda n: rf"""\b(?:name|property)\s*=\s*["']{re.escape(n)}["']"""
+    content = r"""\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+    def value(n: str) -> Column:
+        tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*{name(n)})[^>]*>", 0)
+        return F.nullif(F.concat(F.regexp_extract(tag, f"(?is){content}", 1), F.regexp_extract(tag, f"(?is){content}", 2)), F.lit(""))
+
+    found = [value(n) for n in names]
     return unescape(F.coalesce(*found)) if len(found) > 1 else unescape(found[0])
 
 
 def embedded_json(html: Column, script_id: str) -> Column:
     """Text of the JSON script with an id."""
     return F.nullif(F.regexp_extract(html, rf'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>', 1), F.lit(""))
+
+
+def cards(html: Column, start: str, fields: dict[str, str]) -> Column:
+    """Cards of a listing page, as an array of structs.
+
+    ``start``: pattern of a card's opening tag; a card reaches to the next one.  ``fields``:
+    for each name the pattern whose first group is its markup; tags and entities go, runs of
+    white space become one space, and what is not found is null.
+    """
+    parts = F.slice(F.split(html, start), F.lit(2), F.greatest(F.size(F.split(html, start)), F.lit(0)))
+    text = lambda x: F.nullif(squeeze(unescape(F.regexp_replace(x, "<[^>]+>", " "))), F.lit(""))
+    return F.transform(parts, lambda p: F.struct(*[text(F.regexp_extract(p, pattern, 1)).alias(name) for name, pattern in fields.items()]))
+
+
+def corrupt_count(files: DataFrame) -> DataFrame:
+    """One row: files and how many of them could not be read as a payload."""
+    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt"))
+
+
+#: What of a saved API answer is the list of works (fixed values: field names of the APIs).
+_WORKS = {"openalex": "results", "crossref": "message.items", "semantic_scholar": "data", "openreview": "notes"}
+_SHAPES = {
+    "openalex": "results array<struct<id:string,title:string,publication_year:int,doi:string,cited_by_count:long,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>>>",
+    "crossref": "message struct<items:array<struct<DOI:string,title:array<string>,abstract:string,`is-referenced-by-count`:long,author:array<struct<given:string,family:string>>,issued:struct<`date-parts`:array<array<int>>>>>>",
+    "semantic_scholar": "data array<struct<paperId:string,title:string,abstract:string,year:int,citationCount:long,externalIds:map<string,string>,authors:array<struct<name:string>>>>",
+    "openreview": "notes array<struct<id:string,forum:string,content:map<string,string>>>",
+}
+
+
+def api_works(spark: SparkSession, path: str, api: str) -> DataFrame:
+    """(path, id, title, authors, abstract, doi, year, citation_count) of saved API answers.
+
+    ``api``: openalex, crossref, semantic_scholar, openreview (whole JSON answers) or arxiv
+    (Atom).  A field an API does not have is null; an answer that is no JSON gives no rows.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    if api == "arxiv":
+        shape = "id string, title string, summary string, published string, author array<struct<name:string>>"
+        x = spark.read.format("xml").option("rowTag", "entry").schema(shape).load(path)
+        x = x.select(F.col("_metadata.file_path").alias("path"), "*")
+        number = F.regexp_extract("id", r"abs/(.+?)(?:v[0-9]+)?$", 1)
+        return x.select("path", number.alias("id"), squeeze(F.col("title")).alias("title"), F.transform("author", lambda a: squeeze(a["name"])).alias("authors"), squeeze(F.col("summary")).alias("abstract"), none("string").alias("doi"), F.substring("published", 1, 4).try_cast("int").alias("year"), none("long").alias("citation_count"))
+    if api not in _WORKS:
+        raise ValueError(f"unknown API {api}")
+    x = spark.read.option("multiLine", True).schema(_SHAPES[api]).json(path)
+    w = x.select(F.col("_metadata.file_path").alias("path"), F.explode(_WORKS[api]).alias("w")).select("path", "w.*")
+    doi = lambda c: F.nullif(F.lower(F.regexp_replace(c, r"^https?://(dx\.)?doi\.org/", "")), F.lit(""))
+    if api == "openalex":
+        words = F.transform(F.map_entries("abstract_inverted_index"), lambda e: F.struct(e["key"].alias("token"), e["value"].alias("positions")))
+        return w.select("path", F.regexp_extract("id", "([^/]*)$", 1).alias("id"), squeeze(F.col("title")).alias("title"), F.transform("authorships", lambda a: squeeze(a["author"]["display_name"])).alias("authors"), text_of_positions(words).alias("abstract"), doi(F.col("doi")).alias("doi"), F.col("publication_year").alias("year"), F.col("cited_by_count").alias("citation_count"))
+    if api == "crossref":
+        name = F.transform("author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
+        plain = squeeze(unescape(F.regexp_replace("abstract", "<[^>]+>", " ")))
+        return w.select("path", F.lower("DOI").alias("id"), squeeze(F.get("title", F.lit(0))).alias("title"), name.alias("authors"), plain.alias("abstract"), doi(F.col("DOI")).alias("doi"), F.get(F.get(F.col("issued")["date-parts"], F.lit(0)), F.lit(0)).alias("year"), F.col("`is-referenced-by-count`").alias("citation_count"))
+    if api == "semantic_scholar":
+        return w.select("path", F.col("paperId").alias("id"), squeeze(F.col("title")).alias("title"), F.transform("authors", lambda a: a["name"]).alias("authors"), "abstract", doi(F.col("externalIds")["DOI"]).alias("doi"), "year", F.col("citationCount").alias("citation_count"))
+    # a note's fields are values or objects that hold one
+    field = lambda name: F.coalesce(F.get_json_object(F.col("content")[name], "$.value"), F.col("content")[name])
+    return w.select("path", F.coalesce("id", "forum").alias("id"), squeeze(field("title")).alias("title"), F.from_json(field("authors"), "array<string>").alias("authors"), field("abstract").alias("abstract"), none("string").alias("doi"), none("int").alias("year"), none("long").alias("citation_count"))

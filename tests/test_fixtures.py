@@ -17,10 +17,10 @@ from paperlake.sources import readers
 from paperlake.streaming import upsert
 
 PAPERS = [
-    ("P1", "Continual Learning with Replay Memory", "ICLR", 2023, 10, "poster", "resolved", "We study replay strategies for continual learning settings."),
-    ("P2", "Replay Baseline Placeholder", "ICLR", 2024, None, "poster", "placeholder", ""),
-    ("P3", "Continual Learning via Regularization", "ICML", 2021, 50, "oral", "resolved", "Continual learning can be improved by regularization."),
-    ("P4", "Replay in Continual Learning: New Perspectives", "ICLR", 2024, 5, "bestpaper", "resolved", "Replay remains strong for continual learning in modern settings."),
+    ("P1", "Sparse Routing under Budget Limits", "ICLR", 2023, 10, "poster", "resolved", "A budget decides which sparse routing paths stay open."),
+    ("P2", "Budget Stub", "ICLR", 2024, None, "poster", "placeholder", ""),
+    ("P3", "Sparse Routing by Pruned Gates", "ICML", 2021, 50, "oral", "resolved", "Pruned gates make sparse routing cheaper."),
+    ("P4", "Budget and Sparse Routing, Revisited", "ICLR", 2024, 5, "bestpaper", "resolved", "A fixed budget is still hard to beat in sparse routing."),
 ]
 
 
@@ -34,12 +34,12 @@ def ids(df):
 
 
 def test_search(papers):
-    assert set(ids(S.bm25(papers, "replay continual learning"))) == {"P1", "P4"}
-    assert "P2" in ids(S.bm25(papers, "replay", S.Filters(include_placeholder=True)))
-    assert ids(S.matches(papers, "replay", S.Filters(("ICLR",), 2024, 2024, "conference", "bestpaper"))) == ["P4"]
-    years = [r["year"] for r in S.page(S.bm25(papers, "learning"), S.order("year")).orderBy("rank").collect()]
+    assert set(ids(S.bm25(papers, "budget sparse routing"))) == {"P1", "P4"}
+    assert "P2" in ids(S.bm25(papers, "budget", S.Filters(include_placeholder=True)))
+    assert ids(S.matches(papers, "budget", S.Filters(("ICLR",), 2024, 2024, "conference", "bestpaper"))) == ["P4"]
+    years = [r["year"] for r in S.page(S.bm25(papers, "routing"), S.order("year")).orderBy("rank").collect()]
     assert years == sorted(years, reverse=True)
-    assert ids(S.page(S.bm25(papers, "learning"), S.order("citation")).orderBy("rank"))[0] == "P3"
+    assert ids(S.page(S.bm25(papers, "routing"), S.order("citation")).orderBy("rank"))[0] == "P3"
     with pytest.raises(ValueError):
         S.query_tokens(" ?! ")
     with pytest.raises(ValueError):
@@ -53,14 +53,14 @@ def test_scores_are_those_of_a_full_text_engine(papers):
     except sqlite3.OperationalError:
         pytest.skip("no full-text module")
     con.executemany("insert into f values (?, ?, ?)", [(p[0], p[1], p[7]) for p in PAPERS])
-    want = dict(con.execute("select id, bm25(f) from f where f match 'replay learning'").fetchall())
-    got = {r["paper_id"]: r["score"] for r in S.bm25(papers, "replay learning", S.Filters(include_placeholder=True)).collect()}
+    want = dict(con.execute("select id, bm25(f) from f where f match 'budget routing'").fetchall())
+    got = {r["paper_id"]: r["score"] for r in S.bm25(papers, "budget routing", S.Filters(include_placeholder=True)).collect()}
     assert got == pytest.approx(want)
 
 
 def test_hybrid(spark, papers):
     vec = spark.createDataFrame([("P4", 0.05), ("P2", 0.10), ("P1", 0.20), ("P3", 0.90)], "paper_id string, d double").select("paper_id", (1 / (1 + F.col("d"))).alias("similarity"))
-    lex = S.bm25(papers, "replay continual learning")
+    lex = S.bm25(papers, "budget sparse routing")
     kept = papers.filter(S.Filters().condition()).select("paper_id")
     final = {r["paper_id"]: r["final"] for r in V.fuse(lex, vec, kept).collect()}
     assert set(final) == {"P1", "P3", "P4"} and final["P3"] == 0 and all(0 <= v <= 1 for v in final.values())
@@ -110,9 +110,9 @@ def test_reconcile_and_gate(spark):
 
 
 def test_evaluation(spark, papers):
-    cases = [E.Case.load({"case_id": "a", "query": "replay", "expect_any_title_fragments": ["Replay: Memory", "zzz"]}), E.Case.load({"case_id": "b", "query": "replay", "expect_all_title_fragments": ["nothing"]})]
+    cases = [E.Case.load({"case_id": "a", "query": "budget", "expect_any_title_fragments": ["Budget: Limits", "zzz"]}), E.Case.load({"case_id": "b", "query": "budget", "expect_all_title_fragments": ["nothing"]})]
     assert {r.case_id: r.passed for r in E.run_cases(papers, cases).collect()} == {"a": True, "b": False}
-    got = {r.case_id: r.passed for r in E.run_cases(papers, [E.Case("c", "replay", any_fragments=("replay memory",)), E.Case("d", "zzz")]).collect()}
+    got = {r.case_id: r.passed for r in E.run_cases(papers, [E.Case("c", "budget", any_fragments=("budget limits",)), E.Case("d", "zzz")]).collect()}
     assert got == {"c": True, "d": False}
     assert E.sample_queries([("t", ["a", "b"])] , 1, 1, 3) == E.sample_queries([("t", ["b", "a"])], 1, 1, 3)
     assert E.stale(None, {"a": "1"}) and E.stale({"a": "2"}, {"a": "1"}) and not E.stale({"a": "1", "b": "9"}, {"a": "1"})
@@ -160,10 +160,10 @@ def test_reports(spark, papers, tmp_path):
     from paperlake.operators import report as P
 
     text = P.markdown(papers.filter("paper_id = 'P2'").select("paper_id", "title", "citation_count"))
-    assert text.splitlines() == ["| paper_id | title | citation_count |", "| --- | --- | --- |", "| P2 | Replay Baseline Placeholder |  |"]
+    assert text.splitlines() == ["| paper_id | title | citation_count |", "| --- | --- | --- |", "| P2 | Budget Stub |  |"]
     (tmp_path / "a").write_text("x")
     one = P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first()
     (tmp_path / "a").write_text("y")
     assert one.files == 1 and P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first() != one
-    s = P.suites(papers, [E.Case("a", "replay")], "all", healthy=False)
+    s = P.suites(papers, [E.Case("a", "budget")], "all", healthy=False)
     assert {r.suite: r.passed for r in s.collect()} == {"offline": True, "online": False} and P.status(s, {}, {"a": "1"}) == "fail (offline, online), stale"
