@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from paperlake.corpus import complete
 from paperlake.functions import text as X
+from paperlake.operators.storage import shared_dir
 from paperlake.plans.registry import query, table
+from paperlake.plans.scalar_queries import ents
 from paperlake.sources import readers as R
 
 c = F.col
@@ -14,22 +19,47 @@ ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 @query("SRC05_tsv_missing_ids", "SELECT CAST(i AS BIGINT) AS page_id, CAST(i AS BIGINT) NOT IN (SELECT page_id FROM pages) AS missing FROM (VALUES (3), (100000), (1)) v(i)")
 def _(spark, sf):
-    want = spark.createDataFrame([(3,), (100000,), (1,)], "page_id long")
+    """A list of ids from a tab-separated file; ids without a page are named."""
+    path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    spark.createDataFrame([("3", "x"), ("100000", "y"), ("1", "z")], "page_id string, note string").coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    want = R.tsv(spark, path, ("page_id",)).select(c("page_id").cast("long").alias("page_id"))
     have = table(spark, sf, "pages").select("page_id", F.lit(True).alias("h"))
     return want.join(have, "page_id", "left").select("page_id", c("h").isNull().alias("missing"))
 
 
+@query("SRC08_cards", "SELECT page_id, CAST(len(x) AS BIGINT) AS n, array_to_string(x, '|') AS cards FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>(.*?)</a>', 1) AS x FROM pages)")
+def _(spark, sf):
+    x = table(spark, sf, "pages").select("page_id", R.cards(c("html"), "<li>", {"title": "<a [^>]*>(.*?)</a>"}).alias("x"))
+    return x.select("page_id", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda s: s["title"]), "|").alias("cards"))
+
+
+@query("SRC13_complete_listing", "SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(html, '<li>'))) AS BIGINT) AS items FROM pages")
+def _(spark, sf):
+    """All pages as one listing of nav entries: same host, one chain, no entry short."""
+    p = table(spark, sf, "pages")
+    at = lambda n: F.concat(F.lit("https://list.example.org/?page="), n.cast("string"))
+    after = p.select((c("page_id") - 1).alias("page_id"), c("page_id").alias("following"))
+    x = p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).alias("items")).join(after, "page_id", "left")
+    x = x.select(at(c("page_id")).alias("url"), at(c("following")).alias("next"), "items")
+    whole = complete(x, expected=x.agg(F.sum("items")).first()[0])
+    return spark.createDataFrame([(whole["pages"], whole["items"])], "pages long, items long")
+
+
 @query("SRC09_html_blocks", "SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS n, array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 2), '|') AS items FROM pages")
 def _(spark, sf):
     pattern = F.lit('<li><a href="([^"]*)">([^<]*)</a>')
     return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", pattern, F.lit(1))).cast("long").alias("n"), F.array_join(F.regexp_extract_all("html", pattern, F.lit(2)), "|").alias("items"))
 
 
-@query("SRC10_meta", "SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, 'cité' AS author FROM pages")
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+@query("SRC10_meta", f"SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, nullif({ents.format(TITLE)}, '') AS title FROM pages")
 def _(spark, sf):
-    page = F.concat(F.lit('<meta name="citation_author" content="cit&amp;&#39;">'), c("html"))
-    author = F.replace(F.replace(R.meta_value(page, "dc_author", "citation_author"), F.lit("&'"), F.lit("é")), F.lit("x"), F.lit(""))
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", '<meta charset="([^"]*)"', 1).alias("charset"), author.alias("author"))
+    """The second of two names is there, its content before its name."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    page = F.concat(F.lit("<meta content='"), F.replace(title, F.lit("'"), F.lit("&#39;")), F.lit("' name=\"citation_title\">"), c("html"))
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", '<meta charset="([^"]*)"', 1).alias("charset"), R.meta_value(page, "dc_title", "citation_title").alias("title"))
 
 
 @query("SRC11_embedded_json")

@@ -145,6 +145,11 @@ def _(spark, sf):
 COUNT = "CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN n WHEN n >= 1200 THEN 5 WHEN n >= 300 THEN 4 ELSE 3 END"
 
 
+@query("CLU08_store_integrity", "SELECT 'ids unique' AS \"check\", count(*) = count(DISTINCT vec_id) AS passed FROM embeddings UNION ALL SELECT 'dimensions', count(*) FILTER (len(embedding) IS DISTINCT FROM 64) = 0 FROM embeddings UNION ALL SELECT 'finite', count(*) FILTER (NOT coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)) = 0 FROM embeddings")
+def _(spark, sf):
+    return T.intact(table(spark, sf, "embeddings"), 64)
+
+
 @query("CLU02_subcluster_count", f"SELECT source, n, CAST({COUNT} AS INTEGER) AS k FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def _(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(one("n")).withColumn("k", T.subcluster_count(c("n")).cast("int"))

@@ -136,7 +136,7 @@ def cards(html: Column, start: str, fields: dict[str, str]) -> Column:
 
 def corrupt_count(files: DataFrame) -> DataFrame:
     """One row: files and how many of them could not be read as a payload."""
-    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("_corrupt_record").isNotNull() & F.col("papers").isNull()).alias("corrupt"))
 
 
 #: What of a saved API answer is the list of works (fixed values: field names of the APIs).
@@ -179,3 +179,36 @@ def api_works(spark: SparkSession, path: str, api: str) -> DataFrame:
     # a note's fields are values or objects that hold one
     field = lambda name: F.coalesce(F.get_json_object(F.col("content")[name], "$.value"), F.col("content")[name])
     return w.select("path", F.coalesce("id", "forum").alias("id"), squeeze(field("title")).alias("title"), F.from_json(field("authors"), "array<string>").alias("authors"), field("abstract").alias("abstract"), none("string").alias("doi"), none("int").alias("year"), none("long").alias("citation_count"))
+
+
+def with_doi_prefix(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows of one proceedings, all of whose DOIs must start with its prefix."""
+    wrong = F.raise_error(F.concat(F.lit(f"a DOI without {prefix}: "), F.coalesce("doi", F.lit("none")))).cast("string")
+    return rows.withColumn("doi", F.when(F.coalesce(F.col("doi").startswith(prefix), F.lit(False)), F.col("doi")).otherwise(wrong))
+
+
+def first_non_empty(candidates: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame]:
+    """The first of several ways to select the same records that finds any; else the last."""
+    for name, rows in candidates:
+        if not rows.isEmpty():
+            return name, rows
+    return candidates[-1]
+
+
+def largest(candidates: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame]:
+    """The way that finds most records, the first of equals."""
+    sizes = [rows.count() for _, rows in candidates]
+    return candidates[sizes.index(max(sizes))]
+
+
+def write_payloads(records: DataFrame, path: str) -> None:
+    """One JSON payload for each venue and year, in folders by venue and year.
+
+    Lists of papers are put together by venue and year, which editions bound.
+    """
+    fields = [f for f in records.columns if f not in ("venue", "year", "path", "ord", "collected_at")]
+    papers = F.transform(F.array_sort(F.collect_list(F.struct("path", "ord", F.to_json(F.struct(*fields)).alias("p")))), lambda s: s["p"])
+    at = F.to_json(F.struct(F.struct(F.col("venue").alias("venue_code"), F.col("year")).alias("query"), F.max("collected_at").alias("generated_at_utc")))
+    text = F.concat(F.regexp_replace(at, r"\}$", ""), F.lit(',"papers":['), F.array_join(papers, ","), F.lit("]}"))
+    made = records.groupBy("venue", "year").agg(text.alias("value"))
+    made.withColumns({"_venue": F.col("venue"), "_year": F.col("year")}).select("value", "_venue", "_year").write.mode("overwrite").partitionBy("_venue", "_year").text(path)

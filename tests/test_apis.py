@@ -50,3 +50,35 @@ def test_dblp_articles(spark, tmp_path):
     (tmp_path / "d.xml").write_text('<dblp><article key="a/1"><author>Ann</author><title>T.</title><year>2020</year><ee>https://doi.org/10.1/x</ee></article><inproceedings key="c/1"><title>U.</title><year>2020</year></inproceedings></dblp>')
     got = {r.key: (r.kind, r.title, r.doi) for r in readers.dblp(spark, str(tmp_path / "d.xml")).collect()}
     assert got == {"a/1": ("article", "T", "10.1/x"), "c/1": ("inproceedings", "U", None)}
+
+
+def test_payloads_written_are_read_again(spark, tmp_path):
+    rows = [("ICLR", 2024, "a", 0, "T1", ["Ann"]), ("ICLR", 2024, "a", 1, 'T"2', []), ("KDD", 2023, "b", 0, "U", None)]
+    r = spark.createDataFrame(rows, "venue string, year int, path string, ord int, title string, authors array<string>").withColumn("collected_at", F.lit("2024"))
+    readers.write_payloads(r, str(tmp_path / "p"))
+    got = readers.records(readers.payloads(spark, str(tmp_path / "p/*/*/*.txt"))).collect()
+    assert sorted((x.venue, x.year, x.ord, x.title, x.authors or []) for x in got) == sorted((v, y, o, t, a or []) for v, y, _, o, t, a in rows)
+    assert readers.corrupt_count(readers.payloads(spark, str(tmp_path / "p/*/*/*.txt"))).first().asDict() == {"files": 2, "corrupt": 0}
+
+
+def test_ways_to_select_and_prefixes(spark):
+    none, two, three = spark.range(0), spark.range(2), spark.range(3)
+    assert readers.first_non_empty([("a", none), ("b", two), ("c", three)])[0] == "b" and readers.first_non_empty([("a", none)])[0] == "a"
+    assert readers.largest([("a", two), ("b", three), ("c", three)])[0] == "b"
+    d = spark.createDataFrame([("10.1/a",)], "doi string")
+    assert readers.with_doi_prefix(d, "10.1/").count() == 1
+    for bad in ("10.2/a", None):
+        with pytest.raises(Exception, match="without"):
+            readers.with_doi_prefix(spark.createDataFrame([(bad,)], "doi string"), "10.1/").collect()
+
+
+def test_clusters_of_few_vectors_and_checkpoints(spark):
+    from paperlake.operators import topics
+
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in (5, 3, 9)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.topic for r in topics.primary(v, 3).collect()} == {3: 0, 5: 1, 9: 2}
+    assert {r.topic for r in topics.primary(v, 1).collect()} == {0}
+    assert len({r.topic for r in topics.primary(v, 2, n_init=2).collect()}) == 2
+    s = {name: 1 for name in topics.RUN_SETTINGS}
+    assert topics.resumable(s, s) and not topics.resumable(None, s) and not topics.resumable({**s, "k": 2}, s) and not topics.resumable({}, s)
+    assert {r["check"]: r.passed for r in topics.intact(v, 3).collect()} == {"ids unique": True, "dimensions": False, "finite": True}
