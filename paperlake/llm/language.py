@@ -6,8 +6,10 @@ centroid with the largest cosine and is rejected if it lies much further from th
 than nearly all training texts of the language.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_train`` in total): of
-each language's texts of at least FULL grams those of least id hash, or its FEW longest
-texts if it has fewer than that; so every label of a text with a letter has a centroid.
+each language's texts of at least FULL grams those of least hash of id and text, or its FEW
+longest texts if it has fewer than that; so every label of a text with a letter has a
+centroid.  The rows are picked and counted on the executors: the driver gets no text, but at
+most ``max_train`` rows of at most DIMENSIONS counts, however often an id occurs.
 Prediction covers every row and whole texts and sees nothing but the text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected;
@@ -104,7 +106,11 @@ class Model:
 
 def fit(texts: list[str], labels: list[str], k: int = CENTROIDS, rounds: int = 10) -> Model:
     """Several spherical k-means centroids for each label."""
-    tf, total = counts(texts)
+    return fit_counts(*counts(texts), labels, k, rounds)
+
+
+def fit_counts(tf: np.ndarray, total: np.ndarray, labels: list[str], k: int = CENTROIDS, rounds: int = 10) -> Model:
+    """The same from dampened counts and numbers of grams."""
     some = total > 0
     rows, names = tf[some], np.array([x for x, s in zip(labels, some, strict=True) if s], object)
     found = sorted(set(names.tolist()))
@@ -137,7 +143,7 @@ def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lan
     # a text's grams are 3 * (size + 2) - 3
     size = F.char_length(F.trim(F.regexp_replace(F.col(text), r"[^\p{L}]+", " ")))
     rows = docs.filter(usable & F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 30)).alias("h"), size.alias("size")
+        F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(row_id), F.col(text)), F.lit(1 << 30)).alias("h"), size.alias("size")
     )
     full = F.col("size") >= FULL // 3 - 1
     sizes = {r["label"]: r["full"] for r in rows.groupBy("label").agg(F.count_if(full).alias("full"), F.count_if(F.col("size") > 0).alias("some")).filter("some > 0").collect()}
@@ -146,16 +152,31 @@ def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lan
     quota = max(1, max_train // len(sizes))
     few = min(FEW, quota)
     short = sorted(name for name, n in sizes.items() if n < few)
-    # an id hash below the label's threshold admits about twice the quota; the rest is cut below
+    # a hash below the label's threshold admits about twice the quota; the window takes the
+    # quota of those, first in every task, so that equal hashes fill no task either
     limits = [F.when(F.col("label") == name, min(1 << 30, int((2 * quota + 20) / n * (1 << 30)))) for name, n in sorted(sizes.items()) if n >= few]
-    taken = rows.filter(F.col("h") < F.coalesce(*limits)).filter(full).collect() if limits else []
+    least = Window.partitionBy("label").orderBy("h", "text")
+    longest = Window.partitionBy("label").orderBy(F.desc("size"), "h", "text")
+    taken = rows.filter(F.col("h") < F.coalesce(*limits)).filter(full).withColumn("row", F.row_number().over(least)).filter(F.col("row") <= quota) if limits else None
     if short:
-        longest = Window.partitionBy("label").orderBy(F.desc("size"), "h", "text")
-        taken += rows.filter(F.col("label").isin(short) & (F.col("size") > 0)).withColumn("row", F.row_number().over(longest)).filter(F.col("row") <= few).collect()
-    chosen: list = []
-    for name in sorted(sizes):
-        chosen += sorted((r for r in taken if r["label"] == name), key=lambda r: (r["h"], r["text"]))[:quota]
-    return fit([r["text"] for r in chosen], [r["label"] for r in chosen])
+        long_ones = rows.filter(F.col("label").isin(short) & (F.col("size") > 0)).withColumn("row", F.row_number().over(longest)).filter(F.col("row") <= few)
+        taken = long_ones if taken is None else taken.unionByName(long_ones)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 64):
+            out: list[tuple] = []
+            for name, t, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                tf, total = counts([t])
+                at = np.flatnonzero(tf[0]).astype(np.int32)
+                out.append((name, h, int(total[0]), at.tobytes(), tf[0, at].tobytes()))
+            cols = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["label", "h", "total", "ids", "counts"])
+
+    chosen = sorted(taken.select("label", "text", "h").mapInArrow(count, "label string, h long, total long, ids binary, counts binary").collect(), key=lambda r: (r["label"], r["h"], bytes(r["ids"]), bytes(r["counts"])))
+    tf = np.zeros((len(chosen), DIMENSIONS), np.float32)
+    for i, r in enumerate(chosen):
+        tf[i, np.frombuffer(r["ids"], np.int32)] = np.frombuffer(r["counts"], np.float32)
+    return fit_counts(tf, np.array([r["total"] for r in chosen], np.int64), [r["label"] for r in chosen])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), batch: int = 64) -> DataFrame:

@@ -27,6 +27,8 @@ from paperlake.llm.common import sliced
 
 BLOCK, HOP, RATE = 576, 288, 8000
 PEAKS, ZONE = 2, 2
+#: Frames that are transformed at a time.
+FRAMES = 4096
 MIN_MAGNITUDE = 16.0
 _WINDOW = np.hanning(BLOCK).astype(np.float32)
 
@@ -55,9 +57,11 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectrum(samples: bytes) -> np.ndarray:
-    """Magnitudes, frames x bins, of Hann frames of BLOCK samples every HOP."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0
+def spectrum(samples: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Magnitudes, frames x bins, of Hann frames of BLOCK samples every HOP; of ``count``
+    frames from ``first`` on, or of all."""
+    part = samples[first * HOP :] if count is None else samples[first * HOP : (first + count - 1) * HOP + BLOCK]
+    x = np.frombuffer(part, np.uint8).astype(np.float32) - 128.0
     if len(x) < BLOCK:
         return np.zeros((0, BLOCK // 2 + 1), np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(x, BLOCK)[::HOP]
@@ -65,6 +69,24 @@ def spectrum(samples: bytes) -> np.ndarray:
     return np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)
 
 
+def strongest(samples: bytes, peaks: int = PEAKS, at_once: int = FRAMES) -> np.ndarray:
+    """The bins, frames x peaks, of each frame's strongest peaks, -1 where there is none.
+
+    Frames are transformed ``at_once`` at a time, so a long text holds one block's spectrum.
+    """
+    n = max(0, (len(samples) - BLOCK) // HOP + 1)
+    bins = np.full((n, peaks), -1, np.int32)
+    for i in range(0, n, at_once):
+        m = np.rint(spectrum(samples, i, min(at_once, n - i)))
+        core = np.where((m[:, 1:-1] > m[:, :-2]) & (m[:, 1:-1] >= m[:, 2:]) & (m[:, 1:-1] >= MIN_MAGNITUDE), m[:, 1:-1], -1)
+        rows = np.arange(len(core))
+        for k in range(peaks):
+            best = core.argmax(axis=1)
+            bins[i : i + len(core), k] = np.where(core[rows, best] > 0, best + 1, -1)
+            core[rows, best] = -1
+    return bins
+
+
 def fingerprint(samples: bytes, peaks: int = PEAKS, zone: int = ZONE) -> tuple[np.ndarray, np.ndarray]:
     """Times (frame numbers) and codes of all peak pairs, in time order.
 
@@ -72,17 +94,10 @@ def fingerprint(samples: bytes, peaks: int = PEAKS, zone: int = ZONE) -> tuple[n
     with each other and with those of the next ``zone`` frames.  Magnitudes are rounded first, ties go to the
     lower bin.  code = lag << 18 | first bin << 9 | second bin.
     """
-    m = np.rint(spectrum(samples))
-    none = np.zeros(0, np.int32)
-    if not len(m):
+    bins, none = strongest(samples, peaks), np.zeros(0, np.int32)
+    n = len(bins)
+    if not n:
         return none, none
-    core = np.where((m[:, 1:-1] > m[:, :-2]) & (m[:, 1:-1] >= m[:, 2:]) & (m[:, 1:-1] >= MIN_MAGNITUDE), m[:, 1:-1], -1)
-    n, rows = len(core), np.arange(len(core))
-    bins = np.full((n, peaks), -1, np.int32)
-    for k in range(peaks):
-        best = core.argmax(axis=1)
-        bins[:, k] = np.where(core[rows, best] > 0, best + 1, -1)
-        core[rows, best] = -1
     times, codes = [], []
     for lag in range(zone + 1):
         first, second = bins[: max(0, n - lag)], bins[lag:]

@@ -5,7 +5,7 @@ Sizes are counted in words.  Weights are turned into word targets, a target abov
 met by whole passes over it and, for the rest, by a subset of its documents: documents are
 counted by exact size, an equal share of each size is taken, and a bounded-knapsack dynamic
 programme over the left-over counts fills the remaining budget as closely as sizes allow.
-Which documents of a size are taken is decided by a seeded hash of their id.
+Which documents of a size are taken is decided by a seeded hash of their id, then of their text.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; a
 source of size 0 has target 0; documents of size 0 follow their source's share; repeated
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperlake.llm.common import WORD_PATTERN
+from paperlake.llm.common import WORD_PATTERN, cut_table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -95,14 +95,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     by size is fitted in one task per source; it has one row per distinct size.
     """
     h = F.xxhash64(F.col(row_id), F.lit(seed))
-    rows = docs.select(
-        F.struct(*keep).alias("kept"),
+    facts_ = [
         # null sources get a key that no text has
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("-")).alias("key"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"), h.alias("h"), F.col(row_id).alias("row_id"),
-    )
-    buckets = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"), h.alias("h"), F.xxhash64(F.col(text)).alias("tie"),
+    ]
+    # the texts are read once: what follows needs a few numbers of each document, unless the
+    # caller keeps the text itself, which is then read again rather than stored
+    small = text not in keep
+    facts = cut_table(docs.select(*([F.struct(*keep).alias("kept")] if small else []), *facts_), "sizes")
+    rows = facts if small else docs.select(F.struct(*keep).alias("kept"), *facts_)
+    buckets = facts.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     hist = buckets.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sizes = {r["key"]: int(r["words"]) for r in hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     want = targets([(k[1:] if k != "-" else None, n) for k, n in sizes.items()], weights, most) if sizes else {}
@@ -123,10 +127,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     )
     placed = rows.join(quota, ["key", "size", "bucket"])
     whole = placed.filter("quota = 0 or quota = n").withColumn("extra", (F.col("quota") > 0).cast("int"))
-    rank = Window.partitionBy("key", "size", "bucket").orderBy("h", "row_id")
+    rank = Window.partitionBy("key", "size", "bucket").orderBy("h", "tie")
     split = placed.filter("quota > 0 and quota < n").withColumn("extra", (F.row_number().over(rank) <= F.col("quota")).cast("int"))
-    facts = [(k, sizes[k], float(want[k])) for k in sizes]
-    known = docs.sparkSession.createDataFrame(facts, "key string, source_size long, target double")
+    known = docs.sparkSession.createDataFrame([(k, sizes[k], float(want[k])) for k in sizes], "key string, source_size long, target double")
     return (
         whole.unionByName(split)
         .join(F.broadcast(known), "key")

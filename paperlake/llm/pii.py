@@ -5,9 +5,10 @@ national telephone numbers, shorter card numbers, long-form IP addresses, and ba
 that fail their check).  Labelers of three sorts - patterns and checks, gazetteers, context -
 vote for, against or abstain.  The vote patterns of all documents are counted, and
 expectation-maximisation over the counts estimates each labeler's reliability per kind.
-The posteriors, as soft labels, train a logistic span classifier on votes and shape, whose
-verdict on each candidate is final.  Base spans always stay; others are added if accepted
-and clear of every base span.
+The posteriors, as soft labels, train a logistic span classifier on votes and shape, which
+decides on each candidate that passes its kind's check; base matches that fail theirs are
+examples to learn from and never spans.  Base spans always stay; others are added if
+accepted and clear of every base span.
 
 Collected to the driver are counts by discrete feature tuple, a bounded set.  Scanning is
 linear in the text, however long its runs of digits or letters.

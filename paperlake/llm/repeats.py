@@ -19,7 +19,8 @@ Matches never cross documents, overlaps count, and strings are judged on the inp
 
 Defined results: a null text is empty; texts shorter than the length keep all bytes;
 repeated rows are occurrences of their own, so their bytes go if long enough; an empty
-table gives no rows.  K-grams and contexts are compared by 64-bit hashes before bytes.
+table gives no rows.  Contexts count as equal if both their k-gram's and
+their own 64-bit hash agree; all other comparisons are of bytes.
 """
 
 from __future__ import annotations

@@ -60,3 +60,23 @@ def test_no_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in L.language_query(df).collect()] == ["und"]
     assert L.language_query(df.limit(0)).collect() == []
+
+
+def test_one_id_for_all_rows(spark):
+    """Null and repeated ids have one hash of the id: the sample stays bounded and even."""
+    rng = random.Random(3)
+    for one in (None, 7):
+        data = [(one, text(rng, lang, 80), lang) for lang in sorted(SYL) for _ in range(150)]
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        model = L.train(df, ~L.held_out(), max_train=30)
+        assert model.labels == sorted(SYL)
+        right = [model.predict([t])[0][0] == lang for _, t, lang in data]
+        assert sum(right) > 0.95 * len(right)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    data = [(i, text(rng, lang, 60_000 if i == 0 else 80), lang) for i, lang in enumerate(sorted(SYL) * 20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.language_query(df).collect()}
+    assert got == {i: lang for i, _, lang in data}

@@ -32,3 +32,15 @@ def test_a_tone_peaks_at_its_bin():
 
 def test_empty(spark):
     assert M.media_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_texts_are_transformed_in_blocks():
+    import random
+
+    rng = random.Random(4)
+    data = bytes(rng.randrange(256) for _ in range(M.BLOCK * 40))
+    whole = M.strongest(data)
+    assert len(whole) == 79
+    for at_once in (1, 7, 78, 79, 500):
+        assert (M.strongest(data, at_once=at_once) == whole).all()
+    assert M.strongest(b"x").shape == (0, M.PEAKS)
