@@ -49,7 +49,7 @@ from paperlake.llm.common import cut_table, sliced
 DISCOUNTED = 5
 #: Tokens that a task packs at a time, bytes of text for each partition of histories,
 #: partitions of histories for each task and for each partition of words.
-CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 1_000_000, 16_000_000, 2, 4
+CHUNK, PARTITION_BYTES, PER_TASK, PER_WORDS = 1_000_000, 16_000_000, 1, 4
 #: Most words that travel as numbers, bytes of a long text that are split into words at a
 #: time, and documents whose sums a task gathers before it sends them on.
 KNOWN, PIECE, GATHERED = 1 << 18, 1 << 22, 1_000_000
