@@ -342,8 +342,11 @@ def encode(docs: DataFrame, pieces: Pieces, known: dict[str, bytes] | None = Non
     """The documents with an array<int> column of piece ids.
 
     With ``check`` each array is decoded again in the task, and that boolean column says
-    whether the text came back (null for a null text).
+    whether the text came back (null for a null text).  Other columns stay; one that is
+    named like a new one is an error.  An empty table stays empty.
     """
+    if clash := {into, check} & set(docs.columns):
+        raise ValueError(f"the documents have these columns already: {sorted(clash)}")
     known = dictionary(docs, pieces, text) if known is None else known
     shared = docs.sparkSession.sparkContext.broadcast((pieces, known))
     at, width = docs.columns.index(text), len(docs.columns)

@@ -81,3 +81,15 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     p = P.Pieces([("<unk>", 0.0, 2), ("a", -1.0, 1)], P._BPE)
     assert P.encode(df, p).collect() == []
+
+
+def test_clashing_columns_and_empty_table(spark):
+    m = P.Pieces.load(P.MODEL)
+    df = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, ids int")
+    try:
+        P.encode(df, m)
+    except ValueError as e:
+        assert "ids" in str(e)
+    else:
+        raise AssertionError("a clash must be an error")
+    assert P.pieces_query(df.limit(0)).collect() == []
