@@ -13,14 +13,18 @@ suffixes that start at anchors are compared, bucket by bucket:
    occurrences with a common right part; where their left extensions differ, the repeat is
    maximal, and sorting the left parts gives how far each occurrence shares its left with
    any other one, not just with neighbours in the array;
+   a gram of more than ``GROUP_ROWS`` anchors is not held by one task: the strings of its
+   distinct contexts are hashed one by one and counted by a combining aggregate, with the
+   same result;
 4. covered ranges meet the documents again, and what is left is hashed.
 
 Matches never cross documents, overlaps count, and strings are judged on the input.
 
 Defined results: a null text is empty; texts shorter than the length keep all bytes;
 repeated rows are occurrences of their own, so their bytes go if long enough; an empty
-table gives no rows.  Contexts count as equal if both their k-gram's and
-their own 64-bit hash agree; all other comparisons are of bytes.
+table gives no rows.  Contexts, and the strings of grams beyond ``GROUP_ROWS``, count as
+equal if both their k-gram's and their own 64-bit hash agree; all other comparisons are of
+bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from pyspark.sql.window import Window
 from paperlake.llm.common import cut_table, sliced
 
 LENGTH, GRAM = 200, 32
+#: Anchors of one gram whose contexts (some 600 bytes each) one task holds at most.
+GROUP_ROWS = 65_536
 _POSITION_BITS = 24
 _PIECE = 1 << 22
 _RANDOM = np.random.default_rng(20_240_229)
@@ -243,20 +249,46 @@ def compared(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram", "right", "left").mapInArrow(run, "uid long, first long, last long")
 
 
-def repeated_starts(docs: DataFrame, uid: str = "uid", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def counted(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(uid, first, last) as from ``compared``, for contexts of grams too frequent for a task.
+
+    Every string that a context stands for is a row by its hash, at most length - gram + 1
+    of them; those counted twice or more repeat.  No task holds a gram's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 128):
+            cols: list[list[int]] = [[] for _ in range(4)]
+            for gram, right, left, uid, at, first, last in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                data, base = left[::-1] + right, at - len(left)
+                for start in range(first, last + 1):
+                    mark = xxhash.xxh64_intdigest(data[start - base : start - base + length]) - (1 << 63)
+                    for col, v in zip(cols, (gram, mark, uid, start), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gram", "mark", "uid", "start"])
+
+    strings = cut_table(contexts.mapInArrow(run, "gram long, mark long, uid long, start long"), "strings")
+    often = strings.groupBy("gram", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "mark")
+    return strings.join(often, ["gram", "mark"]).select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
+
+
+def repeated_starts(docs: DataFrame, uid: str = "uid", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(uid, first, last): ranges of starts of strings that start elsewhere too."""
     table = anchor_table(docs, uid, text, length, gram)
     same = Window.partitionBy("gram").orderBy("context")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before, after = F.lag("context").over(same), F.lead("context").over(same)
-    x = table.select("*", before.alias("before"), after.alias("after"), (F.first("context").over(whole) != F.last("context").over(whole)).alias("several"))
+    x = table.select("*", before.alias("before"), after.alias("after"), (F.first("context").over(whole) != F.last("context").over(whole)).alias("several"),
+                     (F.count(F.lit(1)).over(whole) > group_rows).alias("hot"))
     twin = F.col("more").isNotNull() | F.col("before").eqNullSafe(F.col("context")) | F.col("after").eqNullSafe(F.col("context"))
     x = x.filter("before is not null or after is not null or more is not null").select(
-        "gram", "uid", "more", "at", "first", "last", twin.alias("twin"), (F.col("several") & ~F.col("before").eqNullSafe(F.col("context"))).alias("ask"))
+        "gram", "uid", "more", "at", "first", "last", twin.alias("twin"), (F.col("several") & ~F.col("before").eqNullSafe(F.col("context"))).alias("ask"), "hot")
     x = cut_table(x, "anchors")
     none = F.array().cast("array<struct<uid:bigint,first:bigint,last:bigint>>")
     twins = x.filter("twin").select(F.explode(F.concat(F.array(F.struct("uid", "first", "last")), F.coalesce("more", none))).alias("s")).select("s.*")
-    return twins.select("uid", "first", "last").unionByName(compared(_contexts(docs, x.filter("ask"), uid, text, length, gram), length))
+    found = twins.select("uid", "first", "last").unionByName(compared(_contexts(docs, x.filter("ask and not hot"), uid, text, length, gram), length))
+    hot = x.filter("ask and hot")
+    return found if hot.isEmpty() else found.unionByName(counted(_contexts(docs, hot, uid, text, length, gram), length))
 
 
 def _remove(data: bytes, ranges: list, length: int) -> tuple[int, int, str]:
@@ -276,10 +308,10 @@ def _remove(data: bytes, ranges: list, length: int) -> tuple[int, int, str]:
     return removed, spans, rest.hexdigest()
 
 
-def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(row_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     marked = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(row_id, text).alias("uid"))
-    found = repeated_starts(marked, "uid", "text", length, gram)
+    found = repeated_starts(marked, "uid", "text", length, gram, group_rows)
     ranges = found.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     rows = marked.select("row_id", F.col("text").cast("binary").alias("data"), "uid").join(ranges, "uid", "left").select("row_id", "data", "ranges")
 

@@ -62,6 +62,16 @@ def test_other_lengths_and_repeated_rows(spark):
     assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
+def test_frequent_grams_are_counted_by_string(spark):
+    line = "one very common line of a good fifty bytes, as it is."
+    texts = corpus()
+    texts += [f"{t[:150]} {line} {t[-150:]}" for t in texts[8:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (0, 10):  # all grams, and the frequent ones alone
+        got = {r["doc_id"]: tuple(r)[1:] for r in R.remove_repeats(df, group_rows=least).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     data = " ".join(corpus()[8:60]).encode()
     whole = R.anchors(data)
