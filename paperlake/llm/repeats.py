@@ -29,7 +29,6 @@ bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -291,39 +290,46 @@ def repeated_starts(docs: DataFrame, uid: str = "uid", text: str = "text", lengt
     return found if hot.isEmpty() else found.unionByName(counted(_contexts(docs, hot, uid, text, length, gram), length))
 
 
-def _remove(data: bytes, ranges: list, length: int) -> tuple[int, int, str]:
-    """Bytes removed, maximal runs removed, hash of the rest."""
-    removed, spans, done, at, rest = 0, 0, -1, 0, hashlib.sha256()
+def _runs(ranges: list, length: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) of the bytes that ranges of starts cover."""
+    runs: list[tuple[int, int]] = []
     for first, last in sorted((r["first"], r["last"]) for r in ranges):
         end = last + length
-        if first > done:
-            rest.update(data[at:first])
-            spans += 1
-            removed += end - first
-            done = at = end
-        elif end > done:
-            removed += end - done
-            done = at = end
-    rest.update(data[at:])
-    return removed, spans, rest.hexdigest()
+        if not runs or first > runs[-1][1]:
+            runs.append((first, end))
+        elif end > runs[-1][1]:
+            runs[-1] = runs[-1][0], end
+    return runs
 
 
-def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(row_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+def strip_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(row_id, n_bytes, spans, kept): each document's removed runs of bytes, as an array of
+    (start, end), end exclusive, and the bytes that are left."""
     marked = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(row_id, text).alias("uid"))
     found = repeated_starts(marked, "uid", "text", length, gram, group_rows)
     ranges = found.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     rows = marked.select("row_id", F.col("text").cast("binary").alias("data"), "uid").join(ranges, "uid", "left").select("row_id", "data", "ranges")
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            data = b.column(1).to_pylist()
-            made = [_remove(d, r or [], length) for d, r in zip(data, b.column(2).to_pylist(), strict=True)]
-            cols = [pa.array([len(d) for d in data], pa.int64()), *(pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [row_id, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            sizes, spans, kept = [], [], []
+            for data, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                runs = _runs(found or [], length)
+                sizes.append(len(data))
+                spans.append([{"start": s, "end": e} for s, e in runs])
+                kept.append(b"".join(data[i:j] for i, j in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)], strict=True)))
+            cols = [pa.array(sizes, pa.int64()), pa.array(spans, run_type), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [row_id, "n_bytes", "spans", "kept"])
 
     kind = docs.schema[row_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{row_id}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, f"`{row_id}` {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(row_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    x = strip_repeats(docs, row_id, text, length, gram, group_rows)
+    return x.select(row_id, "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def repeats_query(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,16 @@ def test_matches_brute_force(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
 
 
+def test_spans_and_kept_bytes(spark):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in R.strip_repeats(df).collect():
+        data, spans = (texts[r["doc_id"]] or "").encode(), [tuple(s) for s in r["spans"]]
+        assert all(a < b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+        gone = {i for a, b in spans for i in range(a, b)}
+        assert bytes(r["kept"]) == bytes(c for i, c in enumerate(data) if i not in gone)
+
+
 def test_other_lengths_and_repeated_rows(spark):
     texts = corpus()[8:40]
     df = spark.createDataFrame([(5, texts[0]), (5, texts[0]), *((100 + i, t) for i, t in enumerate(texts[1:]))], "doc_id long, text string")
