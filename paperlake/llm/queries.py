@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import katz, language, media, mixing, nearest, passages, pieces, pii, repeats, simhash
+from paperlake.llm import katz, language, manifest, media, mixing, nearest, passages, pieces, pii, repeats, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_katz_backoff": _table("documents", katz.katz_query),
         "op9_personal_data": _table("documents", pii.pii_query),
         "op10_repeat_removal": _table("documents", repeats.repeats_query),
+        "op11_merkle_manifest": _table("documents", manifest.manifest_query),
     }
 
 
@@ -38,5 +39,47 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""",
+        "op11_merkle_manifest": """
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, concat(
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head, text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS d,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 AND text IS NOT NULL THEN sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS changed
+  FROM field),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+node AS (
+  SELECT 0 AS level, lang, i, n, d FROM placed
+  UNION ALL
+  SELECT level + 1, lang, i // 8, max(n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY level, lang, i // 8),
+sub AS (SELECT lang, d, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+over AS (
+  SELECT 0 AS level, i, n, d FROM sub
+  UNION ALL
+  SELECT level + 1, i // 8, max(n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 8),
+climb AS (
+  SELECT i AS leaf_at, lang, 0 AS level, i, n, '' AS proof, coalesce(changed, d) AS now FROM placed
+  UNION ALL
+  SELECT c.leaf_at, c.lang, c.level + 1, any_value(c.i) // 8, any_value(c.n + 7) // 8,
+    any_value(c.proof) || coalesce(string_agg(CASE WHEN x.i <> c.i THEN x.d END, '' ORDER BY x.i), ''),
+    sha256(string_agg(CASE WHEN x.i = c.i THEN c.now ELSE x.d END, '' ORDER BY x.i))
+  FROM climb c JOIN node x ON x.level = c.level AND x.lang IS NOT DISTINCT FROM c.lang AND x.i // 8 = c.i // 8
+  WHERE c.n > 1 GROUP BY c.leaf_at, c.lang, c.level),
+high AS (
+  SELECT c.leaf_at, c.lang, 0 AS level, s.i, s.n, c.proof, c.now FROM climb c JOIN sub s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.leaf_at, c.lang, c.level + 1, any_value(c.i) // 8, any_value(c.n + 7) // 8,
+    any_value(c.proof) || coalesce(string_agg(CASE WHEN x.i <> c.i THEN x.d END, '' ORDER BY x.i), ''),
+    sha256(string_agg(CASE WHEN x.i = c.i THEN c.now ELSE x.d END, '' ORDER BY x.i))
+  FROM high c JOIN over x ON x.level = c.level AND x.i // 8 = c.i // 8
+  WHERE c.n > 1 GROUP BY c.leaf_at, c.lang, c.level)
+SELECT p.doc_id, p.d AS leaf, s.d AS subroot, r.d AS root, sha256(h.proof) AS proof_sha256, h.now AS folded_root, h.now = r.d AS verified
+FROM placed p JOIN high h ON h.leaf_at = p.i AND h.lang IS NOT DISTINCT FROM p.lang AND h.n = 1
+JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT d FROM over WHERE n = 1) r
 """,
     }
