@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import katz, language, manifest, media, mixing, nearest, passages, pieces, pii, repeats, simhash
+from paperlake.llm import divergence, katz, language, manifest, media, mixing, nearest, passages, pieces, pii, repeats, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": _table("documents", pii.pii_query),
         "op10_repeat_removal": _table("documents", repeats.repeats_query),
         "op11_merkle_manifest": _table("documents", manifest.manifest_query),
+        "op13_source_divergence": _table("documents", divergence.divergence_query),
     }
 
 
@@ -81,5 +82,33 @@ high AS (
 SELECT p.doc_id, p.d AS leaf, s.d AS subroot, r.d AS root, sha256(h.proof) AS proof_sha256, h.now AS folded_root, h.now = r.d AS verified
 FROM placed p JOIN high h ON h.leaf_at = p.i AND h.lang IS NOT DISTINCT FROM p.lang AND h.n = 1
 JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT d FROM over WHERE n = 1) r
+""",
+        "op13_source_divergence": r"""
+WITH token AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents),
+word AS (SELECT row, lang, source, unnest(found) AS term FROM token),
+kept AS (SELECT lang, term, count(*) AS total FROM word GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+pair_of AS (SELECT DISTINCT lang, source FROM token),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM word w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+mass AS (SELECT lang, source, sum(n) AS n FROM counted GROUP BY lang, source),
+share AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(m.n, 0) + 5 * l.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS BIGINT) AS q
+  FROM pair_of g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN mass m ON m.lang = g.lang AND m.source = g.source
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+away AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM pair_of a JOIN pair_of b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN away d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+found AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM share WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM found))
+WHERE part = 'pair' OR rank <= 50
 """,
     }
