@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import divergence, katz, language, manifest, media, mixing, nearest, passages, pieces, pii, repeats, simhash
+from paperlake.llm import divergence, katz, language, manifest, media, mixing, nearest, passages, pieces, pii, quality, repeats, simhash
 
 
 def _table(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": _table("documents", pii.pii_query),
         "op10_repeat_removal": _table("documents", repeats.repeats_query),
         "op11_merkle_manifest": _table("documents", manifest.manifest_query),
+        "op12_quality_rules": lambda spark, sf_dir: quality.quality_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op13_source_divergence": _table("documents", divergence.divergence_query),
     }
 
@@ -83,6 +84,7 @@ SELECT p.doc_id, p.d AS leaf, s.d AS subroot, r.d AS root, sha256(h.proof) AS pr
 FROM placed p JOIN high h ON h.leaf_at = p.i AND h.lang IS NOT DISTINCT FROM p.lang AND h.n = 1
 JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT d FROM over WHERE n = 1) r
 """,
+        "op12_quality_rules": lambda spark, sf_dir: quality.quality_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op13_source_divergence": r"""
 WITH token AS (
   SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
