@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlake.operators.storage import cut
+
 
 def survivor_score(big: list[Column], small: list[Column], repaired: Column) -> Column:
     """+6 for each populated main field, +2 for each further one, +1 if repaired."""
@@ -54,29 +56,56 @@ def _flag(name: str):
     return lambda r: F.coalesce(r[name], F.lit(False))
 
 
-def unique_matches(old_ids: DataFrame, new_ids: DataFrame, method: str) -> DataFrame:
+def greedy(edges: DataFrame) -> DataFrame:
+    """(old, new, ambiguous): each new row in turn takes the one old row it can still have.
+
+    ``edges``: distinct (old, new).  Equal to a loop over the new rows in order: a row's turn
+    has come when no earlier undecided row wants any of its old rows.  All rows whose turn has
+    come are settled at once and their old rows leave; this repeats until no edge is left, so
+    there are as many rounds as the longest chain of rows that wait for each other, mostly
+    one.  A row that meets several free old rows at its turn is ambiguous and takes the least.
+    """
+    left, parts = edges, []
+    while True:
+        first = left.groupBy("old").agg(F.min("new").alias("_first"))
+        own = Window.partitionBy("new")  # a record has few identifiers
+        turn = F.min(F.col("new") == F.col("_first")).over(own)
+        marked = cut(left.join(first, "old").select("old", "new", turn.alias("_turn"), F.min("old").over(own).alias("_least"), (F.count(F.lit(1)).over(own) > 1).alias("ambiguous")))
+        taken = marked.filter(F.col("_turn") & (F.col("old") == F.col("_least"))).select("old", "new", "ambiguous")
+        parts.append(taken)
+        waiting = marked.filter(~F.col("_turn")).select("old", "new")
+        if waiting.isEmpty():
+            break
+        left = waiting.join(taken, "old", "left_anti")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def unique_matches(old_ids: DataFrame, new_ids: DataFrame, method: str, done: DataFrame | None = None) -> DataFrame:
     """(old, new, method, ambiguous) over identifiers that are unique in the old snapshot.
 
-    ``old_ids``: old, id; ``new_ids``: new, id.  A new row that meets several old ones is
-    ambiguous; an old row wanted by several new ones goes to the first.
+    ``old_ids``: old, id; ``new_ids``: new, id.  Rows matched in ``done`` take no part, but an
+    identifier that one of them shares is not unique.
     """
-    once = old_ids.groupBy("id").agg(F.min("old").alias("old"), F.countDistinct("old").alias("_n")).filter("_n = 1").drop("_n")
-    found = new_ids.join(once, "id").groupBy("new").agg(F.min("old").alias("old"), (F.countDistinct("old") > 1).alias("ambiguous"))
-    taken = found.withColumn("_r", F.row_number().over(Window.partitionBy("old").orderBy("new"))).filter("_r = 1").drop("_r")
-    return taken.select("old", "new", F.lit(method).alias("method"), "ambiguous")
+    hashed = F.sha2(F.col("id"), 256)  # identifiers may be long
+    o, n = old_ids.select("old", hashed.alias("id")), new_ids.select("new", hashed.alias("id"))
+    once = o.groupBy("id").agg(F.min("old").alias("old"), F.max("old").alias("_last")).filter("old = _last").drop("_last")
+    if done is not None:
+        once, n = once.join(done, "old", "left_anti"), n.join(done, "new", "left_anti")
+    return greedy(n.join(once, "id").select("old", "new").distinct()).select("old", "new", F.lit(method).alias("method"), "ambiguous")
 
 
 def reconcile(old: DataFrame, new: DataFrame, passes: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """(old, new, method, ambiguous): matches by priority, each row of a side used once.
 
-    ``passes``: (method, old ids, new ids); later passes see only rows left unmatched.
+    ``passes``: (method, old ids, new ids); later passes match only rows left over.
     Rows without a partner come out as ``added`` or ``removed``.
     """
     done: DataFrame | None = None
     for method, o, n in passes:
-        if done is not None:
-            o, n = o.join(done, "old", "left_anti"), n.join(done, "new", "left_anti")
-        m = unique_matches(o, n, method)
+        m = unique_matches(o, n, method, done)
         done = m if done is None else done.unionByName(m)
     none = F.lit(None).cast("long")
     added = new.join(done, "new", "left_anti").select(none.alias("old"), "new", F.lit("added").alias("method"), F.lit(False).alias("ambiguous"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if holder.isEmpty():
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="paperlake-"))
     return configured or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for a frame that is read several times; it survives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

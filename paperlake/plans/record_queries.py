@@ -8,6 +8,7 @@ from paperlake.functions import ids as I
 from paperlake.functions import text as X
 from paperlake.operators import dedupe as D
 from paperlake.operators import relational as R
+from paperlake.operators.storage import cut
 from paperlake.plans.aggregate_queries import KEY, PCT, QUALITY, quality
 from paperlake.plans.registry import PAPERS_SQL, papers, query, table
 
@@ -100,17 +101,23 @@ OLD = f"WITH {PAPERS_SQL}, o AS (SELECT paper_id AS old, {KEY} AS k, title FROM
 UO = "(SELECT k AS id, min(old) AS old FROM o WHERE k <> '' GROUP BY k HAVING count(DISTINCT old) = 1)"
 M1 = f"m1 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM n JOIN {UO} u ON n.k = u.id) GROUP BY old)"
 MR = "mr AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM m1)) n JOIN (SELECT id, min(old) AS old FROM pol WHERE old NOT IN (SELECT old FROM m1) GROUP BY id HAVING count(DISTINCT old) = 1) u ON n.title = u.id) GROUP BY old)"
-M2 = "d2 AS (SELECT old, new FROM m1 UNION ALL SELECT old, new FROM mr), m2 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM d2)) n JOIN (SELECT title, min(old) AS old FROM o WHERE old NOT IN (SELECT old FROM d2) GROUP BY title HAVING count(DISTINCT old) = 1) u ON n.title = u.title) GROUP BY old)"
+M2 = "d2 AS (SELECT old, new FROM m1 UNION ALL SELECT old, new FROM mr), m2 AS (SELECT old, min(new) AS new FROM (SELECT n.new, u.old FROM (SELECT * FROM n WHERE new NOT IN (SELECT new FROM d2)) n JOIN (SELECT title, min(old) AS old FROM o GROUP BY title HAVING count(DISTINCT old) = 1) u ON n.title = u.title) WHERE old NOT IN (SELECT old FROM d2) GROUP BY old)"
 ALL = f"{OLD}, {M1}, {MR}, {M2}, d3 AS (SELECT old, new FROM d2 UNION ALL SELECT old, new FROM m2), r AS (SELECT old, new, 'stable_id' AS method FROM m1 UNION ALL SELECT old, new, 'approved_retitle' FROM mr UNION ALL SELECT old, new, 'exact_title' FROM m2 UNION ALL SELECT NULL, new, 'added' FROM n WHERE new NOT IN (SELECT new FROM d3) UNION ALL SELECT old, NULL, 'removed' FROM o WHERE old NOT IN (SELECT old FROM d3))"
 
 
 def reconciled(spark, sf):
     """All three passes: identifiers, approved retitles, equal titles."""
     p = papers(spark, sf)
-    o = p.select(c("paper_id").alias("old"), X.title_key("title").alias("k"), "title")
-    n = p.select((c("paper_id") + 100000).alias("new"), F.when(c("venue") == "DE", F.concat(F.lit("New "), "title")).otherwise(c("title")).alias("title")).withColumn("k", X.title_key("title"))
-    policy = p.filter("citation_count = 1").select(c("paper_id").alias("old"), c("title").alias("old_title"), F.concat(F.lit("New "), "title").alias("new_title"))
-    by_key = lambda x, s: x.filter("k <> ''").select(s, c("k").alias("id"))
+    # titles and keys are compared by their hashes, so that the texts are read once
+    same = lambda x: F.sha2(x, 256)
+    renamed = F.concat(F.lit("New "), "title")
+    both = p.select("paper_id", "citation_count", "title", F.when(c("venue") == "DE", renamed).otherwise(c("title")).alias("later"), renamed.alias("approved"))
+    keyed = lambda t: F.when(X.title_key(t) != "", same(X.title_key(t)))
+    both = cut(both.select("paper_id", "citation_count", keyed("title").alias("k"), same("title").alias("title"), keyed("later").alias("later_k"), same("later").alias("later"), same("approved").alias("approved")))
+    o = both.select(c("paper_id").alias("old"), "k", "title")
+    n = both.select((c("paper_id") + 100000).alias("new"), c("later_k").alias("k"), c("later").alias("title"))
+    policy = both.filter("citation_count = 1").select(c("paper_id").alias("old"), c("title").alias("old_title"), c("approved").alias("new_title"))
+    by_key = lambda x, s: x.filter("k is not null").select(s, c("k").alias("id"))
     by_title = lambda x, s: x.select(s, c("title").alias("id"))
     passes = [("stable_id", by_key(o, "old"), by_key(n, "new")), ("approved_retitle", *D.retitle_ids(o, n, policy)), ("exact_title", by_title(o, "old"), by_title(n, "new"))]
     return D.settled(D.reconcile(o.select("old"), n.select("new"), passes))

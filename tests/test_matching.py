@@ -69,6 +69,49 @@ def test_retitles_need_the_old_title_and_ambiguity_stops(spark):
         D.settled(D.reconcile(o.select("old"), n.select("new"), [("stable_id", *ids)])).collect()
 
 
+def sequential(old_ids, new_ids):
+    """One new row after the other; ambiguous rows take the least old row."""
+    owners = {}
+    for old, i in old_ids:
+        owners.setdefault(i, set()).add(old)
+    unique = {i: next(iter(o)) for i, o in owners.items() if len(o) == 1}
+    used, out = set(), {}
+    for new in sorted({n for n, _ in new_ids}):
+        free = {unique[i] for n, i in new_ids if n == new and i in unique} - used
+        if free:
+            out[new] = (min(free), len(free) > 1)
+            used.add(min(free))
+    return out
+
+
+def test_each_old_row_is_taken_once_in_the_order_of_the_new_rows(spark):
+    old = [(1, "x"), (2, "y")]
+    new = [(11, "x"), (12, "x"), (12, "y")]
+    ids = spark.createDataFrame(old, "old long, id string"), spark.createDataFrame(new, "new long, id string")
+    m = D.settled(D.reconcile(ids[0].select("old"), ids[1].select("new").distinct(), [("stable_id", *ids)]))
+    assert {(r.old, r.new, r.method) for r in m.collect()} == {(1, 11, "stable_id"), (2, 12, "stable_id")}
+
+
+def test_greedy_rounds_equal_a_loop(spark):
+    chain = [(i, f"c{i}") for i in range(12)], [x for i in range(12) for x in ((100 + i, f"c{i}"), (101 + i, f"c{i}"))]
+    hub = [(1, "h"), (2, "g")], [(n, "h") for n in range(50)] + [(49, "g")]
+    cases = [chain, hub]
+    for seed in range(4):
+        rng = random.Random(seed)
+        cases.append(([(rng.randrange(40), f"i{rng.randrange(50)}") for _ in range(60)], [(rng.randrange(60), f"i{rng.randrange(50)}") for _ in range(90)]))
+    for old, new in cases:
+        got = D.unique_matches(spark.createDataFrame(old, "old long, id string"), spark.createDataFrame(new, "new long, id string"), "m").collect()
+        assert {r.new: (r.old, r.ambiguous) for r in got} == sequential(old, new)
+
+
+def test_a_title_that_a_matched_old_row_shares_is_not_unique(spark):
+    old = spark.createDataFrame([(1, "k1", "T"), (2, "k2", "T")], "old long, k string, t string")
+    new = spark.createDataFrame([(11, "k1", "U"), (12, "k9", "T")], "new long, k string, t string")
+    ids = lambda x, s, c: x.select(s, F.col(c).alias("id"))
+    m = D.reconcile(old.select("old"), new.select("new"), [(c, ids(old, "old", c), ids(new, "new", c)) for c in ("k", "t")])
+    assert {(r.old, r.new, r.method) for r in m.collect()} == {(1, 11, "k"), (2, None, "removed"), (None, 12, "added")}
+
+
 def test_array_functions(spark):
     one = lambda x: spark.range(1).select(x.alias("v")).first().v
     assert one(X.distinct_folded(F.array(*[F.lit(v) for v in (" b", "A", "a", "", "B ", "c")]))) == ["b", "A", "c"]
