@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.functions.ids import sorted_json
 from paperlake.operators import evaluate as E
+from paperlake.operators import index as N
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.streaming.upsert import read_table, write_version
@@ -27,18 +28,24 @@ def children(papers: DataFrame, name: str) -> DataFrame:
 
 def build(papers: DataFrame, path: str) -> None:
     """All tables of the catalog from canonical papers."""
-    made = {"papers": papers.drop(*LISTS, "source_ids"), "postings": S.postings(papers).repartition("term").sortWithinPartitions("term"), "lengths": S.document_lengths(papers)}
+    made = {"papers": papers.drop(*LISTS, "source_ids")}
     made |= {name: children(papers, name) for name in LISTS}
     made["source_ids"] = papers.select("paper_id", F.explode("source_ids").alias("source_key", "source_value"))
     for name in sorted(made, key="papers".__eq__):  # the papers come last
         write_version(made[name], f"{path}/{name}")
+    reindex(papers.sparkSession, path)
 
 
-def reindex(spark: SparkSession, path: str) -> None:
-    """The index tables anew from the stored papers."""
-    p = load(spark, path, "papers")
-    write_version(S.postings(p).repartition("term").sortWithinPartitions("term"), f"{path}/postings")
-    write_version(S.document_lengths(p), f"{path}/lengths")
+def reindex(spark: SparkSession, path: str) -> N.Index:
+    """The index brought up to date with the stored papers; only what changed is read anew."""
+    return N.refresh(load(spark, path, "papers"), f"{path}/index")
+
+
+def index_of(spark: SparkSession, path: str) -> N.Index:
+    found = N.read(spark, f"{path}/index")
+    if found is None:
+        raise FileNotFoundError(f"{path} has no index: build the catalog first")
+    return found
 
 
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -55,7 +62,7 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.lit("total").alias("kind"), F.lit("").alias("name")), F.struct(F.lit("status").alias("kind"), F.col("record_status").alias("name")),
         F.struct(F.lit("venue-year").alias("kind"), F.concat_ws("-", "venue", F.col("year").cast("string")).alias("name"))))
     out = p.select(rows.alias("r")).groupBy("r.kind", "r.name").agg(F.count(F.lit(1)).alias("n")).select("kind", "name", "n")
-    return out.unionByName(load(spark, path, "lengths").agg(F.count(F.lit(1)).alias("n")).select(F.lit("indexed").alias("kind"), F.lit("").alias("name"), "n"))
+    return out.unionByName(spark.createDataFrame([("indexed", "", index_of(spark, path).n)], "kind string, name string, n long"))
 
 
 def validate(spark: SparkSession, path: str, papers: DataFrame) -> DataFrame:
@@ -63,7 +70,8 @@ def validate(spark: SparkSession, path: str, papers: DataFrame) -> DataFrame:
     stored = load(spark, path, "papers")
     raw = papers.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.size(c)).alias(c) for c in LISTS])
     row = raw.crossJoin(stored.agg(F.count(F.lit(1)).alias("m"), F.countDistinct("paper_id").alias("u"), F.count_if(F.trim("title") == "").alias("blank")))
-    row = row.crossJoin(load(spark, path, "lengths").agg(F.count(F.lit(1)).alias("indexed")))
+    row = row.crossJoin(index_of(spark, path).texts().join(stored.select("paper_id"), "paper_id", "left_semi").agg(F.count(F.lit(1)).alias("found")))
+    row = row.withColumn("indexed", F.when(F.col("found") == index_of(spark, path).n, F.col("found")))
     checks: list[tuple[str, Column]] = [("papers", F.col("n") == F.col("m")), ("ids unique", F.col("m") == F.col("u")), ("titles", F.col("blank") == 0), ("index aligned", F.col("m") == F.col("indexed"))]
     for c in LISTS:
         row = row.crossJoin(load(spark, path, c).agg(F.count(F.lit(1)).alias(f"{c}_n")))
@@ -72,22 +80,11 @@ def validate(spark: SparkSession, path: str, papers: DataFrame) -> DataFrame:
 
 
 def search(spark: SparkSession, path: str, text: str, filters: S.Filters | None = None, by: str = "bm25", top_k: int = 20, offset: int = 0) -> DataFrame:
-    """One page of hits from the stored index, lists read for the page alone.
-
-    Only the query's terms are read from the postings, which are sorted by term.
-    """
-    terms = S.query_tokens(text)
-    post = load(spark, path, "postings").filter(F.col("term").isin(terms))
-    size = load(spark, path, "lengths")
-    total = size.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    x = post.join(F.broadcast(df), "term").join(size, "paper_id").crossJoin(F.broadcast(total))
-    idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(S.LEAST_IDF)).otherwise(idf)
-    part = idf * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("dl") / F.col("_avg")))
-    hits = x.groupBy("paper_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_terms")).filter(F.col("_terms") == len(terms)).drop("_terms")
-    rows = load(spark, path, "papers").filter((filters or S.Filters()).condition()).join(hits, "paper_id")
-    return hydrate(spark, path, S.page(rows, S.order(by), top_k, offset), ("authors", "keywords"))
+    """One page of hits from the stored index; texts and lists are read for the page alone."""
+    papers = load(spark, path, "papers")
+    wide = ["title", "abstract"]
+    page = S.page(N.find(papers.drop(*wide), index_of(spark, path), text, filters), S.order(by), top_k, offset)
+    return hydrate(spark, path, N.with_columns(page, papers, "paper_id", wide).select(*papers.columns, "score", "rank"), ("authors", "keywords"))
 
 
 def hydrate(spark: SparkSession, path: str, page: DataFrame, lists: tuple[str, ...]) -> DataFrame:
@@ -122,9 +119,9 @@ def write_tsv(rows: DataFrame, path: str, order: list[str]) -> None:
 def doctor(spark: SparkSession, path: str, vectors: DataFrame | None = None) -> DataFrame:
     """(check, severity, passed): table readability, index alignment, vector coverage."""
     rows: list[tuple[str, str, bool]] = []
-    for name in ("papers", "postings", "lengths", *LISTS, "source_ids"):
+    for name in ("papers", "index", *LISTS, "source_ids"):
         try:
-            load(spark, path, name).limit(1).collect()
+            (index_of(spark, path).texts() if name == "index" else load(spark, path, name)).limit(1).collect()
             rows.append((f"table {name}", "error", True))
         except Exception:  # noqa: BLE001  any failure to read is the finding
             rows.append((f"table {name}", "error", False))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import spaced_key
+from paperlake.operators import index as N
 from paperlake.operators import search as S
 
 
@@ -75,13 +76,16 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def run_cases(papers: DataFrame, cases: list[Case], index: S.Index | None = None) -> DataFrame:
+def run_cases(papers: DataFrame, cases: list[Case], index: N.Index | None = None) -> DataFrame:
     """(case_id, requested_mode, total, passed), one row per case, in one lazy union; from
     the stored index if there is one, else by a scan of the texts for each case."""
     out: DataFrame | None = None
     for case in cases:
-        hits = S.bm25(papers, case.query, case.filters) if index is None else S.find(papers, index, case.query, case.filters)
-        top = hits.orderBy(*S.order("bm25")).limit(case.top_k).agg(F.count(F.lit(1)).alias("total"), F.collect_list("title").alias("titles"))
+        hits = S.bm25(papers, case.query, case.filters) if index is None else N.find(papers.drop("title", "abstract"), index, case.query, case.filters)
+        top = hits.orderBy(*S.order("bm25")).limit(case.top_k)
+        if index is not None:  # titles of the page alone
+            top = N.with_columns(top, papers, index.key, ["title"])
+        top = top.agg(F.count(F.lit(1)).alias("total"), F.collect_list("title").alias("titles"))
         passed = (F.col("total") >= case.expect_min_results) & expectations(F.col("titles"), case.any_fragments, case.all_fragments)
         row = top.select(F.lit(case.case_id).alias("case_id"), F.lit(case.mode).alias("requested_mode"), "total", passed.alias("passed"))
         out = row if out is None else out.unionByName(row)

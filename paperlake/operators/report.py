@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate as E
-from paperlake.operators import search as S
+from paperlake.operators import index as N
 
 #: Files up to this size are fingerprinted by content, larger ones by size and time.
 CONTENT_BYTES = 4 << 20
@@ -42,7 +42,7 @@ def failed_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("status") == "failed")
 
 
-def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healthy: bool = True, index: S.Index | None = None) -> DataFrame:
+def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healthy: bool = True, index: N.Index | None = None) -> DataFrame:
     """(suite, cases, passed): offline forces plain search; online runs only if healthy."""
     if which not in ("offline", "online", "all"):
         raise ValueError(f"unknown suite {which}")

@@ -1,8 +1,11 @@
-"""Full-text search: index tables, boolean AND match, BM25, filters, paging, candidates.
+"""Full-text search: query phrases, boolean AND match, BM25, filters, paging, candidates.
 
-Tokens are runs of letters and digits, lower-cased, Latin accents folded.  Every query
-token is a literal AND term.  N, document frequencies and the average length are those of
-the whole table, whatever filters a search has.
+Tokens are runs of letters and digits, lower-cased, Latin accents folded.  Every word of a
+query is a literal AND term; parts of a word joined by ``_`` form a phrase, which occurs where
+they stand next to each other in one field, and counts as one term.  N, document frequencies
+and the average length are those of the whole table, whatever filters a search has.
+
+The functions here scan the texts; ``index.py`` has the stored index.
 """
 
 from __future__ import annotations
@@ -10,8 +13,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,26 +38,32 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def query_tokens(text: str) -> list[str]:
-    """The query's distinct terms in order; a query without any is an error."""
-    src, dst = _accents()
-    found = re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(src, dst)))
-    if not found:
-        raise ValueError("the query has no token")
-    return list(dict.fromkeys(found))
+@cache
+def _folding() -> dict[int, str]:
+    return str.maketrans(*_accents())
 
 
-def document(title: str = "title", abstract: str = "abstract") -> Column:
-    return F.concat_ws(" ", title, abstract)
+def fold_text(text: str) -> str:
+    """``fold`` for one string."""
+    low = text.lower()
+    return low if low.isascii() else low.translate(_folding())
+
 
+def query_phrases(text: str) -> list[tuple[str, ...]]:
+    """The query's words in order, repeats included; each is a phrase of one or more terms.
 
-def postings(papers: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(term, key, tf): the inverted index; write it partitioned or bucketed by term."""
-    return papers.select(key, F.explode(tokens(document())).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    Words are runs of letters, digits and ``_``; the parts between ``_`` must stand next to
+    each other.  A query without a word is an error; a word without a part asks for nothing.
+    """
+    words = re.findall(r"\w+", text)
+    if not words:
+        raise ValueError("the query has no token")
+    found = (tuple(re.findall(r"[^\W_]+", fold_text(w))) for w in words)
+    return [p for p in found if p]
 
 
-def document_lengths(papers: DataFrame, key: str = "paper_id") -> DataFrame:
-    return papers.select(key, F.size(tokens(document())).cast("long").alias("dl"))
+def document(title: str = "title", abstract: str = "abstract") -> Column:
+    return F.concat_ws(" ", title, abstract)
 
 
 @dataclass(frozen=True)
@@ -84,114 +94,53 @@ class Filters:
         return c
 
 
-def _term_counts(papers: DataFrame, terms: list[str]) -> DataFrame:
-    """Papers with dl and one tf column per term: no shuffle, whatever the corpus."""
-    x = papers.withColumn("_t", tokens(document()))
-    for i, t in enumerate(terms):
-        x = x.withColumn(f"_tf{i}", F.size(F.filter("_t", lambda v: v == t)))  # noqa: B023
-    return x.withColumn("dl", F.size("_t")).drop("_t")
+def all_of(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def weight(tf: Column, dl: Column, df: Column, n: Column, average: Column) -> Column:
+    """What a phrase adds to a match."""
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+
+
+def _count(phrase: tuple[str, ...]) -> Column:
+    """How often a phrase occurs in the token lists ``_t0`` (title) and ``_t1`` (abstract)."""
+    def here(name: str) -> Column:
+        return F.size(F.filter(name, lambda v, i: all_of([(v if k == 0 else F.coalesce(F.get(F.col(name), i + k), F.lit(""))) == t for k, t in enumerate(phrase)])))
+
+    return here("_t0") + here("_t1")
 
 
 def matches(papers: DataFrame, text: str, filters: Filters | None = None) -> DataFrame:
-    """Papers that hold every term and pass the filters."""
-    terms = query_tokens(text)
-    has_all = F.lit(True)
-    for t in terms:
-        has_all = has_all & F.array_contains(tokens(document()), t)
-    return papers.filter((filters or Filters()).condition()).filter(has_all)
+    """Papers that hold every phrase and pass the filters, by a scan."""
+    x = papers.filter((filters or Filters()).condition()).withColumns({"_t0": tokens(F.col("title")), "_t1": tokens(F.col("abstract"))})
+    phrases = query_phrases(text)
+    return x.filter(all_of([_count(p) > 0 for p in phrases]) if phrases else F.lit(False)).drop("_t0", "_t1")
 
 
 def bm25(papers: DataFrame, text: str, filters: Filters | None = None) -> DataFrame:
-    """Matching papers with their score (lower is better).
+    """Matching papers with their score (lower is better), by a scan of all texts.
 
     Global figures come from one aggregation to a single row, joined by broadcast.
     """
-    terms = query_tokens(text)
-    counted = _term_counts(papers, terms)
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))]
-    )
-    hit = F.lit(True)
+    asked = query_phrases(text)
+    phrases = list(dict.fromkeys(asked))
+    x = papers.withColumns({"_t0": tokens(F.col("title")), "_t1": tokens(F.col("abstract"))})
+    counted = x.withColumns({f"_tf{i}": _count(p) for i, p in enumerate(phrases)}).withColumn("dl", F.size("_t0") + F.size("_t1")).drop("_t0", "_t1")
+    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
+    hit = all_of([F.col(f"_tf{i}") > 0 for i in range(len(phrases))]) if phrases else F.lit(False)
     total = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        idf = F.ln((F.col("_n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        total = total - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-        hit = hit & (tf > 0)
+    for i, p in enumerate(phrases):
+        total = total - asked.count(p) * weight(F.col(f"_tf{i}"), F.col("dl"), F.col(f"_df{i}"), F.col("_n"), F.col("_avg"))
     rows = counted.filter((filters or Filters()).condition()).filter(hit).crossJoin(F.broadcast(stats))
     return rows.select(*papers.columns, total.alias("score"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """Stored tables of a corpus: postings (term, key, tf, dl), terms (term, df), and one row
-    of totals (n, avg)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    totals: DataFrame
-    key: str = "paper_id"
-
-
-def write_index(papers: DataFrame, path: str, key: str = "paper_id") -> None:
-    """Writes the index tables from one pass over the texts.
-
-    Postings stay dealt out by term and paper, as they were counted, so that one shuffle is
-    enough and a frequent term spreads over all files; every file is sorted by term, so that
-    a search reads only the row groups of its terms.
-    """
-    spark = papers.sparkSession
-    words = tokens(document())
-    # the length before the explode, else it is counted again for every token
-    each = papers.select(key, words.alias("_t")).withColumn("dl", F.size("_t").cast("long")).select(key, "dl", F.explode_outer("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("term").alias("tf"))
-    each.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    # a paper without a token has one row, of a null term
-    stored.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    papers.select(F.size(words).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def read_index(spark: SparkSession, path: str, key: str = "paper_id") -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")), key)
-
-
-def scored_ids(index: Index, text: str) -> DataFrame:
-    """(key, score) of the papers that hold every term of the query; lower is better.
-
-    Reads the postings of the query's terms alone; counts and lengths come with them.
-    """
-    terms = query_tokens(text)
-    x = index.postings.filter(F.col("term").isin(terms)).join(F.broadcast(index.terms.filter(F.col("term").isin(terms))), "term").crossJoin(F.broadcast(index.totals))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    hits = x.groupBy(index.key).agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_terms"))
-    return hits.filter(F.col("_terms") == len(terms)).drop("_terms")
-
-
-def find(papers: DataFrame, index: Index, text: str, filters: Filters | None = None) -> DataFrame:
-    """Matching papers that pass the filters, with their score."""
-    return papers.filter((filters or Filters()).condition()).join(scored_ids(index, text), index.key)
-
-
-def first_of(papers: DataFrame, index: Index, texts: list[str]) -> DataFrame:
-    """Papers that any of several searches finds, with the number of the first one."""
-    terms = [query_tokens(t) for t in texts]
-    every = sorted({t for ts in terms for t in ts})
-    held = index.postings.filter(F.col("term").isin(every)).groupBy(index.key).agg(*(F.bool_or(F.col("term") == t).alias(f"_h{i}") for i, t in enumerate(every)))
-    number = F.coalesce(*(F.when(_all([F.col(f"_h{every.index(t)}") for t in ts]), F.lit(i)) for i, ts in enumerate(terms)))
-    found = held.select(index.key, number.alias("query_ord")).filter("query_ord is not null")
-    return papers.filter(Filters().condition()).join(found, index.key)
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 #: Sort orders by name; every one ends in the id, so results are deterministic.
 def order(by: str, key: str = "paper_id") -> list[Column]:
     cited = F.coalesce(F.col("citation_count"), F.lit(-1)).desc()
@@ -213,13 +162,7 @@ def page(rows: DataFrame, by: list[Column], top_k: int = 20, offset: int = 0) ->
 
 
 def candidate_union(papers: DataFrame, texts: list[str], key: str = "paper_id") -> DataFrame:
-    """Papers found by any of several searches, with the first search that found each."""
-    first = F.array_compact(F.array(*[F.when(_has_all(t), F.lit(i)) for i, t in enumerate(texts)]))
-    return papers.filter(Filters().condition()).withColumn("query_ord", F.array_min(first)).filter("query_ord is not null")
-
-
-def _has_all(text: str) -> Column:
-    c = F.lit(True)
-    for t in query_tokens(text):
-        c = c & F.array_contains(tokens(document()), t)
-    return c
+    """Papers found by any of several searches, with the first search that found each, by a scan."""
+    x = papers.filter(Filters().condition()).withColumns({"_t0": tokens(F.col("title")), "_t1": tokens(F.col("abstract"))})
+    hits = [F.when(all_of([_count(p) > 0 for p in ps]), F.lit(i)) for i, ps in enumerate(map(query_phrases, texts)) if ps]
+    return x.withColumn("query_ord", F.coalesce(*hits)).filter("query_ord is not null").drop("_t0", "_t1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,38 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for a frame that is read several times; it survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for costly work on them: an input of fewer partitions than
+    there are cores is small and is dealt out anew; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str, which: Callable[[str], bool]) -> None:
+    """Deletes the entries of a folder whose names are asked for."""
+    at, fs = _path(spark, folder)
+    if fs.exists(at):
+        for status in fs.listStatus(at):
+            if which(status.getPath().getName()):
+                fs.delete(status.getPath(), True)
+
+
+def file_stamp(df: DataFrame) -> str | None:
+    """A fingerprint of the files that a frame reads, by path, size and time; None if there
+    are none.  Each folder is listed once; no file is opened."""
+    spark = df.sparkSession
+    wanted = set(df.inputFiles())
+    seen = []
+    for folder in sorted({f.rpartition("/")[0] for f in wanted}):
+        at, fs = _path(spark, folder)
+        for status in fs.listStatus(at):
+            seen.append(f"{status.getPath().getName()}:{status.getLen()}:{status.getModificationTime()}")
+        seen.append(folder)
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest() if wanted else None

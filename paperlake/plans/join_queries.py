@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
+from paperlake.operators import index as N
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
@@ -23,7 +24,7 @@ def _vectors(spark, sf, times=1):
 
 @query("JOI01_hits_join", f"{SCORED} SELECT s.paper_id, d.n_chars FROM (SELECT * FROM s ORDER BY {ORDERS['bm25']} LIMIT 50) s JOIN documents d ON s.paper_id = d.doc_id")
 def _(spark, sf):
-    hits = S.find(papers(spark, sf), search_index(spark, sf), "from with").orderBy(*S.order("bm25")).limit(50).select("paper_id")
+    hits = N.find(papers(spark, sf).select("paper_id", "venue", "year", "track", "presentation_level", "record_status", "citation_count"), search_index(spark, sf), "from with").orderBy(*S.order("bm25")).limit(50).select("paper_id")
     d = table(spark, sf, "documents").select(c("doc_id").alias("paper_id"), "n_chars")
     return d.join(F.broadcast(hits), "paper_id").select("paper_id", "n_chars")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.operators.search import Index, read_index, write_index
+from paperlake.operators.index import Index, refresh, source_name
 from paperlake.operators.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,17 +42,10 @@ def scalar(name: str, source: str, key: str, columns: Callable[[], dict[str, Col
         SQL[name] = f"SELECT {key}, " + ", ".join(f"{s} AS {k}" for k, s in sql.items()) + f" FROM {source}"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def search_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The full-text index of a folder's papers, written once for each application."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _INDEXES:
-        path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        write_index(papers(spark, sf_dir).select("paper_id", "title", "abstract"), path)
-        _INDEXES[at] = path
-    return read_index(spark, _INDEXES[at])
+    """The lasting full-text index of a folder's papers, brought up to date if they changed."""
+    path = f"{shared_dir(spark).rstrip('/')}/search-{source_name(sf_dir)}"
+    return refresh(papers(spark, sf_dir, labelled=False).select("paper_id", "title", "abstract"), path)
 
 
 #: Papers as the standard tables give them; the same rows in both languages.
@@ -66,11 +58,13 @@ PAPERS_SQL = """papers AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """documents and labels as papers: first line the title, the rest the abstract."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d = table(spark, sf_dir, "documents")
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return d.join(labels, "doc_id", "left").select(
+    none = F.lit(None).cast("int")
+    x = d.join(table(spark, sf_dir, "labels"), "doc_id", "left") if labelled else d.withColumns({"quality": none, "toxic": none})
+    return x.select(
         F.col("doc_id").alias("paper_id"), title.alias("title"), F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)").alias("abstract"),
         F.upper("lang").alias("venue"), (F.lit(2000) + F.col("doc_id") % 25).cast("int").alias("year"), F.col("source").alias("track"),
         F.when(F.col("doc_id") % 3 == 0, "oral").when(F.col("doc_id") % 7 == 0, "bestpaper").otherwise("poster").alias("presentation_level"),

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
+from paperlake.operators import index as N
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
 
 c = F.col
+one = lambda name: F.count(F.lit(1)).alias(name)
 TEXT = "from with"
 TOK = "regexp_extract_all(strip_accents(lower(concat_ws(' ', title, abstract))), '[\\p{L}\\p{N}]+')"
 SHOW = ("paper_id", "venue", "year", "citation_count")
 SHOWN = "paper_id, venue, year, citation_count"
+#: What searching needs of the papers besides the index.
+NARROW = (*SHOW, "track", "presentation_level", "record_status")
 OPEN = "record_status <> 'placeholder'"
 BASE = f"WITH {PAPERS_SQL}, tok AS (SELECT *, {TOK} AS t FROM papers), "
 HIT = "list_contains(t, 'from') AND list_contains(t, 'with')"
@@ -33,9 +37,7 @@ def _paged(sql, by, k=20, o=0):
 
 @query("FTS01_index", f"{BASE} p AS (SELECT paper_id, unnest(t) AS term FROM tok) SELECT term, count(*) AS postings, count(DISTINCT paper_id) AS df FROM p GROUP BY term")
 def _(spark, sf):
-    index = search_index(spark, sf)
-    total = index.postings.filter("term is not null").groupBy("term").agg(F.sum("tf").alias("postings"))
-    return total.join(index.terms, "term").select("term", "postings", "df")
+    return search_index(spark, sf).postings().groupBy("term").agg(F.sum("tf").alias("postings"), one("df"))
 
 
 @query("FTS02_query_terms", "WITH q AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM benchmark) SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda v: {'i': list_position(t, v), 'v': v})), lambda s: s.v), ' ') AS terms FROM q")
@@ -46,12 +48,30 @@ def _(spark, sf):
 
 @query("FTS03_match_count", f"{BASE} m AS (SELECT * FROM tok WHERE {HIT} AND {OPEN}) SELECT venue, count(*) AS n FROM m GROUP BY venue")
 def _(spark, sf):
-    return S.find(papers(spark, sf), search_index(spark, sf), TEXT).groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
+    return N.find(papers(spark, sf).select(*NARROW), search_index(spark, sf), TEXT).groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
+
+
+WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
+PHRASE = """len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'of' AND {0}[i + 1] = 'the'))"""
+
+
+@query("FTS02_phrase", f"""WITH {PAPERS_SQL}, w AS (SELECT *, {WORDS.format('title')} AS a, {WORDS.format('abstract')} AS b FROM papers),
+tf AS (SELECT *, len(a) + len(b) AS dl, {PHRASE.format('a')} + {PHRASE.format('b')} AS f0, len(list_filter(a || b, lambda v: v = 'and')) AS f1 FROM w),
+g AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM tf),
+i AS (SELECT n, av, greatest(ln((n - d0 + 0.5e0) / (d0 + 0.5e0)), 0.0e0) AS i0, greatest(ln((n - d1 + 0.5e0) / (d1 + 0.5e0)), 0.0e0) AS i1 FROM g)
+SELECT paper_id, f0 AS phrase, f1 AS word, round(-(CASE WHEN i0 <= 0 THEN 1.0e-6 ELSE i0 END) * f0 * 2.2e0 / (f0 + 1.2e0 * (0.25e0 + 0.75e0 * dl / av))
+  -(CASE WHEN i1 <= 0 THEN 1.0e-6 ELSE i1 END) * f1 * 2.2e0 / (f1 + 1.2e0 * (0.25e0 + 0.75e0 * dl / av)), 6) AS score
+FROM tf, i WHERE f0 > 0 AND f1 > 0""")
+def _(spark, sf):
+    """A query with a phrase, ``of_the and``: every match with its frequencies and score."""
+    index = search_index(spark, sf)
+    found = N.frequencies(index, S.query_phrases("of_the and")).filter("f0 > 0 and f1 > 0")
+    return N.scored(index, "of_the and").join(found, "paper_id").select("paper_id", c("f0").alias("phrase"), c("f1").alias("word"), F.round("score", 6).alias("score"))
 
 
 def _search(by, k=20, o=0, filters=None):
     def run(spark, sf):
-        rows = S.page(S.find(papers(spark, sf), search_index(spark, sf), TEXT, filters), S.order(by), k, o)
+        rows = S.page(N.find(papers(spark, sf).select(*NARROW), search_index(spark, sf), TEXT, filters), S.order(by), k, o)
         return rows.select(*SHOW, F.round("score", 6).alias("score"), "rank")
 
     return run
@@ -68,14 +88,15 @@ query("TOP03_recall_filtered", _paged(SCORED.replace(OPEN, f"{OPEN} AND venue IN
 
 @query("FTS07_index_alignment", "SELECT count(*) AS papers, count(*) AS indexed, true AS aligned FROM documents")
 def _(spark, sf):
-    indexed = search_index(spark, sf).postings.agg(F.count_distinct("paper_id").alias("indexed"))
-    n = papers(spark, sf).agg(F.count(F.lit(1)).alias("papers")).crossJoin(indexed)
-    return n.withColumn("aligned", c("papers") == c("indexed"))
+    """Counts of papers and indexed texts, and whether their ids are the same."""
+    p = papers(spark, sf, labelled=False).select("paper_id", F.lit(1).alias("p"))
+    both = p.join(search_index(spark, sf).texts().select("paper_id", F.lit(1).alias("i")), "paper_id", "full")
+    return both.agg(F.count("p").alias("papers"), F.count("i").alias("indexed"), F.bool_and(c("p").isNotNull() & c("i").isNotNull()).alias("aligned"))
 
 
 @query("FTS08_full_drain", f"{SCORED} SELECT paper_id, round(score, 6) AS score FROM s ORDER BY {ORDERS['bm25']} LIMIT 2000")
 def _(spark, sf):
-    return S.find(papers(spark, sf), search_index(spark, sf), TEXT).orderBy(*S.order("bm25")).limit(2000).select("paper_id", F.round("score", 6).alias("score"))
+    return N.find(papers(spark, sf).select(*NARROW), search_index(spark, sf), TEXT).orderBy(*S.order("bm25")).limit(2000).select("paper_id", F.round("score", 6).alias("score"))
 
 
 GROUPS = [("conj", ["and ", "und "]), ("art", ["the ", "die "])]
@@ -85,7 +106,7 @@ HAY = "replace(lower(trim(regexp_replace(concat_ws(' ', title, abstract), '\\s+'
 @query("FTS09_candidates", f"""{BASE} u AS (SELECT *, CASE WHEN {HIT} THEN 0 WHEN list_contains(t, 'mit') THEN 1 END AS query_ord FROM tok WHERE {OPEN})
 SELECT paper_id, query_ord FROM u WHERE query_ord IS NOT NULL AND (contains({HAY}, 'and ') OR contains({HAY}, 'und ')) AND (contains({HAY}, 'the ') OR contains({HAY}, 'die '))""")
 def _(spark, sf):
-    found = S.first_of(papers(spark, sf), search_index(spark, sf), [TEXT, "mit"])
+    found = N.first_of(papers(spark, sf), search_index(spark, sf), [TEXT, "mit"])
     return found.filter(X.has_labels(S.document(), GROUPS, ["conj", "art"])).select("paper_id", "query_ord")
 
 
@@ -177,7 +198,9 @@ KIDS = "(SELECT string_agg(role, '; ' ORDER BY turn) FROM conversations v WHERE
 
 @query("PRJ03_search_rows", f"{SCORED}, h AS (SELECT * FROM s ORDER BY {ORDERS['bm25']} LIMIT 20) SELECT paper_id, title, venue, year, coalesce({KIDS}, '') AS authors FROM h")
 def _(spark, sf):
-    hits = S.page(S.find(papers(spark, sf), search_index(spark, sf), TEXT), S.order("bm25"))
+    p = papers(spark, sf)
+    hits = S.page(N.find(p.select(*NARROW), search_index(spark, sf), TEXT), S.order("bm25"))
+    hits = N.with_columns(hits, p, "paper_id", ["title"])
     kids = table(spark, sf, "conversations").select(c("conv_id").alias("paper_id"), "turn", "role")
     kids = kids.join(F.broadcast(hits.select("paper_id")), "paper_id", "left_semi")
     full = R.with_children(hits, R.ordered_children(kids, "paper_id", "turn", "role", "authors"), "paper_id", "authors")

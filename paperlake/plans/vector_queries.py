@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate as E
+from paperlake.operators import index as N
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.operators import topics as T
@@ -114,7 +115,7 @@ f AS (SELECT k.*, coalesce(CASE WHEN sh - sl = 0 THEN 1.0e0 ELSE (sh - score) /
 
 def _fused(spark, sf):
     p = papers(spark, sf)
-    lex = S.find(p, search_index(spark, sf), "from with").withColumn("score", F.round("score", 9)).orderBy(*S.order("bm25")).limit(100)
+    lex = N.find(p, search_index(spark, sf), "from with").withColumn("score", F.round("score", 9)).orderBy(*S.order("bm25")).limit(100)
     d = _with_distance(spark, sf, "cosine").withColumn("d", F.round("d", 6)).orderBy("d", "vec_id").limit(100)
     vec = d.select(c("vec_id").alias("paper_id"), (1.0 / (1.0 + F.greatest("d", F.lit(0.0)))).alias("similarity"))
     survivors = p.filter(S.Filters().condition()).select("paper_id", "year", "citation_count")

@@ -77,10 +77,12 @@ def write_version(rows: DataFrame, table: str, kept: int = KEPT) -> str:
     return name
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest published version, or None before the first."""
+def read_table(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame | None:
+    """The newest published version, or None before the first; a known schema saves a look at
+    the files."""
     found = versions(spark, table)
-    return spark.read.parquet(f"{table}/v{found[-1]:012d}") if found else None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{table}/v{found[-1]:012d}") if found else None
 
 
 def roll_back(spark: SparkSession, tables: dict[str, int | None]) -> None:

@@ -41,7 +41,7 @@ def test_search(papers):
     assert years == sorted(years, reverse=True)
     assert ids(S.page(S.bm25(papers, "routing"), S.order("citation")).orderBy("rank"))[0] == "P3"
     with pytest.raises(ValueError):
-        S.query_tokens(" ?! ")
+        S.query_phrases(" ?! ")
     with pytest.raises(ValueError):
         S.page(papers, [F.col("paper_id")], 0)
 

@@ -118,18 +118,3 @@ def test_array_functions(spark):
     assert one(X.distinct_folded(F.array().cast("array<string>"))) == []
     spots = F.array(*[F.struct(F.lit(t).alias("token"), F.array(*[F.lit(p) for p in ps]).alias("positions")) for t, ps in (("b", [1, 3]), ("a", [0]), ("c", [3]))])
     assert one(I.text_of_positions(spots)) == "a b c"  # the later token wins a place
-
-
-def test_index_gives_the_scores_of_a_scan(spark, tmp_path):
-    rng = random.Random(6)
-    texts = [" ".join(rng.choice("ab cd éf gh".split()) for _ in range(rng.randint(0, 9))) for _ in range(60)]
-    p = spark.createDataFrame([(i, t, None, "V", 2020, "t", "poster", "placeholder" if i % 7 == 0 else "resolved") for i, t in enumerate(texts)], "paper_id long, title string, abstract string, venue string, year int, track string, presentation_level string, record_status string")
-    S.write_index(p, str(tmp_path / "i"))
-    index = S.read_index(spark, str(tmp_path / "i"))
-    for q in ("ab", "cd ef", "nothing"):
-        want = {r.paper_id: round(r.score, 9) for r in S.bm25(p, q).collect()}
-        assert {r.paper_id: round(r.score, 9) for r in S.find(p, index, q).collect()} == want
-        assert bool(want) == (q != "nothing")
-    assert index.postings.select("paper_id").distinct().count() == 60
-    got = {r.paper_id: r.query_ord for r in S.first_of(p, index, ["cd ef", "ab"]).collect()}
-    assert got == {r.paper_id: r.query_ord for r in S.candidate_union(p, ["cd ef", "ab"]).collect()}
