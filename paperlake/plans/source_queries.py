@@ -11,6 +11,7 @@ from paperlake.functions import text as X
 from paperlake.operators.storage import shared_dir
 from paperlake.plans.registry import query, table
 from paperlake.plans.scalar_queries import ents
+from paperlake.sources import cards as C
 from paperlake.sources import readers as R
 
 c = F.col
@@ -33,6 +34,25 @@ def _(spark, sf):
     return x.select("page_id", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda s: s["title"]), "|").alias("cards"))
 
 
+#: Markup allows some references without their semicolon.
+REF = "regexp_replace({}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9]|$)', '&\\1;\\2', 'g')"
+CARD = "regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', {})"
+
+
+@query("SRC08_card_parser", f"""WITH x AS (SELECT page_id, {CARD.format(1)} AS l, {CARD.format(2)} AS t FROM pages)
+SELECT page_id, CAST(i AS INTEGER) AS card, nullif(trim({ents.format(REF.format('t[i + 1]'))}), '') AS title, l[i + 1] AS link FROM (SELECT *, unnest(range(len(t))) AS i FROM x)
+UNION ALL SELECT page_id, -1, nullif(trim({ents.format(REF.format("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)"))}), ''), CAST(len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')) AS VARCHAR) FROM pages""")
+def _(spark, sf):
+    """Every navigation entry as a card; and the article, with its paragraphs, which may lack
+    their end tags."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    entry = C.Rule(C.Select("li"), {"title": C.Select("a"), "link@href": C.Select("a")})
+    article = C.Rule(C.Select("article"), {"title": C.Select("h1"), "paragraph": C.Select("p")})
+    entries = C.cards(p, entry).select("page_id", "card", C.one("title").alias("title"), C.one("link").alias("link"))
+    bodies = C.cards(p, article).select("page_id", F.lit(-1).alias("card"), C.one("title").alias("title"), F.size(c("fields")["paragraph"]).cast("string").alias("link"))
+    return entries.unionByName(bodies)
+
+
 @query("SRC13_complete_listing", "SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(html, '<li>'))) AS BIGINT) AS items FROM pages")
 def _(spark, sf):
     """All pages as one listing of nav entries: same host, one chain, no entry short."""
