@@ -18,6 +18,7 @@ from paperlake.functions import ids as I
 from paperlake.functions import text as X
 from paperlake.operators import dedupe as D
 from paperlake.operators import relational as R
+from paperlake.operators.storage import cut
 
 #: Columns of a canonical record, in contract order (fixed values).
 CANONICAL = (
@@ -158,28 +159,48 @@ def verify_files(prepared: DataFrame, present: DataFrame) -> None:
         raise ValueError("files differ from those prepared: " + ", ".join(f"{r['name']} {r['state']}" for r in found))
 
 
-def complete(pages: DataFrame, link: str = "next", url: str = "url", expected: int | None = None, items: str = "items") -> dict[str, int]:
-    """Checks that stored pages of a listing are all of it; gives pages and items.
+def chains(pages: DataFrame, listing: str = "listing", url: str = "url", link: str = "next", items: str = "items") -> DataFrame:
+    """(listing, pages, items, reached, problem) of stored pages, for any number of listings.
+
+    ``pages``: one row per page with its listing, its address, the address of the next one
+    (null on the last) and the number of items.  ``problem`` is null, or the first that holds
+    of: a next page on another host, one that was not stored, an address stored twice, no or
+    several first pages, two pages with the same next one, and pages that the first one does
+    not lead to (``reached`` counts those it does), which is how a loop beside the chain shows.
 
-    ``pages``: one row per page with its address, the address of the next one (null on the
-    last) and the number of items.  An error is: a next page on another host, two pages with
-    the same next one or none that starts (a loop), a next page that was not stored, and
-    fewer items than the listing says it has.
+    The way from the first page is found by pointer doubling: in each round every page jumps
+    to where its jump's jump leads, so the rounds are the logarithm of the longest listing.
     """
     host = lambda c: F.lower(F.regexp_extract(c, "^(?:https?://)?([^/?#:]+)", 1))
-    p = pages.select(F.col(url).alias("u"), F.col(link).alias("n"), F.col(items).cast("long").alias("i"))
-    into = p.filter("n is not null").groupBy("n").agg(F.count(F.lit(1)).alias("links"))
-    x = p.join(into.withColumnRenamed("n", "u"), "u", "left")
-    missing = into.join(p, into["n"] == p["u"], "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    row = x.agg(
-        F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("i"), F.lit(0)).alias("items"), F.count_if(host(F.col("n")) != host(F.col("u"))).alias("strange"),
-        F.count_if(F.col("links").isNull()).alias("starts"), F.count_if(F.col("links") > 1).alias("twice"), F.count_if(F.col("n").isNull()).alias("ends")).crossJoin(missing).first()
-    if row["strange"]:
-        raise ValueError(f"{row['strange']} links lead to another host")
-    if row["missing"]:
-        raise ValueError(f"{row['missing']} pages are linked but not stored")
-    if row["pages"] and (row["starts"] != 1 or row["ends"] != 1 or row["twice"]):
-        raise ValueError("the pages are not one chain: a loop or several starts")
+    p = cut(pages.select(F.col(listing).alias("l"), F.col(url).alias("u"), F.col(link).alias("n"), F.col(items).cast("long").alias("i")))
+    stored = p.groupBy("l", "u").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    into = p.filter("n is not null").groupBy("l", "n").agg(F.count(F.lit(1)).alias("links"))
+    marked = stored.join(into.withColumnRenamed("n", "u"), ["l", "u"], "left")
+    missing = into.join(stored.select("l", F.col("u").alias("n")), ["l", "n"], "left_anti").groupBy("l").agg(F.count(F.lit(1)).alias("missing"))
+    facts = marked.groupBy("l").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(host(F.col("n")) != host(F.col("u"))).alias("strange"), F.count_if(F.col("copies") > 1).alias("copied"), F.count_if(F.col("links").isNull()).alias("starts"),
+        F.count_if(F.col("links") > 1).alias("twice"), F.min(F.when(F.col("links").isNull(), F.col("u"))).alias("first"))
+    jumps = stored.select("l", "u", F.col("n").alias("to"), F.lit(1).cast("long").alias("steps"))
+    longest = facts.agg(F.max("pages")).first()[0] or 0
+    for _ in range(max(0, (longest - 1).bit_length())):
+        ahead = jumps.select("l", F.col("u").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        jumps = cut(jumps.join(ahead, ["l", "to"], "left").select("l", "u", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+    found = facts.join(p.groupBy("l").agg(F.coalesce(F.sum("i"), F.lit(0)).alias("items")), "l").join(missing, "l", "left").join(jumps.select("l", F.col("u").alias("first"), F.col("to").alias("end"), "steps"), ["l", "first"], "left")
+    reached = F.when(F.col("starts") == 1, F.least("steps", "pages")).otherwise(0)
+    problem = F.when(F.col("strange") > 0, "a next page on another host").when(F.col("missing") > 0, "a next page that is not stored").when(F.col("copied") > 0, "a page stored twice") \
+        .when(F.col("starts") != 1, "no first page or several: a loop").when(F.col("twice") > 0, "two pages with the same next one: a loop").when(reached < F.col("pages"), "pages beside the chain: a loop")
+    return found.select(F.col("l").alias(listing), "pages", "items", reached.alias("reached"), problem.alias("problem"))
+
+
+def complete(pages: DataFrame, link: str = "next", url: str = "url", expected: int | None = None, items: str = "items") -> dict[str, int]:
+    """Checks that stored pages of one listing are all of it; gives pages and items.
+
+    An error is what ``chains`` finds, and fewer items than the listing says it has.
+    """
+    found = chains(pages.withColumn("_listing", F.lit(0)), "_listing", url, link, items).first()
+    row = found.asDict() if found else {"pages": 0, "items": 0, "problem": None}
+    if row["problem"]:
+        raise ValueError(row["problem"])
     if expected is not None and row["items"] < expected:
         raise ValueError(f"{row['items']} items of {expected}")
     return {"pages": row["pages"], "items": row["items"]}

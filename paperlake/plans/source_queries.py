@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from paperlake.corpus import complete
+from paperlake.corpus import chains
 from paperlake.functions import text as X
 from paperlake.operators.storage import shared_dir
 from paperlake.plans.registry import query, table
@@ -53,16 +53,24 @@ def _(spark, sf):
     return entries.unionByName(bodies)
 
 
-@query("SRC13_complete_listing", "SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(html, '<li>'))) AS BIGINT) AS items FROM pages")
+LINKS = """p AS (SELECT c_nationkey AS listing, c_custkey AS k FROM customer)"""
+
+
+@query("SRC13_complete_listing", f"""WITH {LINKS}, g AS (SELECT listing, count(*) AS pages, sum(k % 7) AS items FROM p GROUP BY listing)
+SELECT listing, pages, CAST(items AS BIGINT) AS items, CAST(CASE listing % 4 WHEN 0 THEN pages WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN pages < 3 THEN pages ELSE 0 END ELSE CASE WHEN pages < 3 THEN pages ELSE 2 END END AS BIGINT) AS reached,
+  CASE listing % 4 WHEN 1 THEN 'no first page or several: a loop' WHEN 2 THEN CASE WHEN pages >= 3 THEN 'no first page or several: a loop' END WHEN 3 THEN CASE WHEN pages >= 3 THEN 'pages beside the chain: a loop' END END AS problem FROM g""")
 def _(spark, sf):
-    """All pages as one listing of nav entries: same host, one chain, no entry short."""
-    p = table(spark, sf, "pages")
-    at = lambda n: F.concat(F.lit("https://list.example.org/?page="), n.cast("string"))
-    after = p.select((c("page_id") - 1).alias("page_id"), c("page_id").alias("following"))
-    x = p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).alias("items")).join(after, "page_id", "left")
-    x = x.select(at(c("page_id")).alias("url"), at(c("following")).alias("next"), "items")
-    whole = complete(x, expected=x.agg(F.sum("items")).first()[0])
-    return spark.createDataFrame([(whole["pages"], whole["items"])], "pages long, items long")
+    """Customers of a nation as the pages of a listing, by key: whole chains, chains that are
+    closed to a loop, chains without the link to their third page, and chains of two pages
+    beside a loop of all others."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    x = table(spark, sf, "customer").select(c("c_nationkey").alias("listing"), c("c_custkey").alias("k"), F.lead("c_custkey").over(w).alias("k2"), F.row_number().over(w).alias("r"), F.first("c_custkey").over(w).alias("k0"), F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")).alias("n"), F.nth_value("c_custkey", 3).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("third"))
+    kind, long = c("listing") % 4, c("n") >= 3
+    after = F.when((kind == 1) & c("k2").isNull(), c("k0")).when((kind == 2) & (c("r") == 2) & long, None).when((kind == 3) & long & (c("r") == 2), None).when((kind == 3) & long & c("k2").isNull(), c("third")).otherwise(c("k2"))
+    at = lambda k: F.concat(F.lit("https://list.example.org/"), k.cast("string"))
+    return chains(x.select("listing", at(c("k")).alias("url"), at(after).alias("next"), (c("k") % 7).alias("items")))
 
 
 @query("SRC09_html_blocks", "SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS n, array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 2), '|') AS items FROM pages")
