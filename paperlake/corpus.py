@@ -31,6 +31,8 @@ DERIVED_FLAGS = ["missing_authors", "missing_abstract", "missing_doi", "missing_
 VENUES = {
     "html": ("AAAI", "ACL", "AISTATS", "CVPR", "ICCV", "IJCAI"), "dblp": ("KDD", "TPAMI", "SIGIR", "ACMMM", "WWW", "ICDE"), "official_json": ("ICLR", "ICML", "NEURIPS", "ECCV", "VLDB"),
 }
+#: Names of payload files below a root: a folder by venue and one file.
+PAYLOAD_SHAPE = r"[^/]+/[^/]+\.json"
 AUTHORS_LEAST, ABSTRACTS_LEAST = 90.0, 85.0
 
 
@@ -143,15 +145,22 @@ def validate(canonical: DataFrame, official: DataFrame | None = None, strict: bo
     return q.select("venue", "year", "issues", "warnings", (F.size("issues") == 0).alias("passed"))
 
 
-def verify_files(prepared: DataFrame, present: DataFrame) -> None:
+def verify_files(prepared: DataFrame, present: DataFrame, shape: str | None = None) -> None:
     """Stops unless the files present are those prepared, with the same content.
 
     Both: (name, fingerprint), of the files below a folder, as ``report.file_fingerprints``
-    gives them; names lead nowhere outside the folder.
+    gives them; names are relative, each once, lead nowhere outside the folder and match
+    ``shape`` as a whole, if given (``PAYLOAD_SHAPE`` for payloads).
     """
-    bad_path = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
+    parts = F.split("name", "/")
+    bad_path = F.col("name").startswith("/") | F.array_contains(parts, "..") | F.array_contains(parts, ".") | F.array_contains(parts, "") | F.col("name").contains(":/")
+    if shape is not None:
+        bad_path = bad_path | ~F.col("name").rlike(f"^(?:{shape})$")
     if paths := [r["name"] for r in prepared.unionByName(present).filter(bad_path).select("name").distinct().limit(8).collect()]:
         raise ValueError(f"paths outside the folder: {sorted(paths)}")
+    for files in (prepared, present):
+        if twice := files.groupBy("name").count().filter("count > 1").limit(8).collect():
+            raise ValueError(f"paths given twice: {sorted(r['name'] for r in twice)}")
     both = prepared.select("name", F.col("fingerprint").alias("_a")).join(present.select("name", F.col("fingerprint").alias("_b")), "name", "full")
     state = F.when(F.col("_a").isNull(), "unexpected").when(F.col("_b").isNull(), "missing").when(F.col("_a") != F.col("_b"), "changed")
     found = both.select("name", state.alias("state")).filter("state is not null").orderBy("name").limit(8).collect()

@@ -23,18 +23,30 @@ def markdown(rows: DataFrame, limit: int = 50, width: int = 80) -> str:
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(name, fingerprint) of every file below a path that Spark can read."""
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = F.col("length") <= CONTENT_BYTES
+def file_fingerprints(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """(name, fingerprint) of every file below a folder, whose base name ``names`` matches.
+
+    A name is the path below the folder.  Only small files are opened; the size is a filter of
+    the scan, so the contents of larger ones are not read.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    name = F.when(F.startswith("path", F.lit(root)), F.substring("path", F.lit(len(root) + 1), F.length("path"))).otherwise(F.col("path")).alias("name")
+    by_content = files.filter(F.col("length") <= CONTENT_BYTES).select(name, F.sha2("content", 256).alias("fingerprint"))
     by_stat = F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
-    return meta.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.when(small, F.sha2("content", 256)).otherwise(by_stat).alias("fingerprint"))
+    return by_content.unionByName(files.filter(F.col("length") > CONTENT_BYTES).select(name, by_stat.alias("fingerprint")))
 
 
 def collection_fingerprint(files: DataFrame) -> DataFrame:
-    """One row: a fingerprint of all files' names and fingerprints, whatever their order."""
-    each = F.concat_ws("=", "name", "fingerprint")
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
+    """One row: a fingerprint of all files' names and fingerprints, whatever their order.
+
+    Each file's digest is cut into numbers, which are added up over all files in partial sums;
+    the sums are hashed.  No list of the files is made.
+    """
+    each = files.select(F.sha2(F.to_json(F.struct("name", "fingerprint")), 256).alias("d"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 13 * i, 13), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+    return each.agg(F.sha2(F.concat_ws(":", *parts, F.count(F.lit(1)).cast("string")), 256).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
 
 
 def failed_rows(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,37 @@ def file_stamp(df: DataFrame) -> str | None:
             seen.append(f"{status.getPath().getName()}:{status.getLen()}:{status.getModificationTime()}")
         seen.append(folder)
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest() if wanted else None
+
+
+def names(spark: SparkSession, folder: str) -> set[str]:
+    """The entries of a folder; none if it is not there."""
+    at, fs = _path(spark, folder)
+    return {s.getPath().getName() for s in fs.listStatus(at)} if fs.exists(at) else set()
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames to a name that must be free."""
+    at, fs = _path(spark, old)
+    to = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if fs.exists(to) or not fs.rename(at, to):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    making = f"{path}.{uuid.uuid4().hex}.part"
+    at, fs = _path(spark, making)
+    fs.mkdirs(at.getParent())
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename(spark, making, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate as E
@@ -10,8 +12,10 @@ from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.operators import topics as T
 from paperlake.operators import vectors as V
+from paperlake.operators.storage import shared_dir
 from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
 from paperlake.plans.search_queries import ORDERS, SCORED
+from paperlake.streaming.state import replay
 
 c = F.col
 one = lambda name: F.count(F.lit(1)).alias(name)
@@ -188,10 +192,14 @@ def _(spark, sf):
 
 @query("SNK05_vector_upsert", "SELECT vec_id, max(label) AS label FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, 99 FROM embeddings WHERE vec_id % 10 = 0) GROUP BY vec_id")
 def _(spark, sf):
-    from paperlake.streaming.upsert import merge
-
+    """Vectors as a keyed table: all, then deletions, then changes, then all again as late rows."""
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    return merge(e, e.filter("vec_id % 10 = 0").withColumn("label", F.lit(99)), "vec_id", e.filter("vec_id % 5 = 0 and vec_id % 10 <> 0").select("vec_id"))
+    step = lambda rows, at, label, gone=False: rows.select("vec_id", label.cast("int").alias("label"), F.lit(at).alias("at"), F.lit(gone).alias("gone"))
+    batches = [
+        step(e, 2, c("label")), step(e.filter("vec_id % 5 = 0 and vec_id % 10 <> 0"), 4, F.lit(None), True), step(e.filter("vec_id % 10 = 0"), 3, F.lit(99)), step(e, 1, F.lit(-1)),
+    ]
+    path = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    return replay(batches, path, "vec_id", "at", "gone", 8).rows().select("vec_id", "label")
 
 
 CASES = [E.Case("plain", "from with", expect_min_results=5), E.Case("french", "avec", filters=S.Filters(("FR",)), any_fragments=("de la", "zzz")), E.Case("none", "zzzzqqq")]
@@ -272,7 +280,7 @@ def _(spark, sf):
 def _(spark, sf):
     from paperlake.operators.report import collection_fingerprint, file_fingerprints
 
-    return collection_fingerprint(file_fingerprints(spark, f"{sf}/*.parquet"))
+    return collection_fingerprint(file_fingerprints(spark, sf, "*.parquet"))
 
 
 @query("EVA08_suites")

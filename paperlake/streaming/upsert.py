@@ -1,4 +1,4 @@
-"""Keyed upserts into a Parquet table, in batch and as a stream."""
+"""Keyed merges and atomic table versions; ``state.py`` has keyed tables for streams."""
 
 from __future__ import annotations
 
@@ -21,22 +21,6 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(fields, F.struct(order, F.xxhash64(*rows.columns))).alias("_r")).select("_r.*")
 
 
-def upsert_stream(source: DataFrame, table: str, key: str, order: str, checkpoint: str):
-    """Starts a stream that folds each micro-batch into versions of ``table``.
-
-    Every batch writes a new version and then publishes it, so readers never see half a
-    table; a batch that runs again writes the same rows.
-    """
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, key, order)
-        old = read_table(spark, table)
-        write_version(new if old is None else merge(old, new, key), table)
-
-    return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 #: Versions that stay beside the newest, for readers that have opened them.
 KEPT = 2
 

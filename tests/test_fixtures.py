@@ -14,13 +14,16 @@ from paperlake.operators import search as S
 from paperlake.operators import topics as T
 from paperlake.operators import vectors as V
 from paperlake.sources import readers
-from paperlake.streaming import upsert
+from paperlake.streaming import state
 
+#: Two rows tie in year and citations; one has an accent and no abstract; one was withdrawn.
 PAPERS = [
-    ("P1", "Sparse Routing under Budget Limits", "ICLR", 2023, 10, "poster", "resolved", "A budget decides which sparse routing paths stay open."),
-    ("P2", "Budget Stub", "ICLR", 2024, None, "poster", "placeholder", ""),
-    ("P3", "Sparse Routing by Pruned Gates", "ICML", 2021, 50, "oral", "resolved", "Pruned gates make sparse routing cheaper."),
-    ("P4", "Budget and Sparse Routing, Revisited", "ICLR", 2024, 5, "bestpaper", "resolved", "A fixed budget is still hard to beat in sparse routing."),
+    ("b7", "Émile's Guide to Lattice Sorting", "VLDB", 2017, None, "poster", "resolved", ""),
+    ("k1", "Lattice Walks", "SIGIR", 2019, 12, "poster", "resolved", "A lattice of records, a walk, and no sorting at all."),
+    ("a2", "Sorting Rivers of Records", "VLDB", 2019, 12, "oral", "resolved", "Rivers of records are sorted while they flow."),
+    ("z0", "Withdrawn: Lattice Sorting", "WWW", 2018, 3, "poster", "placeholder", "Lattice sorting, withdrawn."),
+    ("m5", "On Rivers", "WWW", 2016, 40, "oral", "resolved", "River records; emile sorted none."),
+    ("c3", "lattice lattice sorting", "SIGIR", 2018, 0, "poster", "resolved", "Sorting a lattice by a lattice."),
 ]
 
 
@@ -34,16 +37,22 @@ def ids(df):
 
 
 def test_search(papers):
-    assert set(ids(S.bm25(papers, "budget sparse routing"))) == {"P1", "P4"}
-    assert "P2" in ids(S.bm25(papers, "budget", S.Filters(include_placeholder=True)))
-    assert ids(S.matches(papers, "budget", S.Filters(("ICLR",), 2024, 2024, "conference", "bestpaper"))) == ["P4"]
-    years = [r["year"] for r in S.page(S.bm25(papers, "routing"), S.order("year")).orderBy("rank").collect()]
-    assert years == sorted(years, reverse=True)
-    assert ids(S.page(S.bm25(papers, "routing"), S.order("citation")).orderBy("rank"))[0] == "P3"
-    with pytest.raises(ValueError):
-        S.query_phrases(" ?! ")
-    with pytest.raises(ValueError):
-        S.page(papers, [F.col("paper_id")], 0)
+    assert set(ids(S.bm25(papers, "lattice sorting"))) == {"b7", "k1", "c3"}
+    assert set(ids(S.bm25(papers, "SORTING, lattice", S.Filters(include_placeholder=True)))) == {"b7", "k1", "c3", "z0"}
+    assert set(ids(S.matches(papers, "emile"))) == set(ids(S.matches(papers, "ÉMILE"))) == {"b7", "m5"}
+    assert ids(S.matches(papers, "sorting", S.Filters(venues=("SIGIR", "WWW"), year_to=2018))) == ["c3"]
+    assert ids(S.matches(papers, "lattice_sorting", S.Filters(presentation_level="poster", year_from=2018))) == ["c3"]
+    assert ids(S.matches(papers, "lattice rivers")) == []
+    ranked = lambda by, k=9, o=0: [(r["paper_id"], r["rank"]) for r in S.page(S.bm25(papers, "records"), S.order(by), k, o).orderBy("rank").collect()]
+    assert ranked("year") == [("a2", 1), ("k1", 2), ("m5", 3)]
+    assert ranked("citation") == [("m5", 1), ("a2", 2), ("k1", 3)]
+    assert ranked("citation", 1, 1) == [("a2", 2)] and ranked("year", 5, 7) == []
+    for bad in (" ?! ", ""):
+        with pytest.raises(ValueError):
+            S.query_phrases(bad)
+    for k, o in ((0, 0), (1, -1)):
+        with pytest.raises(ValueError):
+            S.page(papers, [F.col("paper_id")], k, o)
 
 
 def test_scores_are_those_of_a_full_text_engine(papers):
@@ -53,19 +62,23 @@ def test_scores_are_those_of_a_full_text_engine(papers):
     except sqlite3.OperationalError:
         pytest.skip("no full-text module")
     con.executemany("insert into f values (?, ?, ?)", [(p[0], p[1], p[7]) for p in PAPERS])
-    want = dict(con.execute("select id, bm25(f) from f where f match 'budget routing'").fetchall())
-    got = {r["paper_id"]: r["score"] for r in S.bm25(papers, "budget routing", S.Filters(include_placeholder=True)).collect()}
+    want = dict(con.execute("select id, bm25(f) from f where f match 'lattice sorting'").fetchall())
+    got = {r["paper_id"]: r["score"] for r in S.bm25(papers, "lattice sorting", S.Filters(include_placeholder=True)).collect()}
     assert got == pytest.approx(want)
 
 
 def test_hybrid(spark, papers):
-    vec = spark.createDataFrame([("P4", 0.05), ("P2", 0.10), ("P1", 0.20), ("P3", 0.90)], "paper_id string, d double").select("paper_id", (1 / (1 + F.col("d"))).alias("similarity"))
-    lex = S.bm25(papers, "budget sparse routing")
+    distances = [("m5", 0.25), ("z0", 0.0), ("c3", 3.0), ("k1", 1.0)]
+    vec = spark.createDataFrame(distances, "paper_id string, d double").select("paper_id", (1 / (1 + F.col("d"))).alias("similarity"))
+    lex = S.bm25(papers, "lattice sorting")
     kept = papers.filter(S.Filters().condition()).select("paper_id")
-    final = {r["paper_id"]: r["final"] for r in V.fuse(lex, vec, kept).collect()}
-    assert set(final) == {"P1", "P3", "P4"} and final["P3"] == 0 and all(0 <= v <= 1 for v in final.values())
-    one = papers.filter(S.Filters(("ICLR",), 2024, 2024, "conference", "bestpaper").condition()).select("paper_id")
-    assert [r["final"] for r in V.fuse(lex, vec, one).collect()] == [1.0]
+    got = {r["paper_id"]: r for r in V.fuse(lex, vec, kept).collect()}
+    assert set(got) == {"b7", "k1", "c3", "m5"}  # one by words alone, one by its vector alone
+    assert got["m5"]["vec_norm"] == 1 and got["m5"]["bm25_norm"] == 0 and got["m5"]["final"] == pytest.approx(0.6)
+    assert got["c3"]["bm25_norm"] == 1 and got["c3"]["vec_norm"] == 0 and got["c3"]["final"] == pytest.approx(0.4)
+    assert got["k1"]["vec_norm"] == pytest.approx((0.5 - 0.25) / (0.8 - 0.25))
+    alone = papers.filter("paper_id = 'c3'").select("paper_id")
+    assert [r["final"] for r in V.fuse(lex, vec, alone).collect()] == [1.0]
 
 
 def test_incremental_states(spark):
@@ -110,9 +123,9 @@ def test_reconcile_and_gate(spark):
 
 
 def test_evaluation(spark, papers):
-    cases = [E.Case.load({"case_id": "a", "query": "budget", "expect_any_title_fragments": ["Budget: Limits", "zzz"]}), E.Case.load({"case_id": "b", "query": "budget", "expect_all_title_fragments": ["nothing"]})]
+    cases = [E.Case.load({"case_id": "a", "query": "lattice", "expect_any_title_fragments": ["lattice: WALKS", "zzz"]}), E.Case.load({"case_id": "b", "query": "lattice", "expect_all_title_fragments": ["nothing"]})]
     assert {r.case_id: r.passed for r in E.run_cases(papers, cases).collect()} == {"a": True, "b": False}
-    got = {r.case_id: r.passed for r in E.run_cases(papers, [E.Case("c", "budget", any_fragments=("budget limits",)), E.Case("d", "zzz")]).collect()}
+    got = {r.case_id: r.passed for r in E.run_cases(papers, [E.Case("c", "records", any_fragments=("rivers of",)), E.Case("d", "zzz")]).collect()}
     assert got == {"c": True, "d": False}
     assert E.sample_queries([("t", ["a", "b"])] , 1, 1, 3) == E.sample_queries([("t", ["b", "a"])], 1, 1, 3)
     assert E.stale(None, {"a": "1"}) and E.stale({"a": "2"}, {"a": "1"}) and not E.stale({"a": "1", "b": "9"}, {"a": "1"})
@@ -143,11 +156,11 @@ def test_streamed_upserts(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "table")
     schema = "id long, v string, seq long"
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema).write.parquet(src)
-    run = lambda: upsert.upsert_stream(spark.readStream.schema(schema).parquet(src), out, "id", "seq", str(tmp_path / "cp")).awaitTermination()
+    run = lambda: state.keyed_stream(spark.readStream.schema(schema).parquet(src), out, "id", "seq", str(tmp_path / "cp")).awaitTermination()
     run()
     spark.createDataFrame([(2, "c", 2), (3, "d", 2)], schema).write.mode("append").parquet(src)
     run()
-    assert {r.id: r.v for r in upsert.read_table(spark, out).collect()} == {1: "a", 2: "c", 3: "d"}
+    assert {r.id: r.v for r in state.open_keyed(spark, out).rows().collect()} == {1: "a", 2: "c", 3: "d"}
 
 
 def test_heading_before(spark):
@@ -159,11 +172,11 @@ def test_heading_before(spark):
 def test_reports(spark, papers, tmp_path):
     from paperlake.operators import report as P
 
-    text = P.markdown(papers.filter("paper_id = 'P2'").select("paper_id", "title", "citation_count"))
-    assert text.splitlines() == ["| paper_id | title | citation_count |", "| --- | --- | --- |", "| P2 | Budget Stub |  |"]
+    text = P.markdown(papers.filter("paper_id = 'b7'").select("paper_id", "title", "citation_count"))
+    assert text.splitlines() == ["| paper_id | title | citation_count |", "| --- | --- | --- |", "| b7 | Émile's Guide to Lattice Sorting |  |"]
     (tmp_path / "a").write_text("x")
     one = P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first()
     (tmp_path / "a").write_text("y")
     assert one.files == 1 and P.collection_fingerprint(P.file_fingerprints(spark, str(tmp_path))).first() != one
-    s = P.suites(papers, [E.Case("a", "budget")], "all", healthy=False)
+    s = P.suites(papers, [E.Case("a", "sorting")], "all", healthy=False)
     assert {r.suite: r.passed for r in s.collect()} == {"offline": True, "online": False} and P.status(s, {}, {"a": "1"}) == "fail (offline, online), stale"
