@@ -23,37 +23,49 @@ def merge_groups(rows: DataFrame, key: str, score: Column, order: str, scalars:
     """One row per key: the best row filled from the others.
 
     Rows are ranked by score, equal scores by ``order``.  Scalars take the first non-blank
-    value, lists their ordered distinct union, maps keep earlier entries, and flags hold
-    only if they hold in every row.  Adds ``duplicates_removed``.
+    value, lists (of strings) their ordered distinct union, maps (of strings) keep earlier
+    entries, and flags hold only if they hold in every row.  Adds ``duplicates_removed``.
+
+    Every field is an aggregate that tasks combine before the shuffle, so a key of any number
+    of rows is no list of rows anywhere; what is held for a key are its distinct list elements
+    and map keys.
     """
-    # maps cannot be ordered: they travel as entries
-    fields = [*scalars, *lists, *[F.map_entries(m).alias(m) for m in maps], *all_true]
-    ranked = F.array_sort(F.collect_list(F.struct((-score).alias("_s"), F.col(order).alias("_o"), *fields)))
-    x = rows.groupBy(key).agg(ranked.alias("_g"), (F.count(F.lit(1)) - 1).alias("duplicates_removed"))
+    x = rows.withColumn("_rank", F.struct((-score).alias("s"), F.col(order).alias("o")))
+    none = F.array().cast(f"array<{_ENTRY}>")
+    parts = [_entries(name, F.col(name), False) for name in lists] + [_entries(name, F.map_entries(name), True) for name in maps]
+    # one entry stands for the row itself, with its scalars and flags
+    entries = F.concat(F.array(F.lit(None).cast(_ENTRY)), *[F.coalesce(p, none) for p in parts])
+    x = x.select(key, "_rank", *scalars, *all_true, F.explode(entries).alias("_e"))
+    row, place = F.col("_e").isNull(), F.struct("_rank", "_e.i")
 
     def first(name: str) -> Column:
-        return F.get(F.filter(F.transform("_g", lambda r: r[name]), lambda v: v.isNotNull() & (F.trim(v.cast("string")) != "")), F.lit(0))
+        there = row & F.col(name).isNotNull() & (F.trim(F.col(name).cast("string")) != "")
+        return F.min_by(name, F.when(there, F.col("_rank"))).alias(name)  # a null rank takes no part
+
+    flags = [F.bool_and(F.when(row, F.coalesce(F.col(a), F.lit(False)))).alias(a) for a in all_true]
+    one = x.groupBy(key, F.col("_e.f").alias("_f"), F.col("_e.k").alias("_n")).agg(F.min(place).alias("_p"), F.min_by("_e.v", place).alias("_v"), *[first(s) for s in scalars], *flags, F.count_if(row).alias("_rows"))
+    held = F.array_sort(F.collect_list(F.when(F.col("_rows") == 0, F.struct("_p", "_f", "_n", "_v"))))
+    merged = one.groupBy(key).agg(*[F.first(s, ignorenulls=True).alias(s) for s in scalars], *[F.bool_and(a).alias(a) for a in all_true], (F.sum("_rows") - 1).alias("duplicates_removed"), held.alias("_all"))
+
+    def of(name: str) -> Column:
+        return F.filter("_all", lambda s: s["_f"] == name)
+
+    lists_of = [F.transform(of(name), lambda s: s["_n"]).cast("array<string>").alias(name) for name in lists]
+    maps_of = [F.map_from_entries(F.transform(of(m), lambda s: F.struct(s["_n"], s["_v"]))).alias(m) for m in maps]
+    return merged.select(key, *scalars, *lists_of, *maps_of, *all_true, "duplicates_removed")
 
-    def entries(name: str) -> Column:
-        flat = F.flatten(F.filter(F.transform("_g", _field(name)), lambda v: v.isNotNull()))
-        keys = F.transform(flat, lambda e: e["key"])
-        return F.map_from_entries(F.filter(flat, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
-    return x.select(
-        key, *[first(s).alias(s) for s in scalars],
-        *[F.array_distinct(F.flatten(F.filter(F.transform("_g", _field(name)), lambda v: v.isNotNull()))).alias(name) for name in lists],
-        *[entries(m).alias(m) for m in maps],
-        *[F.forall("_g", _flag(a)).alias(a) for a in all_true],
-        "duplicates_removed",
-    )
+_ENTRY = "struct<f:string,k:string,v:string,i:int>"
 
 
-def _field(name: str):
-    return lambda r: r[name]
+def _entries(name: str, values: Column, keyed: bool) -> Column:
+    """A list's elements or a map's entries with the field's name and their places."""
+    null = F.lit(None).cast("string")
 
+    def entry(v: Column, i: Column) -> Column:
+        return F.struct(F.lit(name).alias("f"), (v["key"] if keyed else v).alias("k"), (v["value"] if keyed else null).alias("v"), i.alias("i"))
 
-def _flag(name: str):
-    return lambda r: F.coalesce(r[name], F.lit(False))
+    return F.transform(values, entry)
 
 
 def greedy(edges: DataFrame) -> DataFrame:

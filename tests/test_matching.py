@@ -118,3 +118,39 @@ def test_array_functions(spark):
     assert one(X.distinct_folded(F.array().cast("array<string>"))) == []
     spots = F.array(*[F.struct(F.lit(t).alias("token"), F.array(*[F.lit(p) for p in ps]).alias("positions")) for t, ps in (("b", [1, 3]), ("a", [0]), ("c", [3]))])
     assert one(I.text_of_positions(spots)) == "a b c"  # the later token wins a place
+
+
+def merged_by_rows(rows):
+    """One row after the other, best first."""
+    out = {}
+    for k, score, o, a, b, lst, m, ok in sorted(rows, key=lambda r: (-r[1], r[2])):
+        x = out.setdefault(k, {"a": None, "b": None, "l": [], "m": {}, "ok": True, "n": -1})
+        x["a"] = x["a"] if x["a"] is not None else a if a is not None and a.strip() else None
+        x["b"] = x["b"] if x["b"] is not None else b
+        x["l"] += [v for v in dict.fromkeys(lst or []) if v not in x["l"]]
+        x["m"] = (m or {}) | x["m"]
+        x["ok"] &= bool(ok)
+        x["n"] += 1
+    return out
+
+
+def test_survivor_merge_equals_a_loop(spark):
+    rng = random.Random(3)
+    some = lambda *v: rng.choice([None, *v])
+    rows = [
+        (some("k1", "k2", "k3"), rng.randint(0, 3), o, some("", " ", f"a{o}"), some(o), some([], [f"x{rng.randint(0, 5)}" for _ in range(4)]), some({}, {f"m{rng.randint(0, 4)}": f"v{o}" for _ in range(3)}), some(True, True, False))
+        for o in range(60)
+    ] + [("solo", 1, 100, None, None, None, None, None), ("all", 1, 101, "x", 5, ["q", "q"], {"z": None}, True)]
+    df = spark.createDataFrame(rows, "k string, s int, o int, a string, b int, l array<string>, m map<string,string>, ok boolean").repartition(5)
+    got = D.merge_groups(df, "k", F.col("s"), "o", ["a", "b"], ["l"], ["m"], ["ok"])
+    want = merged_by_rows(rows)
+    assert {r.k: (r.a, r.b, r.l, r.m, r.ok, r.duplicates_removed) for r in got.collect()} == {k: (x["a"], x["b"], x["l"], x["m"], x["ok"], x["n"]) for k, x in want.items()}
+    plan = got._jdf.queryExecution().toString()
+    assert "partial_min_by" in plan
+
+
+def test_a_key_of_many_rows_is_combined_in_the_tasks(spark):
+    n = 1_000_000
+    x = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") % 7).cast("int").alias("s"), F.col("id").cast("int").alias("o"), F.col("id").cast("string").alias("a"), F.array((F.col("id") % 10).cast("string")).alias("l"))
+    got = D.merge_groups(x, "k", F.col("s"), "o", ["a"], ["l"]).collect()
+    assert len(got) == 1 and got[0].a == "6" and got[0].duplicates_removed == n - 1 and sorted(got[0].l) == [str(i) for i in range(10)]
