@@ -1,15 +1,16 @@
-"""Two-level topic clustering, deterministic naming and projection checks."""
+"""First-level topic clustering, deterministic naming and projection checks; ``nested.py`` has
+the second level."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlake.operators.storage import cut
+
 
 def subcluster_count(size: Column) -> Column:
     """Number of second-level clusters by topic size."""
@@ -34,7 +35,8 @@ def primary(vectors: DataFrame, k: int = 40, seed: int = 42, id_col: str = "vec_
         return vectors.select(id_col, F.lit(0).alias("topic"))
     if n <= k:  # at most k rows
         return vectors.select(id_col, (F.row_number().over(Window.orderBy(id_col)) - 1).cast("int").alias("topic"))
-    x = vectors.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    # every start reads the vectors several times
+    x = cut(vectors.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")))
     models = (KMeans(k=k, seed=seed + i, initSteps=2, maxIter=20).fit(x) for i in range(max(1, n_init)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(x).select(id_col, F.col("prediction").alias("topic"))
@@ -60,30 +62,6 @@ def intact(vectors: DataFrame, dimensions: int, id_col: str = "vec_id", vec_col:
     return checks([("ids unique", F.col("n") == F.col("ids")), ("dimensions", F.col("size") == 0), ("finite", F.col("odd") == 0)], row)
 
 
-def _lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
-    labels = np.zeros(len(x), int)
-    for _ in range(rounds):
-        labels = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
-        centres = np.stack([x[labels == j].mean(0) if (labels == j).any() else centres[j] for j in range(k)])
-    return labels
-
-
-def nested(vectors: DataFrame, topics: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, topic_id, subtopic_id) with ids tNN and tNN_sNN; each topic is split on its own."""
-    x = vectors.select(id_col, vec_col).join(topics, id_col)
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        n = len(pdf)
-        k = 1 if n <= 1 else n if n <= 3 else 5 if n >= 1200 else 4 if n >= 300 else 3
-        labels = np.arange(n) if n <= 3 else _lloyd(np.array(pdf[vec_col].tolist(), float), k)
-        t = "t" + pdf["topic"].astype(int).astype(str).str.zfill(2)
-        return pd.DataFrame({id_col: pdf[id_col], "topic_id": t, "subtopic_id": t + "_s" + pd.Series(labels, index=pdf.index).astype(str).str.zfill(2)})
-
-    return x.groupBy("topic").applyInPandas(split, f"{id_col} long, topic_id string, subtopic_id string")
-
-
 def names(docs: DataFrame, topics: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """(topic, name): the n tokens of largest term frequency times inverse topic frequency."""
     from paperlake.operators.relational import winner

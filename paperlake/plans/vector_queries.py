@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate as E
 from paperlake.operators import index as N
+from paperlake.operators import lists, nested
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
 from paperlake.operators import topics as T
 from paperlake.operators import vectors as V
+from paperlake.operators.index import source_name
 from paperlake.operators.storage import shared_dir
 from paperlake.plans.registry import PAPERS_SQL, papers, query, search_index, table
 from paperlake.plans.search_queries import ORDERS, SCORED
@@ -103,6 +105,13 @@ def _(spark, sf):
     return x.orderBy("distance", "vec_id").limit(100).select("vec_id", "distance", F.round(1.0 / (1.0 + F.greatest("distance", F.lit(0.0))), 6).alias("similarity"))
 
 
+@query("VEC07_knn_indexed", f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, {Q} ORDER BY distance, vec_id LIMIT 20")
+def _(spark, sf):
+    """The exact way of the stored index: only lists that may hold one of the nearest are read."""
+    index = lists.build(table(spark, sf, "embeddings"), f"{shared_dir(spark).rstrip('/')}/vectors-{source_name(sf)}")
+    return index.search(list(_query_vector(spark, sf).first()["q"]), 20, exact=True)
+
+
 @query("VEC08_metrics", f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine, round(power(list_distance(embedding::DOUBLE[], q), 2), 6) AS l2sq FROM embeddings, {Q}")
 def _(spark, sf):
     e = table(spark, sf, "embeddings").crossJoin(F.broadcast(_query_vector(spark, sf)))
@@ -163,7 +172,21 @@ def _(spark, sf):
 @query("CLU03_nested_topics")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    return T.nested(e, e.select("vec_id", c("label").alias("topic")))
+    path = f"{shared_dir(spark).rstrip('/')}/nested-{uuid.uuid4().hex}"
+    return nested.split(e, e.select("vec_id", c("label").alias("topic")), path)
+
+
+@query("CLU07_run_counters", f"SELECT count(*) AS topics, CAST(sum(n) AS BIGINT) AS vectors, CAST(sum({{0}}) AS BIGINT) AS labels, true AS resumed FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) > 3)".format(COUNT))
+def _(spark, sf):
+    """The counters of a run that is stopped after two rounds and goes on."""
+    e = table(spark, sf, "embeddings")
+    path = f"{shared_dir(spark).rstrip('/')}/nested-{uuid.uuid4().hex}"
+    topics = e.select("vec_id", c("label").alias("topic"))
+    nested.split(e, topics, path, {"k": 10}, rounds=2)
+    before = nested.counters(spark, path)["rounds"]
+    nested.split(e, topics, path, {"k": 10}, rounds=4)
+    found = nested.counters(spark, path)
+    return spark.createDataFrame([(found["topics"], found["vectors"], found["labels"], before == 2 and found["rounds"] >= 2)], "topics long, vectors long, labels long, resumed boolean")
 
 
 @query("CLU04_topic_names")

@@ -11,7 +11,6 @@ from paperlake.operators import dedupe as D
 from paperlake.operators import evaluate as E
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
-from paperlake.operators import topics as T
 from paperlake.operators import vectors as V
 from paperlake.sources import readers
 from paperlake.streaming import state
@@ -133,13 +132,6 @@ def test_evaluation(spark, papers):
         E.Case.load({"case_id": "x", "query": " "})
 
 
-def test_topics_assign_every_id_once(spark):
-    rows = [(i, [float(i % 4), float(i % 7)]) for i in range(60)]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = T.nested(e, T.primary(e, 4)).collect()
-    assert sorted(r.vec_id for r in got) == list(range(60)) and all(r.subtopic_id.startswith(r.topic_id) for r in got)
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "ICLR-2024.json").write_text('{"query": {"venue_code": "ICLR", "year": 2024}, "papers": [{"title": "T", "authors": ["A"]}, {"title": "U"}]}')
     got = readers.records(readers.payloads(spark, str(tmp_path / "*.json"))).collect()
