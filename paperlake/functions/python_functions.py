@@ -6,7 +6,9 @@ They run on Arrow batches and belong behind a blocking join or a small result.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -47,3 +49,29 @@ def author_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@lru_cache(1 << 16)
+def _grams(text: str, size: int) -> frozenset:
+    """The grams of a text, repeated ones numbered."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(max(len(text) - size + 1, 0)):
+        g = text[i : i + size]
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return frozenset(out)
+
+
+@F.pandas_udf(DoubleType())
+def ratio_if_possible(a: pd.Series, b: pd.Series, least: pd.Series, gram: pd.Series) -> pd.Series:
+    """The similarity of two texts, or null if the grams they share show it to be below
+    ``least``, without comparing them in full."""
+
+    def one(x: str, y: str, ratio: float, size: int) -> float | None:
+        spoilt = int(round((1 - ratio) * (len(x) + len(y)), 9)) * size
+        if len(_grams(x, size) & _grams(y, size)) < max(len(x), len(y)) - (size - 1) - spoilt:
+            return None
+        return SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([one(*v) for v in zip(a, b, least, gram, strict=True)], dtype="float64")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlake.functions.python_functions import author_similarity, sequence_ratio
 from paperlake.operators.storage import cut
 
 
@@ -145,6 +146,15 @@ def blocked_removals(matches: DataFrame, allowed: DataFrame) -> DataFrame:
     return matches.filter("method = 'removed'").select("old").join(allowed.select("old"), "old", "left_anti")
 
 
+#: How much the titles and the authors count in the similarity of two records (fixed values).
+TITLE_SHARE, AUTHORS_SHARE = 0.42, 0.58
+
+
+def fuzzy_score(title: tuple[str, str], authors: tuple[str, str]) -> Column:
+    """How alike two records are, from the columns of both sides' titles and author lists."""
+    return TITLE_SHARE * sequence_ratio(*title) + AUTHORS_SHARE * author_similarity(*authors)
+
+
 def completeness_merge(old: Column, new: Column) -> Column:
     """The new text, or the old one where the new one is blank."""
     return F.coalesce(F.nullif(F.trim(new), F.lit("")), old)

@@ -103,6 +103,18 @@ def sample_queries(topics: list[tuple[str, list[str]]], n_topics: int, n_subtopi
     return out
 
 
+def sampled_suite(members: DataFrame, hits: DataFrame, threshold: float = 0.9, key: str = "paper_id") -> DataFrame:
+    """(topic, found, passed): how many hits of a topic's query are members of the topic; one
+    passes with one such hit.  A last row, of null topic, has the passed queries and whether
+    they are the ``threshold``.  ``members``, ``hits``: topic, key; a topic without members is
+    not asked for."""
+    right = hits.distinct().join(members.distinct(), ["topic", key], "left_semi").groupBy("topic").agg(F.count(F.lit(1)).alias("found"))
+    each = members.select("topic").distinct().join(right, "topic", "left").select("topic", F.coalesce("found", F.lit(0)).alias("found"))
+    each = each.withColumn("passed", F.col("found") >= 1)
+    rate = each.agg(F.count_if("passed").alias("found"), (F.count_if("passed") >= threshold * F.count(F.lit(1))).alias("passed"))
+    return each.unionByName(rate.select(F.lit(None).cast(each.schema["topic"].dataType).alias("topic"), "found", "passed"))
+
+
 def fingerprint(payload: object) -> str:
     """SHA-256 of compact JSON with sorted keys."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

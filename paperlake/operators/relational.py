@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlake.functions.python_functions import ratio_if_possible
+from paperlake.operators.storage import cut, spread
+
 
 def ordered_children(children: DataFrame, key: str, idx: str, value: str, into: str) -> DataFrame:
     """One row per parent with its child values in order."""
@@ -58,10 +66,14 @@ def heading_before(items: DataFrame, headings: DataFrame, group: str, pos: str,
 
 
 def checklist(actual: DataFrame, official: DataFrame, key: str) -> DataFrame:
-    """(key, state): matched, missing from the actual rows, or extra there."""
-    a, o = actual.select(key).distinct().withColumn("_a", F.lit(1)), official.select(key).distinct().withColumn("_o", F.lit(1))
-    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_o").isNull(), "extra").otherwise("matched")
-    return a.join(o, key, "full").select(key, state.alias("state"))
+    """(key, state): matched, missing from the actual rows, or extra there.
+
+    Keys may be long: they are grouped and joined by their hashes.
+    """
+    one = lambda x, name: x.groupBy(F.md5(F.col(key)).alias("_h")).agg(F.first(key).alias(name), F.lit(1).alias(f"{name}n"))
+    both = one(actual, "_a").join(one(official, "_o"), "_h", "full")
+    state = F.when(F.col("_an").isNull(), "missing").when(F.col("_on").isNull(), "extra").otherwise("matched")
+    return both.select(F.coalesce("_a", "_o").alias(key), state.alias("state"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -70,20 +82,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Tokens whose frequencies order the sets of ``similar_sets``; which are known changes the
+#: cost and never the result.
+KNOWN_TOKENS = 50_000
+
+
+def _heads(sets: DataFrame, key: str, least: float, known: dict[int, int]) -> DataFrame:
+    """(_w, key, _n): the tokens at which a set is looked up, its rarest ones, by their hashes."""
+    shared = sets.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            at, tokens, sizes = [], [], []
+            for i, hashes in enumerate(b.column(1).to_pylist()):
+                n = len(hashes)
+                keep = n - math.ceil(round(least * n, 9)) + 1  # rounding first: 0.9 * 10 is not quite 9
+                head = heapq.nsmallest(keep, hashes, key=lambda h: (often.get(h, 0), h))
+                at += [i] * len(head)
+                tokens += head
+                sizes += [n] * len(head)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32())], ["_w", key, "_n"])
+
+    kind = sets.schema[key].dataType.simpleString()
+    return sets.select(key, "_t").mapInArrow(run, f"_w long, `{key}` {kind}, _n int")
+
+
 def similar_sets(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
     """(a, b, similarity) of distinct token sets with a Jaccard similarity of at least ``least``.
 
     Rows of equal sets are one class, named by its least key, so copies make no pairs.  Two
     sets so similar share one of the first n - ceil(least * n) + 1 of their n tokens in any
-    one order; tokens go from rare to frequent, so candidates meet at rare ones.
+    one order; tokens go from rare to frequent, so candidates meet at rare ones.  Sets are
+    held as sorted token hashes of 64 bits; a pair that they accept is decided on them.
     """
-    sets = rows.select(key, F.array_sort(F.array_distinct(tokens)).alias("_t")).groupBy("_t").agg(F.min(key).alias(key)).filter(F.size("_t") > 0)
-    each = sets.select(key, F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
-    often = each.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = each.join(often, "_w").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_df", "_w")))
-    # rounding before the ceiling: 0.9 * 10 is not quite 9
-    head = ranked.filter(F.col("_r") <= F.col("_n") - F.ceil(F.round(F.lit(least) * F.col("_n"), 9)) + 1)
-    head = head.filter("_df > 1").select("_w", key, "_n")
+    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+    sets = rows.filter(F.size(tokens) > 0).select(key, hashed.alias("_t"))
+    # one row for each distinct set, by its digest; the tokens are looked up again by key
+    sets = cut(spread(sets).groupBy(F.xxhash64("_t").alias("_d"), F.size("_t").alias("_s"), F.md5(F.array_join(F.transform("_t", lambda t: t.cast("string")), " ")).alias("_m")).agg(F.min(F.struct(key, "_t")).alias("r")).select("r.*"))
+    often = sets.select(F.explode("_t").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    known = {r["_w"]: r["_df"] for r in often.filter("_df > 1").orderBy(F.desc("_df"), "_w").limit(KNOWN_TOKENS).collect()}
+    head = _heads(sets, key, least, known)
     near = (F.col("a") < F.col("b")) & (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n"))
     pairs = head.withColumnRenamed(key, "a").join(head.toDF("_w", "b", "_m"), "_w").filter(near).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col(key).alias("a"), F.col("_t").alias("_x")), "a").join(sets.select(F.col(key).alias("b"), F.col("_t").alias("_y")), "b")
@@ -102,8 +141,6 @@ def similar_titles(rows: DataFrame, key: str, title: str, least: float, gram: in
     rarest grams, counted with repeats, and the lengths differ by a bounded factor.  Only
     such pairs are compared; equal titles are one class, named by the least key.
     """
-    from paperlake.functions.python_functions import sequence_ratio
-
     far = least / (2 - least)
     one = rows.filter(F.length(title) > 0).groupBy(F.col(title).alias("_k")).agg(F.min(key).alias("_id")).withColumn("_l", F.length("_k"))
     starts = F.sequence(F.lit(1), F.greatest(F.col("_l") - (gram - 1), F.lit(1)))
@@ -116,8 +153,19 @@ def similar_titles(rows: DataFrame, key: str, title: str, least: float, gram: in
     head = ranked.filter((F.col("_r") <= spoilt + 1) & (F.col("_df") > 1)).select("_g", "_o", "_id", "_l")
     near = (F.col("a") < F.col("b")) & (F.col("_l") >= far * F.col("_m")) & (F.col("_m") >= far * F.col("_l"))
     pairs = head.withColumnRenamed("_id", "a").join(head.toDF("_g", "_o", "b", "_m"), ["_g", "_o"]).filter(near).select("a", "b").distinct()
-    full = pairs.join(one.select(F.col("_id").alias("a"), F.col("_k").alias("_x")), "a").join(one.select(F.col("_id").alias("b"), F.col("_k").alias("_y")), "b")
-    return full.withColumn("ratio", sequence_ratio("_x", "_y")).filter(F.col("ratio") >= least).select("a", "b", "ratio")
+    return similar_pairs(pairs, one.select("_id", "_k"), least, gram).filter(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
+def similar_pairs(pairs: DataFrame, titles: DataFrame, least: float, gram: int = 2) -> DataFrame:
+    """(a, b, ratio) of those pairs that can have the ratio, compared in full.
+
+    ``titles``: _id, _k.  Of two titles with lengths l and m, at most (1 - least) * (l + m)
+    characters are matched by none of the other; each spoils at most ``gram`` grams, so at
+    least the others of either title are shared, counted with repeats.
+    """
+    side = lambda name, k: titles.select(F.col("_id").alias(name), F.col("_k").alias(k))
+    full = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b")
+    return full.select("a", "b", ratio_if_possible("_x", "_y", F.lit(least), F.lit(gram)).alias("ratio")).filter("ratio is not null")
 
 
 def count_by(rows: DataFrame, column: Column, into: str) -> DataFrame:

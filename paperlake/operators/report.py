@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,40 @@ def failed_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("status") == "failed")
 
 
+def backup(spark: SparkSession, path: str, root: str, run: str) -> str:
+    """Copies a file or folder to ``root/run`` before it is written over; where the copy is.
+
+    A backup that a run has already made stays: it is the state from before the run.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(path), hadoop.Path(f"{root}/{run}/{path.rstrip('/').rpartition('/')[2]}")
+    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    if not to.exists(target):
+        making = hadoop.Path(f"{root}/{run}/_making-{uuid.uuid4().hex}")
+        hadoop.FileUtil.copy(fs, source, to, making, False, conf)
+        if not to.rename(making, target):
+            raise OSError(f"cannot back up {path}")
+    return target.toString()
+
+
+def write_back(rows: DataFrame, path: str, root: str, run: str) -> str | None:
+    """Writes a payload folder over after backing it up; where the backup is.
+
+    The new files are written whole before the old ones go, so rows may come from them.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = backup(spark, path, root, run) if fs.exists(at) else None
+    making = f"{path.rstrip('/')}._new-{uuid.uuid4().hex}"
+    rows.write.json(making)
+    fs.delete(at, True)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(making), at):
+        raise OSError(f"cannot write back {path}")
+    return kept
+
+
 def suites(papers: DataFrame, cases: list[E.Case], which: str = "offline", healthy: bool = True, index: N.Index | None = None) -> DataFrame:
     """(suite, cases, passed): offline forces plain search; online runs only if healthy."""
     if which not in ("offline", "online", "all"):

@@ -153,13 +153,12 @@ def _(spark, sf):
 
 @query("REC06_author_similarity")
 def _(spark, sf):
-    """The user's whole texts of each conversation against the assistant's, as two name lists."""
-    from paperlake.functions.python_functions import author_similarity
-
-    v = table(spark, sf, "conversations")
-    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct("turn", "text")))), lambda s: s["text"])
-    x = v.groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
-    return x.select("conv_id", F.round(author_similarity("a", "b"), 6).alias("similarity"))
+    """Pages of similar titles with their navigation entries as names: how far titles, names
+    and both together agree."""
+    p = table(spark, sf, "pages").select("page_id", X.title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("k"), F.regexp_extract_all("html", F.lit("<li><a [^>]*>([^<]*)</a>"), F.lit(1)).alias("names"))
+    side = lambda s: p.select(c("page_id").alias(s), c("k").alias(f"k{s}"), c("names").alias(f"n{s}"))
+    x = R.similar_titles(p, "page_id", "k", R.TITLE_RULES[0][1]).join(side("a"), "a").join(side("b"), "b")
+    return x.select("a", "b", F.round("ratio", 6).alias("title"), F.round(D.author_similarity("na", "nb"), 6).alias("authors"), F.round(D.fuzzy_score(("ka", "kb"), ("na", "nb")), 6).alias("score"))
 
 
 @query("REC07_blocked_removals", f"{ALL} SELECT old FROM r WHERE method = 'removed' AND old NOT IN (SELECT paper_id FROM papers WHERE presentation_level = 'poster')")

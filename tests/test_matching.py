@@ -36,6 +36,26 @@ def test_similar_titles_lose_nothing(spark):
         assert want or ratio > 0.9
 
 
+def test_few_titles_are_compared_in_full(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(120)]
+    titles = [" ".join(rng.choices(words, k=rng.randint(5, 9))) for _ in range(150)]
+    titles += [t.replace(" ", "  ", 1)[:-1] for t in titles[:40]]
+    one = spark.createDataFrame(list(enumerate(titles)), "_id long, _k string")
+    pairs = one.selectExpr("_id as a").crossJoin(one.selectExpr("_id as b")).filter("a < b")
+    near = pairs.count()
+    compared = R.similar_pairs(pairs, one, 0.86)
+    found = {(r.a, r.b) for r in compared.filter("ratio >= 0.86").collect()}
+    assert found == {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.86} and len(found) >= 40
+    assert compared.count() < 0.05 * near
+
+
+def test_fuzzy_score(spark):
+    row = spark.createDataFrame([("deep nets", "deep net", ["ann lee", "bo"], ["ann lee"])], "x string, y string, a array<string>, b array<string>")
+    want = 0.42 * SequenceMatcher(None, "deep nets", "deep net").ratio() + 0.58 * 0.5
+    assert row.select(D.fuzzy_score(("x", "y"), ("a", "b"))).first()[0] == pytest.approx(want)
+
+
 def test_similar_sets_lose_nothing(spark):
     rng = random.Random(5)
     sets = []

@@ -165,3 +165,15 @@ def test_a_listing_must_be_complete(spark):
         with pytest.raises(ValueError, match="loop"):
             corpus.complete(loop)
     assert corpus.complete(good.limit(0)) == {"pages": 0, "items": 0}
+
+
+def test_a_backup_is_the_state_before_the_run(spark, tmp_path):
+    path, root = str(tmp_path / "2024.json"), str(tmp_path / "backups")
+    read = lambda p: sorted(r.v for r in spark.read.json(p).collect())
+    assert report.write_back(rows(spark, 1), path, root, "run1") is None
+    kept = report.write_back(spark.read.json(path).selectExpr("v + 1 as v"), path, root, "run1")
+    assert read(path) == [2] and read(kept) == [1]
+    assert report.write_back(rows(spark, 3), path, root, "run1") == kept and read(kept) == [1] and read(path) == [3]
+    with pytest.raises(Exception, match="no"):
+        report.write_back(rows(spark, 4).selectExpr("raise_error('no') as v"), path, root, "run2")
+    assert read(path) == [3] and read(f"{root}/run2/2024.json") == [3]
