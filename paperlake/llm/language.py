@@ -8,12 +8,14 @@ than nearly all training texts of the language.
 The classifier is fitted on a bounded sample of labelled rows (``max_train`` in total): of
 each language's texts of at least FULL grams those of least hash of id and text, or its FEW
 longest texts if it has fewer than that; so every label of a text with a letter has a
-centroid.  The rows are picked and counted on the executors: the driver gets no text, but at
+centroid, however often its rows repeat.  With more labels than ``max_train`` each has one
+row.  The rows are picked and counted on the executors: the driver gets no text, but at
 most ``max_train`` rows of at most DIMENSIONS counts, however often an id occurs.
 Prediction covers every row and whole texts and sees nothing but the text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected;
-a table without labelled text gives ``und`` everywhere; ties go to the first label in code
+a table without labelled text gives ``und`` everywhere; repeated rows get equal predictions;
+an empty table has no rows; further columns are ignored unless they are kept; ties go to the first label in code
 point order.
 """
 
@@ -146,18 +148,19 @@ def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lan
         F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(row_id), F.col(text)), F.lit(1 << 30)).alias("h"), size.alias("size")
     )
     full = F.col("size") >= FULL // 3 - 1
-    sizes = {r["label"]: r["full"] for r in rows.groupBy("label").agg(F.count_if(full).alias("full"), F.count_if(F.col("size") > 0).alias("some")).filter("some > 0").collect()}
+    sizes = {r["label"]: (r["full"], r["least"]) for r in rows.groupBy("label").agg(F.count_if(full).alias("full"), F.count_if(F.col("size") > 0).alias("some"), F.min(F.when(full, F.col("h"))).alias("least")).filter("some > 0").collect()}
     if not sizes:
         return fit([], [])
     quota = max(1, max_train // len(sizes))
     few = min(FEW, quota)
-    short = sorted(name for name, n in sizes.items() if n < few)
-    # a hash below the label's threshold admits about twice the quota; the window takes the
-    # quota of those, first in every task, so that equal hashes fill no task either
-    limits = [F.when(F.col("label") == name, min(1 << 30, int((2 * quota + 20) / n * (1 << 30)))) for name, n in sorted(sizes.items()) if n >= few]
-    least = Window.partitionBy("label").orderBy("h", "text")
+    short = sorted(name for name, (n, _) in sizes.items() if n < few)
+    # a hash below the label's threshold admits about twice the quota, and the least hash of a
+    # label always, as repeated rows have one hash; the window takes the quota of those, first
+    # in every task, so that equal hashes fill no task either
+    limits = [F.when(F.col("label") == name, max(least + 1, min(1 << 30, int((2 * quota + 20) / n * (1 << 30))))) for name, (n, least) in sorted(sizes.items()) if n >= few]
+    first = Window.partitionBy("label").orderBy("h", "text")
     longest = Window.partitionBy("label").orderBy(F.desc("size"), "h", "text")
-    taken = rows.filter(F.col("h") < F.coalesce(*limits)).filter(full).withColumn("row", F.row_number().over(least)).filter(F.col("row") <= quota) if limits else None
+    taken = rows.filter(F.col("h") < F.coalesce(*limits)).filter(full).withColumn("row", F.row_number().over(first)).filter(F.col("row") <= quota) if limits else None
     if short:
         long_ones = rows.filter(F.col("label").isin(short) & (F.col("size") > 0)).withColumn("row", F.row_number().over(longest)).filter(F.col("row") <= few)
         taken = long_ones if taken is None else taken.unionByName(long_ones)

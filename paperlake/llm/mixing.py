@@ -14,6 +14,8 @@ rows are separate documents; an empty table gives no rows; reruns agree.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,8 @@ def fit_budget(hist: list[tuple[int, int]], budget: int) -> dict[int, int]:
 
     ``hist``: (size, documents).  An equal share of every size is taken first; the rest is
     filled by a subset-sum dynamic programme over the documents left, on bit sets, with
-    each size's count split into powers of two.
+    each size's count split into powers of two.  It holds the square root of the bit sets
+    at once, each of at most as many bits as twice the longest text has words.
     """
     total = sum(s * n for s, n in hist)
     if budget <= 0 or total == 0:
@@ -73,17 +76,27 @@ def fit_budget(hist: list[tuple[int, int]], budget: int) -> dict[int, int]:
             k = min(step, left)
             items.append((s * k, s, k))
             left, step = left - k, step * 2
-    mask, sets = (1 << rest + 1) - 1, [1]
+    # a bit set is as wide as the rest, and that as the longest text: only every step-th is
+    # kept, and those between are made again on the way back
+    mask, step = (1 << rest + 1) - 1, math.isqrt(len(items)) + 1
+    marks, reached, done = [1], 1, 0
     for words, _, _ in items:
-        sets.append((sets[-1] | sets[-1] << words) & mask)
-        if sets[-1] >> rest & 1:
+        reached = (reached | reached << words) & mask
+        done += 1
+        if done % step == 0:
+            marks.append(reached)
+        if reached >> rest & 1:
             break
-    at = sets[-1].bit_length() - 1
-    for i in range(len(sets) - 2, -1, -1):
-        if not sets[i] >> at & 1:
-            words, s, k = items[i]
-            take[s] += k
-            at -= words
+    at = reached.bit_length() - 1
+    for first in range((done - 1) // step * step, -1, -step):
+        block = items[first : min(first + step, done)]
+        sets = [marks[first // step]]
+        for words, _, _ in block[:-1]:
+            sets.append((sets[-1] | sets[-1] << words) & mask)
+        for (words, s, k), before in zip(reversed(block), reversed(sets), strict=True):
+            if not before >> at & 1:
+                take[s] += k
+                at -= words
     return {s: n for s, n in take.items() if n}
 
 

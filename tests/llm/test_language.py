@@ -82,3 +82,18 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in L.language_query(df).collect()}
     assert got == {i: lang for i, _, lang in data}
+
+
+def test_labels_of_repeated_rows_are_learnt(spark):
+    rng = random.Random(5)
+    one = {lang: text(rng, lang, 90) for lang in ("aa", "bb")}
+    data = [(None, t, lang) for lang, t in one.items() for _ in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for _ in range(3):
+        one["aa"] += " " + text(rng, "aa", 1)
+        again = df.withColumn("text", F.when(F.col("lang") == "aa", one["aa"]).otherwise(F.col("text")))
+        assert L.train(again, ~L.held_out()).labels == ["aa", "bb"]
+
+
+def test_an_empty_table(spark):
+    assert L.language_query(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []

@@ -52,3 +52,18 @@ def test_mix(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mixing_query(df).collect() == []
+
+
+def test_a_text_of_millions_of_words_needs_little_memory():
+    import tracemalloc
+
+    hist = [(s, 3) for s in range(1, 3001)] + [(20_000_000, 1)]
+    total = sum(s * n for s, n in hist)
+    tracemalloc.start()
+    take = M.fit_budget(hist, total - 20_000_000 + 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert abs(sum(s * n for s, n in take.items()) - (total - 20_000_000 + 7)) <= 7
+    small = M.fit_budget([(3, 4), (5, 2), (7, 1)], 17)
+    assert sum(s * n for s, n in small.items()) == 17
