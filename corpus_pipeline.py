@@ -4,7 +4,8 @@ A caller may write each stage's rows as Parquet and read them again as the next
 All stages but the last return the columns of ``documents``.
 
 Defined results: rows without a letter are rejected by the first stage; repeated rows are
-near-duplicates of each other; null texts have no language and go; an empty table passes
+near-duplicates of each other, and of several rows with the smallest id the one of least text
+hash, then the first by all columns, stays; null texts have no language and go; an empty table passes
 through every stage as an empty table; further columns of the input are dropped.
 """
 
@@ -33,10 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
     found = simhash.near_copies(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark", "root").dropDuplicates(["root"]).drop("root")
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("s")).select("s.*")
     kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["doc_id"]) & (marked["mark"] == stays["mark"]), "left_semi")
-    # equal rows may share the smallest id; one of them stays
-    first = Window.partitionBy("doc_id", "mark").orderBy(F.lit(0))
+    # rows of equal text may share the smallest id; the first by all columns stays
+    first = Window.partitionBy("doc_id", "mark").orderBy(*COLUMNS)
     return kept.withColumn("row", F.row_number().over(first)).filter("row = 1").select(*COLUMNS)
 
 
