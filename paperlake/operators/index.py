@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import search as S
-from paperlake.operators.storage import cut, delete, file_stamp, spread
+from paperlake.operators.storage import STALE, cut, delete, file_stamp, spread
 from paperlake.streaming.upsert import read_table, versions, write_version
 
 #: Tokens whose postings one partition of terms is to hold, and the most such partitions.
@@ -186,7 +186,7 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _commit(index: Index, stamp: str | None, tombstones: DataFrame | None) -> Index:
+def _commit(index: Index, stamp: str | None, tombstones: DataFrame | None, making: str | None = None) -> Index:
     """Publishes the state and drops what no kept manifest names."""
     dead_docs = sum(s.dead for s in index.segments)
     name = None
@@ -199,17 +199,19 @@ def _commit(index: Index, stamp: str | None, tombstones: DataFrame | None) -> In
     index = replace(index, tokens=tokens)
     state = {k: v for k, v in asdict(replace(index, spark=None)).items() if k not in ("spark", "path")}
     write_version(index.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1), f"{index.path}/manifest")
-    _sweep(index)
+    _sweep(index, making)
     return index
 
 
-def _sweep(index: Index) -> None:
-    """Deletes segments and tombstones that none of the kept manifests names."""
+def _sweep(index: Index, making: str | None) -> None:
+    """Deletes what this refresh has made on the way, and old segments and tombstones that
+    none of the kept manifests names."""
     named: set[str] = set()
+    delete(index.spark, index.path, lambda n: n == making)
     for v in versions(index.spark, f"{index.path}/manifest"):
         state = json.loads(index.spark.read.schema("state string").parquet(f"{index.path}/manifest/v{v:012d}").first()["state"])
         named |= {s["name"] for s in state["segments"]} | {state["tombstones"]}
-    delete(index.spark, index.path, lambda name: name.startswith(("segment-", "tombstones-", "making-")) and name not in named)
+    delete(index.spark, index.path, lambda name: name.startswith(("segment-", "tombstones-", "making-")) and name not in named, STALE)
 
 
 def read(spark: SparkSession, path: str) -> Index | None:
@@ -231,7 +233,7 @@ def refresh(papers: DataFrame, path: str, key: str = "paper_id") -> Index:
     if stamp is not None and index.stamp == stamp:
         return index
     papers = papers.filter(F.col(key).isNotNull()).select(key, "title", "abstract")
-    making = f"{path}/making-{uuid.uuid4().hex}"
+    making = f"making-{uuid.uuid4().hex}"
     old_dead = spark.read.schema(f"`{key}` {index.key_type}, segment string").parquet(f"{path}/{index.tombstones}") if index.tombstones else None
     segments, tombstones = list(index.segments), old_dead
     if segments:
@@ -244,9 +246,15 @@ def refresh(papers: DataFrame, path: str, key: str = "paper_id") -> Index:
         if by_segment:
             tombstones = gone if old_dead is None else old_dead.unionByName(gone)
         papers = papers.join(changed.filter("_add").select(key), key, "left_semi")
-    rows = _stored(_tokenised(papers, key), f"{making}/rows")
+    rows = _stored(_tokenised(papers, key), f"{path}/{making}/rows")
     made = _write_segment(index, rows.filter("term is not null"), rows.filter("term is null"))
-    index = _commit(replace(index, segments=tuple([*segments, *([made] if made else [])])), stamp, tombstones)
+    try:
+        index = _commit(replace(index, segments=tuple([*segments, *([made] if made else [])])), stamp, tombstones, making)
+    except OSError:  # another run may have published the same meanwhile
+        other = read(spark, path)
+        if stamp is None or other is None or other.stamp != stamp:
+            raise
+        return other
     return merge(index)
 
 

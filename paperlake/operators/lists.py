@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.operators import vectors as V
-from paperlake.operators.storage import cut, delete, file_stamp
+from paperlake.operators.storage import STALE, cut, delete, file_stamp
 from paperlake.streaming.upsert import read_table, versions, write_version
 
 #: Vectors of the sample for each list; the most lists; lists that a search reads first.
@@ -146,7 +146,13 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vec_col: str =
     named.join(facts, "list").select("list", "centre", "n", "radius").coalesce(1).write.parquet(f"{path}/{folder}/centroids")
     delete(spark, f"{path}/{folder}", lambda n: n == "placed")
     state = json.dumps({"folder": folder, "key": id_col, "key_type": key_type, "stamp": stamp})
-    write_version(spark.createDataFrame([(state,)], "state string").coalesce(1), f"{path}/manifest")
+    try:
+        write_version(spark.createDataFrame([(state,)], "state string").coalesce(1), f"{path}/manifest")
+    except OSError:  # another run may have published the same meanwhile
+        other = read(spark, path)
+        if stamp is None or other is None or other.stamp != stamp:
+            raise
+        return other
     kept = {json.loads(spark.read.schema("state string").parquet(f"{path}/manifest/v{v:012d}").first()["state"])["folder"] for v in versions(spark, f"{path}/manifest")}
-    delete(spark, path, lambda n: n.startswith("lists-") and n not in kept)
+    delete(spark, path, lambda n: n.startswith("lists-") and n not in kept, STALE)
     return read(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -43,12 +44,16 @@ def _path(spark: SparkSession, path: str) -> tuple:
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def delete(spark: SparkSession, folder: str, which: Callable[[str], bool]) -> None:
-    """Deletes the entries of a folder whose names are asked for."""
+#: Seconds after which what no manifest names is taken for left over, not for in the making.
+STALE = 3 * 86_400
+
+
+def delete(spark: SparkSession, folder: str, which: Callable[[str], bool], age: float = 0) -> None:
+    """Deletes the entries of a folder whose names are asked for, if they are old enough."""
     at, fs = _path(spark, folder)
     if fs.exists(at):
         for status in fs.listStatus(at):
-            if which(status.getPath().getName()):
+            if status.getModificationTime() / 1000 <= time.time() - age and which(status.getPath().getName()):
                 fs.delete(status.getPath(), True)
 
 
