@@ -8,12 +8,14 @@ the rest of the tree.
 
 Windows of all documents are grouped by their minimum.  Equal contexts in a group are equal
 passages and need no pairs: each is tied to the first of its class, and the documents so
-tied form provisional classes.  Only groups in which several provisional classes meet are
-looked at further.  There, every distinct context is a candidate: one shared minimum is
-enough.  Candidates of different classes are verified on their shingles: similarity is
-Jaccard over a stretch of ``least`` shingles.  Pairs come from an index of each candidate's
-rarest shingles, long enough that no similar pair of a group can miss it, so lines that
-thousands of documents share pair nothing; two classes once linked are not compared again.
+tied form provisional classes.  Where different contexts meet, every one is a candidate, also
+in one provisional class, for its documents may have a near passage besides the equal one:
+one shared minimum is enough.  Candidates are verified on their shingles: similarity is
+Jaccard over a stretch of ``least`` shingles.  Small groups are compared pair by pair.  In a
+larger one a context meets those that hold one of the rarest places of its stretches, enough
+of them that no similar context can lack them all, so lines that thousands of documents
+share pair nothing; it stops when each of its stretches has a similar one and no other class
+is left, so near copies are not all compared with each other.
 
 Two stretches of similarity s have no minimum in common, and are lost, with probability
 (1 - s) ** functions: 0.15 % at 0.8 with four functions and 0.01 % at 0.9.
@@ -22,15 +24,14 @@ Defined results: a null text is empty; documents with fewer than ``least`` shing
 passage; a passage repeated only inside one document is not counted; repeated rows are one
 document; documents without a shared passage are their own class; an empty table gives no
 rows.  Each distinct context goes to one task per group once, copies do not.  Spans are those
-of equal contexts and of verified links between classes.
+of equal contexts and of all stretches that are similar to one of another document.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -52,6 +53,9 @@ _ODD = 0xD6E8FEB86659FD93
 #: Shingles whose windows are found at a time, centres that look around at a time, and bytes
 #: of a long text that are split into words at a time.
 _SHINGLES, _AT_ONCE, _PIECE = 500_000, 16_384, 1 << 22
+#: Contexts of a group whose pairs are all compared, pairs compared at a time, and in a larger
+#: group neighbours on a side and other rows compared at a time.
+_SMALL, _PAIRS, _NEAR, _ROWS = 100, 4096, 8, 256
 _SPACE = re.compile(rb"[ \x09-\x0D]")
 
 
@@ -211,7 +215,8 @@ def window_table(docs: DataFrame, uid: str = "uid", text: str = "text", n: int =
 def shared_windows(table: DataFrame) -> DataFrame:
     """Windows whose minimum other documents have too: with ``first``, the least document of
     the same context, ``twin`` if that context is in several, ``several`` if the group has
-    different contexts, and ``ask`` on one window of each context."""
+    different contexts, and ``ask`` on one window of each context, and on every window of
+    a context that only one document has."""
     group = Window.partitionBy("low")
     whole = group.orderBy("context", "uid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cls = Window.partitionBy("low", "context").orderBy("uid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -219,32 +224,32 @@ def shared_windows(table: DataFrame) -> DataFrame:
         "*", F.first("uid").over(cls).alias("first"), F.max("most").over(cls).alias("last"), F.row_number().over(Window.partitionBy("low", "context").orderBy("uid")).alias("row"),
         F.min("uid").over(whole).alias("u0"), F.max("most").over(whole).alias("u1"), (F.first("context").over(whole) != F.last("context").over(whole)).alias("several"))
     x = x.filter("u0 != u1")
-    own = F.array(F.struct("uid", "left", "right", ((F.col("row") == 1) & F.col("several")).alias("ask")))
-    others = F.transform("more", lambda m: F.struct(m["uid"].alias("uid"), m["left"].alias("left"), m["right"].alias("right"), F.lit(False).alias("ask")))
+    once = F.col("several") & (F.col("first") == F.col("last"))
+    own = F.array(F.struct("uid", "left", "right", (once | (F.col("several") & (F.col("row") == 1))).alias("ask")))
+    others = F.transform("more", lambda m: F.struct(m["uid"].alias("uid"), m["left"].alias("left"), m["right"].alias("right"), once.alias("ask")))
     each = F.explode(F.concat(own, F.coalesce(others, F.array().cast("array<struct<uid:bigint,left:int,right:int,ask:boolean>>"))))
     x = x.select("low", "context", "fn", "first", (F.col("first") != F.col("last")).alias("twin"), "several", each.alias("w"))
     return x.select("low", "context", "w.uid", "fn", "w.left", "w.right", "first", "twin", "several", "w.ask")
 
 
 def _contexts(docs: DataFrame, shared: DataFrame, roots: DataFrame, uid: str, text: str, n: int) -> DataFrame:
-    """(low, uid, root, left, shingles) of the windows to verify."""
-    meet = shared.filter("ask").join(roots, "uid").groupBy("low").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("low")
-    asked = shared.filter("ask").join(meet, "low", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("low", "left", "right")).alias("windows")).join(roots, "uid")
+    """(low, uid, root, left, twin, shingles) of the windows to verify."""
+    asked = shared.filter("ask").groupBy("uid").agg(F.collect_list(F.struct("low", "left", "right", "twin")).alias("windows")).join(roots, "uid")
     rows = docs.select(F.col(uid).alias("uid"), F.col(text).cast("binary").alias("data")).join(asked, "uid").select("uid", "root", "data", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in sliced(batches, 128):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for u, root, data, windows in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 s = (shingle_hashes(data, known, n) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for w in windows:
-                    for col, v in zip(out, (w["low"], u, root, w["left"], s[w["left"] : w["right"] + 1].tobytes()), strict=True):
+                    for col, v in zip(out, (w["low"], u, root, w["left"], w["twin"], s[w["left"] : w["right"] + 1].tobytes()), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["low", "uid", "root", "left", "shingles"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["low", "uid", "root", "left", "twin", "shingles"])
 
-    return rows.mapInArrow(run, "low long, uid long, root long, left int, shingles binary")
+    return rows.mapInArrow(run, "low long, uid long, root long, left int, twin boolean, shingles binary")
 
 
 def best_stretch(x: list[int], other: set[int], least: int) -> tuple[int, int, int]:
@@ -260,95 +265,209 @@ def _needed(least: int, similarity: float) -> float:
     return 2 * least * similarity / (1 + similarity)
 
 
-def fewest_shared(x: list[int], least: int, need: int) -> int:
-    """Distinct shingles at least that ``need`` places of a stretch of ``least`` in x have."""
-    if len(set(x)) == len(x):
-        return need
-    fewest = need
-    for i in range(len(x) - least + 1):
-        often = accumulate(sorted(Counter(x[i : i + least]).values(), reverse=True))
-        fewest = min(fewest, 1 + next(k for k, places in enumerate(often) if places >= need))
-    return fewest
+def _padded(rows: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flat rows as a matrix, and which of its places are theirs."""
+    own = np.arange(width) < lengths[:, None]
+    out = np.zeros(own.shape, np.int64)
+    out[own] = rows
+    return out, own
+
+
+def _stretches(hit: np.ndarray, lengths: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Which stretches of ``least`` places, by start, have ``need`` hits inside the row."""
+    total = np.zeros((len(hit), hit.shape[1] + 1), np.int8 if hit.shape[1] < 1 << 7 else np.int64)
+    np.cumsum(hit, axis=1, dtype=total.dtype, out=total[:, 1:])
+    good = total[:, least:] - total[:, :-least] >= need
+    return good & (np.arange(good.shape[1]) <= lengths[:, None] - least)
+
+
+def _ends(good: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place of the first and last place of the last stretch of each row."""
+    return good.argmax(axis=1), good.shape[1] - 2 - good[:, ::-1].argmax(axis=1) + least
+
+
+def _hopeful(ids: np.ndarray, n: int, lengths: np.ndarray, uid: np.ndarray, twin: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Which rows have a stretch of whose places ``need`` are in rows of other documents."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    one, several, equal = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    one[ids] = row  # some row that has the shingle
+    several[ids[one[ids] != row]] = True
+    equal[ids[twin[row]]] = True
+    owner = uid[one]
+    other = equal
+    other[ids[owner[ids] != uid[row]]] = True
+    hit, _ = _padded((other & several)[ids], lengths, max(int(lengths.max()), least))
+    return _stretches(hit, lengths, least, need).any(axis=1)
+
+
+def _small(which: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, own: np.ndarray, lengths: np.ndarray, distinct: np.ndarray, apart: Callable, least: int, need: int) -> Iterator[tuple]:
+    """Similar pairs (i, j, their ends) of the small groups, all pairs of many groups at once."""
+    group = np.repeat(which, size[which])
+    rows = np.repeat(start[which] - np.cumsum(size[which]) + size[which], size[which]) + np.arange(len(group))
+    at = np.zeros(len(lengths), np.int64)  # where the row's table of the group's shingles begins
+    at[rows] = np.cumsum(distinct[group]) - distinct[group]
+    table = np.zeros(int(distinct[group].sum()) if len(group) else 0, bool)
+    r, c = np.nonzero(own[rows])
+    table[at[rows[r]] + ids[rows[r], c]] = True
+    later = start[group] + size[group] - 1 - rows
+    i = np.repeat(rows, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    keep = apart(i, j)
+    i, j = i[keep], j[keep]
+    look = lambda x, y: _stretches(table[at[y][:, None] + ids[x]] & own[x], lengths[x], least, need)
+    for k in range(0, len(i), _PAIRS):
+        a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
+        good = look(a, b)
+        some = good.any(axis=1)
+        a, b, good = a[some], b[some], good[some]
+        back = look(b, a)
+        some = back.any(axis=1)
+        if some.any():
+            yield a[some], b[some], *_ends(good[some], least), *_ends(back[some], least)
+
+
+def _large(first: int, n: int, ids: np.ndarray, own: np.ndarray, lengths: np.ndarray, distinct: int, root: np.ndarray, twin: np.ndarray, apart: Callable, least: int, need: int) -> Iterator[tuple]:
+    """Similar pairs (i, j, their ends) of one large group, as many as give every link between
+    classes and every similar stretch of a row.
+
+    A row is compared with its neighbours, and then with the rows that hold one of the
+    ``least - need + 1`` rarest places of a stretch that no similar row has covered yet, or
+    of any stretch if they are of another class: a similar row cannot lack all of those.
+    """
+    ids, own, lengths = ids[first : first + n], own[first : first + n], lengths[first : first + n]
+    r, c = np.nonzero(own)
+    pairs = np.unique(ids[r, c] * n + r)  # (shingle, row)
+    bounds = np.searchsorted(pairs, np.arange(distinct + 1) * n)
+    often, holders = np.diff(bounds), pairs % n
+    label = np.unique(root[first : first + n], return_inverse=True)[1]
+    classes = label.max() + 1
+    covered = np.arange(ids.shape[1] - least + 1) > lengths[:, None] - least  # stretches beyond the row's end count as covered
+    spot, mark = np.full(distinct, -1), np.zeros(distinct, bool)
+    covered[twin[first : first + n]] = True  # equal contexts have their span already
+    missing = least - need + 1
+    look = lambda some: np.unique(np.concatenate([holders[bounds[v] : bounds[v + 1]] for v in np.unique(some)]))
+    for i in range(n):
+        x = ids[i, : lengths[i]]
+        values, places = np.unique(x, return_inverse=True)
+        spot[values], mark[values] = np.arange(len(values)), True
+        fresh = np.ones(n, bool)
+        fresh[i] = False
+        near, rare = np.arange(max(0, i - _NEAR), min(n, i + _NEAR + 1)), None
+        while (open_ := ~covered[i, : len(x) - least + 1]).any() or classes > 1:
+            near = near[fresh[near]]
+            if not len(near):
+                if rare is None:
+                    views = np.lib.stride_tricks.sliding_window_view(x, least)
+                    rare = np.take_along_axis(views, np.argpartition(often[views], missing - 1, axis=1)[:, :missing], axis=1)
+                near = look(rare[open_]) if open_.any() else near
+                near = near[fresh[near]]
+                if not len(near) and classes > 1:
+                    near = look(rare)
+                    near = near[fresh[near] & (label[near] != label[i])]
+                if not len(near):
+                    break
+                near = near[:_ROWS]
+            fresh[near] = False
+            near = near[apart(np.full(len(near), first + i), first + near)]
+            held = np.zeros((len(near), len(values) + 1), bool)
+            rows, cols = np.nonzero(own[near])
+            held[rows, spot[ids[near][rows, cols]]] = True  # others go to the last column
+            good = _stretches(held[:, places], np.full(len(near), len(x)), least, need)
+            back = _stretches(mark[ids[near]] & own[near], lengths[near], least, need)
+            some = good.any(axis=1) & back.any(axis=1)
+            if some.any():
+                near, good, back = near[some], good[some], back[some]
+                covered[i, : good.shape[1]] |= good.any(axis=0)
+                covered[near] |= back
+                for other in np.unique(label[near]):
+                    if other != label[i]:
+                        label[label == other] = label[i]
+                        classes -= 1
+                yield np.full(len(near), first + i), first + near, *_ends(good, least), *_ends(back, least)
+            near = near[:0]
+        spot[values], mark[values] = -1, False
+
+
+def similar_contexts(group: np.ndarray, uid: np.ndarray, root: np.ndarray, twin: np.ndarray, left: np.ndarray, shingles: list[bytes], least: int, similarity: float) -> list[np.ndarray]:
+    """uid, other uid, first, last shingle of what is similar in the groups (0, 1, ... ascending).
+
+    Every context that is similar to one of another document has a row with all its similar
+    stretches, which overlap, as one span; two classes (roots) that have a similar pair have
+    a row as well.  ``twin``: contexts that several documents have.
+    """
+    need = math.ceil(_needed(least, similarity) - 1e-9)
+    lengths = np.array([len(x) // 4 for x in shingles], np.int64)
+    flat = np.frombuffer(b"".join(shingles), np.uint32)
+    keys = (np.repeat(group, lengths).astype(np.uint64) << np.uint64(32)) | flat
+    while len(group):  # without those of which no stretch can be similar to any other context
+        values, ids = np.unique(keys, return_inverse=True)
+        hope = _hopeful(ids, len(values), lengths, uid, twin, least, need)
+        if hope.all():
+            break
+        keys = keys[np.repeat(hope, lengths)]
+        group, uid, root, twin, left, lengths = (x[hope] for x in (group, uid, root, twin, left, lengths))
+    if not len(group):
+        return [np.zeros(0, np.int64)] * 4
+    n_groups = int(group[-1]) + 1
+    distinct = np.bincount((values >> np.uint64(32)).astype(np.int64), minlength=n_groups)
+    ids = ids - np.repeat((np.cumsum(distinct) - distinct)[group], lengths)
+    ids, own = _padded(ids, lengths, max(int(lengths.max()), least))
+    size = np.bincount(group, minlength=n_groups)
+    start = np.cumsum(size) - size
+    apart = lambda i, j: (uid[i] != uid[j]) | twin[i] | twin[j]
+    found = list(_small(np.flatnonzero((size > 1) & (size <= _SMALL)), start, size, ids, own, lengths, distinct, apart, least, need))
+    for g in np.flatnonzero(size > _SMALL).tolist():
+        found += _large(int(start[g]), int(size[g]), ids, own, lengths, int(distinct[g]), root, twin, apart, least, need)
+    if not found:
+        return [np.zeros(0, np.int64)] * 4
+    i, j, a, b, c, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j, a, b = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([a, c]), np.concatenate([b, d])
+    low, high, other = np.full(len(uid), 1 << 60), np.full(len(uid), -1), np.full(len(uid), (1 << 63) - 1)
+    np.minimum.at(low, i, a)
+    np.maximum.at(high, i, b)
+    np.minimum.at(other, i, uid[j])
+    rows = np.flatnonzero(high >= 0)
+    across = np.flatnonzero(root[i] < root[j])
+    across = across[np.unique(np.stack([group[i[across]], root[i[across]], root[j[across]]]), axis=1, return_index=True)[1]] if len(across) else across
+    i, j = np.concatenate([rows, i[across]]), np.concatenate([other[rows], uid[j[across]]])
+    return [uid[i], j, left[i] + low[i], left[i] + high[i]]
 
 
 def group_links(members: list[tuple], least: int, similarity: float) -> Iterator[tuple[int, int, int, int]]:
     """(uid, other uid, first, last shingle) verified in one group of distinct contexts.
 
-    ``members``: (uid, root, left, shingles).  Classes (roots) that have a similar pair are
-    linked by one such pair; both sides of a link are given.  Repeats inside a stretch make
-    fewer distinct shingles, so each member's prefix follows from its own stretches.  The
-    index lists members by class, and joins the lists of classes once linked, so that a
-    group of near copies is not compared pair by pair.
+    ``members``: (uid, root, left, shingles).
     """
-    if len(members) < 2 or all(m[1] == members[0][1] for m in members):
-        return
-    need = math.ceil(_needed(least, similarity) - 1e-9)
-    rows = [(u, root, left, np.frombuffer(s, np.uint32).tolist()) for u, root, left, s in sorted(members)]
-    sets = [set(r[3]) for r in rows]
-    spread: Counter = Counter()
-    for x in sets:
-        spread.update(x)
-    order = {s: i for i, s in enumerate(sorted(spread, key=lambda s: (spread[s], s)))}
-    top = {r[1]: r[1] for r in rows}
-
-    def find(r: int) -> int:
-        while (up := top[r]) != r:
-            top[r] = r = top[up]
-        return r
-
-    index: dict[int, dict[int, list[int]]] = {}
-    left_over = len(top)
-    fewest: list[int] = []
-    for i, (u, root, left, x) in enumerate(rows):
-        if left_over == 1:
-            return
-        fewest.append(fewest_shared(x, least, need))
-        rarest = sorted(sets[i], key=order.__getitem__)[: max(0, len(sets[i]) - fewest[i] + 1)]
-        tried: set[int] = set()
-        for s in rarest:
-            if spread[s] == 1:
-                continue
-            places = index.setdefault(s, {})
-            for other in list(places):
-                if (now := find(other)) != other:
-                    places.setdefault(now, []).extend(places.pop(other))
-            for other in list(places):
-                for j in places[other]:
-                    if find(other) == find(root):
-                        break
-                    if j in tried:
-                        continue
-                    tried.add(j)
-                    if len(sets[i] & sets[j]) < max(fewest[i], fewest[j]):
-                        continue
-                    a, b = best_stretch(x, sets[j], least), best_stretch(rows[j][3], sets[i], least)
-                    if min(a[0], b[0]) >= need:
-                        top[max(find(root), find(other))] = min(find(root), find(other))
-                        left_over -= 1
-                        yield u, rows[j][0], left + a[1], left + a[2] + least - 1
-                        yield rows[j][0], u, rows[j][2] + b[1], rows[j][2] + b[2] + least - 1
-            places.setdefault(find(root), []).append(i)
+    uid, root, left = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    zero = np.zeros(len(members), np.int64)
+    found = similar_contexts(zero, uid, root, zero.astype(bool), left, [m[3] for m in members], least, similarity) if len(members) > 1 else [zero[:0]] * 4
+    yield from zip(*(x.tolist() for x in found), strict=True)
 
 
 def verified(contexts: DataFrame, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
-    """(uid, other, first, last) of the links between different classes of a group."""
+    """(uid, other, first, last) of the similar contexts of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, group = None, []
+        held: list[pa.RecordBatch] = []
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["uid", "other", "first", "last"])
+        def made(rows: pa.Table) -> pa.RecordBatch:
+            low, uid, root, left = (rows.column(k).to_numpy().astype(np.int64) for k in ("low", "uid", "root", "left"))
+            group = np.cumsum(np.concatenate([[False], low[1:] != low[:-1]]))
+            found = similar_contexts(group, uid, root, np.array(rows.column("twin").to_pylist(), bool), left, rows.column("shingles").to_pylist(), least, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["uid", "other", "first", "last"])
 
+        # whole groups, many at a time
         for b in sliced(batches, 4096):
-            rows: list[tuple] = []
-            for key, *member in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != low:
-                    rows += group_links(group, least, similarity)
-                    low, group = key, []
-                group.append(tuple(member))
-            yield made(rows)
-        yield made(list(group_links(group, least, similarity)))
+            low = b.column(0).to_numpy()
+            held.append(b)
+            if sum(map(len, held)) >= 4096 and low[-1] != held[0].column(0)[0].as_py():
+                rows = pa.Table.from_batches(held)
+                last = int(np.searchsorted(rows.column("low").to_numpy(), low[-1]))
+                if last:
+                    yield made(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+        if held and sum(map(len, held)):
+            yield made(pa.Table.from_batches(held))
 
     return contexts.repartition("low").sortWithinPartitions("low").mapInArrow(run, "uid long, other long, first long, last long")
 

@@ -189,5 +189,71 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.99 * len(similar)
 
 
+def test_near_passages_of_documents_tied_already(spark):
+    """An exact passage ties two documents; a near one elsewhere in them has its spans too."""
+    rng = random.Random(15)
+    docs, where = [], []
+    for _ in range(40):
+        exact, near = words(rng, 60), words(rng, 90)
+        edited = [*near[:45], "CHANGED", *near[46:]]
+        docs += [exact + words(rng, 60) + near + words(rng, 20), words(rng, 30) + edited + words(rng, 70) + exact]
+        where += [((0, 60), (120, 210)), ((30, 120), (190, 250))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.passages_query(df).collect()}
+    assert all(got[i]["class_id"] == i - i % 2 for i in got)
+    spans = {i: [tuple(map(int, s.split(":"))) for s in r["passages"].split(",")] for i, r in got.items()}
+    lost = [i for i in spans for a, b in where[i] if not any(x <= a and b <= y for x, y in spans[i])]
+    assert len(lost) <= 2, lost
+
+
+def test_every_similar_context_has_its_span(spark, monkeypatch):
+    """Small and large groups, also of one class, repeats and contexts of one document."""
+    rng = random.Random(16)
+    for case in range(60):
+        base = [rng.randrange(1 << 30) for _ in range(39)]
+        rows = []
+        for u in range(40):
+            x = list(base) if rng.random() < 0.7 else [rng.randrange(1 << 30) for _ in range(39)]
+            for _ in range(rng.randint(0, 7)):
+                x[rng.randrange(39)] = rng.choice([rng.randrange(1 << 30), base[0], 7])
+            x[19] = 5
+            rows.append(x[rng.randint(0, 12) : 39 - rng.randint(0, 7)])
+        uid, root = [rng.randrange(25) for _ in rows], rng.choice([1, 4, 25])
+        twin = [rng.random() < 0.1 for _ in rows]
+        need = 18
+        sets = [set(x) for x in rows]
+        hits = lambda a, b: [k for k in range(len(rows[a]) - 19) if sum(v in sets[b] for v in rows[a][k : k + 20]) >= need]
+        want, ties = {}, set()
+        for a in range(40):
+            for b in range(40):
+                if (uid[a] != uid[b] or twin[a] or twin[b]) and a != b and hits(a, b) and hits(b, a):
+                    want.setdefault(a, []).extend(hits(a, b))
+                    ties.add((uid[a] % root, uid[b] % root))
+        for small in (24, 100):
+            monkeypatch.setattr(P, "_SMALL", small)
+            got = P.similar_contexts(np.zeros(40, np.int64), np.array(uid), np.array(uid) % root, np.array(twin), np.arange(40) * 1000, [np.array(x, np.uint32).tobytes() for x in rows], 20, 0.8)
+            assert P._needed(20, 0.8) <= need < P._needed(20, 0.8) + 1
+            spans = {}
+            for u, other, first, last in zip(*(x.tolist() for x in got), strict=True):
+                i = first // 1000
+                assert uid[i] == u and (u % root, other % root) in ties | {(r, r) for r in range(root)}
+                spans[i] = min(first % 1000, spans.get(i, (99, 0))[0]), max(last % 1000, spans.get(i, (99, 0))[1])
+            for i in range(40):
+                if not twin[i]:
+                    assert spans.get(i) == ((min(want[i]), max(want[i]) + 19) if i in want else None), (case, small, i)
+            join = lambda links: [min(c) for r in range(root) for c in [component(r, links)]]
+            assert join({(u % root, o % root) for u, o in zip(got[0].tolist(), got[1].tolist())}) == join(ties)
+
+
+def component(r, links):
+    seen, todo = {r}, [r]
+    while todo:
+        x = todo.pop()
+        new = {b for a, b in links if a == x} | {a for a, b in links if b == x}
+        todo += new - seen
+        seen |= new
+    return seen
+
+
 def test_empty(spark):
     assert P.passages_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
