@@ -12,6 +12,7 @@ from paperlake.functions.python_functions import author_similarity
 from paperlake.operators import dedupe as D
 from paperlake.operators import relational as R
 from paperlake.operators import search as S
+from paperlake.operators import titles
 
 
 def test_similar_titles_lose_nothing(spark):
@@ -36,6 +37,25 @@ def test_similar_titles_lose_nothing(spark):
         assert want or ratio > 0.9
 
 
+def test_many_titles_are_found_by_bounds(spark, monkeypatch):
+    """Blocks of all kinds against all pairs; of random titles hardly any is compared in full."""
+    rng = random.Random(21)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "é"]
+    base = ["".join(rng.choices(parts, k=rng.choice([1, 2, 12, 20, 22, 24, 31]))) for _ in range(450)]
+    names = list(dict.fromkeys(base + [t[: len(t) // 2] + "x" + t[len(t) // 2 + rng.randint(0, 3) :] for t in base[::3]]))
+    full = []
+    monkeypatch.setattr(titles, "SequenceMatcher", lambda _, x, y: full.append(1) or SequenceMatcher(None, x, y))
+    quick = lambda x, y: min(len(x), len(y)) >= 0.43 * (len(x) + len(y)) - 1e-9 and (s := SequenceMatcher(None, x, y)).quick_ratio() >= 0.86 and s.ratio() >= 0.86
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if quick(names[i], names[j])}
+    block = titles.Block(list(range(len(names))), names, 2)
+    assert {(a, b) for a, b, _ in titles.similar(block, block, True, 0.86, 2)} == want and len(want) > 100
+    assert len(full) < 3 * len(want)
+    monkeypatch.setattr(R, "TITLE_BLOCK", (64, 64))
+    df = spark.createDataFrame(list(enumerate(names)), "id long, title string")
+    assert {(r.a, r.b) for r in R.similar_titles(df, "id", "title", 0.86).collect()} == want
+    assert R.similar_titles(df.filter("id < 0"), "id", "title", 0.86).collect() == []
+
+
 def test_few_titles_are_compared_in_full(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(120)]
