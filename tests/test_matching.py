@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,21 @@ def test_many_titles_are_found_by_bounds(spark, monkeypatch):
     assert R.similar_titles(df.filter("id < 0"), "id", "title", 0.86).collect() == []
 
 
+def test_longest_common_subsequences_by_bits():
+    rng = random.Random(23)
+    names = ["".join(rng.choice("abcd") for _ in range(rng.choice([1, 5, 30, 63, 64]))) for _ in range(40)]
+    block = titles.Block(list(range(40)), names, 2)
+    pairs = np.array([(i, j) for i in range(40) for j in range(40)])
+    got = titles.common(block.places()[pairs[:, 0]], block.chars[pairs[:, 1]], block.lengths[pairs[:, 0]])
+    for (i, j), n in zip(pairs.tolist(), got.tolist()):
+        row = [0] * (len(block.texts[j]) + 1)
+        for c in block.texts[i]:
+            last = 0
+            for k, d in enumerate(block.texts[j], 1):
+                last, row[k] = row[k], last + 1 if c == d else max(row[k], row[k - 1])
+        assert n == row[-1]
+
+
 def test_few_titles_are_compared_in_full(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(120)]
