@@ -107,6 +107,19 @@ def test_similar_sets_lose_nothing(spark):
         assert want and {(r.a, r.b) for r in R.similar_sets(df, "id", "t", bound).collect()} == want
 
 
+def test_few_sets_are_compared_in_full(spark):
+    """Sets of frequent tokens: candidates are hardly more than the similar pairs, and all of them."""
+    rng = random.Random(31)
+    sets = []
+    for _ in range(200):
+        s = rng.sample(range(300), 150)
+        sets += [sorted(s), sorted(s[:-5] + rng.sample(range(300, 320), 5))]
+    df = spark.createDataFrame([(i, [(v * 0x9E3779B97F4A7C15 + (v << 32) * 77) % (1 << 63) for v in s]) for i, s in enumerate(sets)], "id long, _t array<bigint>")
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.9}
+    got = {(r.a, r.b) for r in R.candidate_sets(df, "id", 0.9).collect()}
+    assert want <= got and 200 <= len(want) and len(got) < 1.5 * len(want)
+
+
 def test_author_lists(spark):
     cases = [(["ann lee", "bo"], ["ann lee", "bo"], 1.0), (["ann lee", "ann lee"], ["ann lee"], 0.5), (["ann"], ["xyz"], 0.0), ([], ["x"], 0.0), (None, None, 0.0)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a array<string>, b array<string>")
