@@ -329,6 +329,21 @@ def sketch_links(table: DataFrame, share: float = CANDIDATE) -> DataFrame:
     return _grouped_links(rows, math.ceil(SKETCH * share))
 
 
+#: Bits of the set that tells which texts can be among the candidates.
+CANDIDATE_BITS = 1 << 24
+
+
+def _among(rows: DataFrame, uid: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose uid is wanted, and few others, without moving the rows: a set of
+    CANDIDATE_BITS hashed uids, in words of 32 bits, is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(CANDIDATE_BITS))
+    bit = lambda c: F.pmod(place(c), F.lit(32)).cast("int")
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))
+    words = wanted.groupBy(F.floor(place("uid") / 32).cast("int").alias("_word")).agg(F.bit_or(one("uid")).alias("_bits"))
+    near = rows.withColumn("_word", F.floor(place(uid) / 32).cast("int")).join(F.broadcast(words), "_word")
+    return near.filter(F.col("_bits").bitwiseAND(one(uid)) != 0).drop("_word", "_bits")
+
+
 def copy_links(docs: DataFrame, table: DataFrame, uid: str, text: str = "text", similarity: float = COPY_SIMILARITY, share: float = CANDIDATE) -> DataFrame:
     """(a, b) that join distinct texts whose sets of shingles have this Jaccard similarity.
 
@@ -338,7 +353,8 @@ def copy_links(docs: DataFrame, table: DataFrame, uid: str, text: str = "text",
     found = cut(sketch_links(table, share))
     nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     groups = components(nodes, found).toDF("uid", "key").join(table.select("uid", "sketch"), "uid")
-    texts = docs.select(F.col(uid).alias("uid"), F.col(text).alias("_text")).dropDuplicates(["uid"])
+    # only texts that candidates connect are sent, once each
+    texts = _among(docs.select(F.col(uid).alias("uid"), F.col(text).alias("_text")), "uid", nodes.withColumnRenamed("node", "uid")).dropDuplicates(["uid"])
     rows = texts.join(groups, "uid").select("key", "uid", "sketch", F.col("_text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,3 +138,13 @@ def test_near_copies_are_decided_on_the_shingles(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_only_texts_of_candidates_are_sent(spark):
+    docs = spark.range(20_000).selectExpr("id * 7919 - 50000000 as uid", "'text' as _text")
+    wanted = spark.range(300).selectExpr("id * 66 * 7919 - 50000000 as uid")
+    got = {r["uid"] for r in simhash._among(docs, "uid", wanted).collect()}
+    want = {r["uid"] for r in wanted.collect()}
+    assert want <= got and len(got) < 1.1 * len(want)
+    plan = simhash._among(docs, "uid", wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
