@@ -54,8 +54,9 @@ _ODD = 0xD6E8FEB86659FD93
 #: of a long text that are split into words at a time.
 _SHINGLES, _AT_ONCE, _PIECE = 500_000, 16_384, 1 << 22
 #: Contexts of a group whose pairs are all compared, pairs compared at a time, and in a larger
-#: group neighbours on a side and other rows compared at a time.
-_SMALL, _PAIRS, _NEAR, _ROWS = 100, 4096, 8, 256
+#: group neighbours on a side, rows and others of a row compared at a time, and bytes of a table
+#: of what rows hold.
+_SMALL, _PAIRS, _NEAR, _ROWS, _TABLE = 100, 4096, 8, 256, 1 << 24
 _SPACE = re.compile(rb"[ \x09-\x0D]")
 
 
@@ -326,66 +327,111 @@ def _small(which: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarr
             yield a[some], b[some], *_ends(good[some], least), *_ends(back[some], least)
 
 
+def _held(ids: np.ndarray, lengths: np.ndarray, distinct: int, x: np.ndarray, y: np.ndarray, least: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs have a stretch of row ``x`` of whose places ``need`` are in row ``y``, and those stretches.
+
+    ``ids`` has ``distinct`` where a row has no place.
+    """
+    order = np.argsort(y, kind="stable")
+    rows, at = np.unique(y[order], return_inverse=True)
+    which, goods = [order[:0]], [np.zeros((0, ids.shape[1] - least + 1), bool)]
+    step = max(1, _TABLE // (distinct + 1))
+    for t in range(0, len(rows), step):
+        some = rows[t : t + step]
+        table = np.zeros((len(some), distinct + 1), bool)
+        table[np.arange(len(some))[:, None], ids[some]] = True
+        table[:, distinct] = False
+        table = table.ravel()
+        begin, end = np.searchsorted(at, (t, t + step))
+        for k in range(begin, end, _PAIRS):
+            pair = order[k : min(k + _PAIRS, end)]
+            hit = table[((at[k : k + len(pair)] - t) * (distinct + 1))[:, None] + ids[x[pair]]]
+            good = _stretches(hit, lengths[x[pair]], least, need)
+            has = good.any(axis=1)
+            which.append(pair[has])
+            goods.append(good[has])
+    return np.concatenate(which), np.concatenate(goods)
+
+
 def _large(first: int, n: int, ids: np.ndarray, own: np.ndarray, lengths: np.ndarray, distinct: int, root: np.ndarray, twin: np.ndarray, apart: Callable, least: int, need: int) -> Iterator[tuple]:
     """Similar pairs (i, j, their ends) of one large group, as many as give every link between
     classes and every similar stretch of a row.
 
-    A row is compared with its neighbours, and then with the rows that hold one of the
-    ``least - need + 1`` rarest places of a stretch that no similar row has covered yet, or
-    of any stretch if they are of another class: a similar row cannot lack all of those.
+    Rows are compared with their neighbours, and then with the rows that hold one of the
+    ``least - need + 1`` rarest places of a stretch that no similar row has covered yet: a
+    similar row cannot lack all of those.  At last the rows of all classes but the largest
+    are compared with the rows of other classes that hold one of those of any stretch.
     """
-    ids, own, lengths = ids[first : first + n], own[first : first + n], lengths[first : first + n]
+    lengths = lengths[first : first + n]
+    width = int(lengths.max())
+    own = own[first : first + n, :width]
+    ids = np.where(own, ids[first : first + n, :width], distinct)
     r, c = np.nonzero(own)
     pairs = np.unique(ids[r, c] * n + r)  # (shingle, row)
     bounds = np.searchsorted(pairs, np.arange(distinct + 1) * n)
     often, holders = np.diff(bounds), pairs % n
     label = np.unique(root[first : first + n], return_inverse=True)[1]
-    classes = label.max() + 1
-    covered = np.arange(ids.shape[1] - least + 1) > lengths[:, None] - least  # stretches beyond the row's end count as covered
-    spot, mark = np.full(distinct, -1), np.zeros(distinct, bool)
+    covered = np.arange(width - least + 1) > lengths[:, None] - least  # stretches beyond the row's end count as covered
     covered[twin[first : first + n]] = True  # equal contexts have their span already
     missing = least - need + 1
-    look = lambda some: np.unique(np.concatenate([holders[bounds[v] : bounds[v + 1]] for v in np.unique(some)]))
-    for i in range(n):
-        x = ids[i, : lengths[i]]
-        values, places = np.unique(x, return_inverse=True)
-        spot[values], mark[values] = np.arange(len(values)), True
-        fresh = np.ones(n, bool)
-        fresh[i] = False
-        near, rare = np.arange(max(0, i - _NEAR), min(n, i + _NEAR + 1)), None
-        while (open_ := ~covered[i, : len(x) - least + 1]).any() or classes > 1:
-            near = near[fresh[near]]
-            if not len(near):
-                if rare is None:
-                    views = np.lib.stride_tricks.sliding_window_view(x, least)
-                    rare = np.take_along_axis(views, np.argpartition(often[views], missing - 1, axis=1)[:, :missing], axis=1)
-                near = look(rare[open_]) if open_.any() else near
-                near = near[fresh[near]]
-                if not len(near) and classes > 1:
-                    near = look(rare)
-                    near = near[fresh[near] & (label[near] != label[i])]
-                if not len(near):
-                    break
-                near = near[:_ROWS]
-            fresh[near] = False
-            near = near[apart(np.full(len(near), first + i), first + near)]
-            held = np.zeros((len(near), len(values) + 1), bool)
-            rows, cols = np.nonzero(own[near])
-            held[rows, spot[ids[near][rows, cols]]] = True  # others go to the last column
-            good = _stretches(held[:, places], np.full(len(near), len(x)), least, need)
-            back = _stretches(mark[ids[near]] & own[near], lengths[near], least, need)
-            some = good.any(axis=1) & back.any(axis=1)
-            if some.any():
-                near, good, back = near[some], good[some], back[some]
-                covered[i, : good.shape[1]] |= good.any(axis=0)
-                covered[near] |= back
-                for other in np.unique(label[near]):
-                    if other != label[i]:
-                        label[label == other] = label[i]
-                        classes -= 1
-                yield np.full(len(near), first + i), first + near, *_ends(good, least), *_ends(back, least)
-            near = near[:0]
-        spot[values], mark[values] = -1, False
+    found: list[tuple] = []
+
+    def look(i: int, of: np.ndarray) -> np.ndarray:
+        """Rows that can be similar to one of these stretches of row i."""
+        views = np.lib.stride_tricks.sliding_window_view(ids[i, : lengths[i]], least)[of[: lengths[i] - least + 1]]
+        rare = np.take_along_axis(views, np.argpartition(often[views], missing - 1, axis=1)[:, :missing], axis=1)
+        out = np.zeros(n, bool)
+        for v in np.unique(rare).tolist():
+            out[holders[bounds[v] : bounds[v + 1]]] = True
+        out[i] = False
+        out = np.flatnonzero(out)
+        return out[apart(first + i, first + out)]
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        """Keeps the similar ones of the pairs, the stretches they cover and the classes they join."""
+        which, back = _held(ids, lengths, distinct, j, i, least, need)
+        i, j = i[which], j[which]
+        which, good = _held(ids, lengths, distinct, i, j, least, need)
+        i, j, back = i[which], j[which], back[which]
+        if not len(i):
+            return
+        found.append((first + i, first + j, *_ends(good, least), *_ends(back, least)))
+        for row, stretches in ((i, good), (j, back)):
+            order = np.argsort(row, kind="stable")
+            rows, at = np.unique(row[order], return_index=True)
+            covered[rows] |= np.logical_or.reduceat(stretches[order], at, axis=0)
+        for k in np.unique(label[i] * n + label[j], return_index=True)[1].tolist():
+            if label[i[k]] != label[j[k]]:
+                label[label == label[j[k]]] = label[i[k]]
+
+    def by_turns(rows: list[int], others: list[np.ndarray], left: Callable) -> None:
+        """Compares rows with others, a growing number at a time, until nothing is left to find."""
+        at, size = 0, _NEAR
+        while rows:
+            part = [left(i, o[at : at + size]) for i, o in zip(rows, others, strict=True)]
+            compare(np.repeat(rows, [len(p) for p in part]), np.concatenate(part))
+            at, size = at + size, min(2 * size, _ROWS)
+            on = [k for k, o in enumerate(others) if len(o) > at]
+            rows, others = [rows[k] for k in on], [others[k] for k in on]
+
+    for d in range(1, _NEAR + 1):
+        open_ = ~covered.all(axis=1)
+        i = np.flatnonzero((open_[:-d] | open_[d:] | (label[:-d] != label[d:])) & apart(first + np.arange(n - d), first + np.arange(d, n)))
+        compare(i, i + d)
+    rows = np.flatnonzero(~covered.all(axis=1))
+    for k in range(0, len(rows), _ROWS):
+        some = [i for i in rows[k : k + _ROWS].tolist() if not covered[i].all()]
+        by_turns(some, [look(i, ~covered[i]) for i in some], lambda i, o: o[:0] if covered[i].all() else o)
+    large = int(np.flatnonzero(label == np.bincount(label).argmax())[0])
+    rows, done = np.flatnonzero(label != label[large]), np.zeros(n, bool)
+    for k in range(0, len(rows), _ROWS):
+        # pairs within the largest class are tied, and those of a row that is done were compared in its turn
+        some = [i for i in rows[k : k + _ROWS].tolist() if label[i] != label[large]]
+        every = np.ones(covered.shape[1], bool)
+        others = [look(i, every) for i in some]
+        by_turns(some, [o[(label[o] != label[i]) & ~done[o]] for i, o in zip(some, others, strict=True)], lambda i, o: o[:0] if label[i] == label[large] else o[label[o] != label[i]])
+        done[some] = True
+    yield from found
 
 
 def similar_contexts(group: np.ndarray, uid: np.ndarray, root: np.ndarray, twin: np.ndarray, left: np.ndarray, shingles: list[bytes], least: int, similarity: float) -> list[np.ndarray]:

@@ -257,3 +257,37 @@ def component(r, links):
 
 def test_empty(spark):
     assert P.passages_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_of_small_classes_are_not_compared_with_every_row(monkeypatch):
+    """Of a line that all rows repeat: 300 rows are one class in the end and 60 are similar to none."""
+    rows = [[1] * 44 + [1000 + 2 * u, 1001 + 2 * u] for u in range(300)]
+    for t in range(60):  # any two of these share one shingle besides the line at most, but none is in one row alone
+        rows.append([1] * 38 + [5000 + 4 * ((t - d) % 60) + d - 1 for d in range(1, 5)] + [5000 + 4 * t + d for d in range(4)])
+    order = random.Random(6).sample(range(360), 360)
+    members = [(u, 900 + u, 0, np.array(rows[u], np.uint32).tobytes()) for u in order]
+    compared, stretches = [0], P._stretches
+    monkeypatch.setattr(P, "_stretches", lambda hit, *a: compared.__setitem__(0, compared[0] + len(hit)) or stretches(hit, *a))
+    found = list(P.group_links(members, 46, 0.8))
+    assert {x[0] for x in found} == set(range(300)) and {x[2:] for x in found} == {(0, 45)}
+    joined = {0}
+    for _ in range(300):
+        joined |= {b for a, b, *_ in found if a in joined} | {a for a, b, *_ in found if b in joined}
+    assert joined == set(range(300))
+    assert compared[0] < 300 * 60
+
+
+def test_tables_of_few_rows_change_nothing(monkeypatch):
+    rng = random.Random(12)
+    base = [rng.randrange(1 << 30) for _ in range(40)]
+    members = []
+    for u in range(150):
+        x = list(base) if u % 3 else [rng.randrange(1 << 30) for _ in range(12)] * 3
+        for _ in range(rng.randint(0, 8)):
+            x[rng.randrange(len(x))] = rng.randrange(1 << 30)
+        members.append((u, 500 + u, 0, np.array(x, np.uint32).tobytes()))
+    want = sorted(P.group_links(members, 20, 0.8))
+    assert want
+    monkeypatch.setattr(P, "_TABLE", 1)
+    monkeypatch.setattr(P, "_PAIRS", 7)
+    assert sorted(P.group_links(members, 20, 0.8)) == want
