@@ -223,3 +223,25 @@ def test_a_key_of_many_rows_is_combined_in_the_tasks(spark):
     x = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") % 7).cast("int").alias("s"), F.col("id").cast("int").alias("o"), F.col("id").cast("string").alias("a"), F.array((F.col("id") % 10).cast("string")).alias("l"))
     got = D.merge_groups(x, "k", F.col("s"), "o", ["a"], ["l"]).collect()
     assert len(got) == 1 and got[0].a == "6" and got[0].duplicates_removed == n - 1 and sorted(got[0].l) == [str(i) for i in range(10)]
+
+
+def test_few_pairs_of_titles_reach_the_longest_common_subsequence(monkeypatch):
+    """The characters that titles share, then their grams, turn down nearly all others."""
+    rng = random.Random(31)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "to", "it", "is", "ou", "ly"]
+    names = ["".join(rng.choices(parts, k=25)) for _ in range(1200)]
+    names += [t[:9] + "x" + t[12:30] + t[33:] for t in names[:40]] + ["é" * 70 + "n" * 9, "é" * 72 + "n" * 9, "ab" * 400, "ab" * 390, "a", "b"]
+    reached, common = [0], titles.common
+    monkeypatch.setattr(titles, "common", lambda places, *a: reached.__setitem__(0, reached[0] + len(places)) or common(places, *a))
+    block = titles.Block(list(range(len(names))), names, 2)
+    found = {(a, b) for a, b, _ in titles.similar(block, block, True, 0.86, 2)}
+    assert found >= {(i, 1200 + i) for i in range(40) if SequenceMatcher(None, names[i], names[1200 + i]).ratio() >= 0.86}
+    assert found >= {(1240, 1241), (1242, 1243)} and (1244, 1245) not in found
+    assert reached[0] < len(names) ** 2 / 2 / 40  # 1.6 %; 17 % by grams alone
+
+
+def test_pages_are_read_once_for_titles_and_names(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["REC06_author_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "html" not in plan
